@@ -18,7 +18,6 @@ PYTHON = ("python",)
 SCRIPT = ("typescript", "javascript")
 _USER = ("user_input", "user_message", "request", "query")
 _QUOTE = ('"', "'")
-_STRING_LINE = ('"', "'", "`", "#", "//")
 
 # ---------------------------------------------------------------- fixed values: OWASP references
 _SITE = "https://owasp.org/www-project-top-10-for-large-language-model-applications/"
@@ -929,7 +928,7 @@ def _jailbreak() -> list[Rule]:
             severity=severity,
             category="jailbreak",
             pattern=pattern,
-            needs=(_STRING_LINE, words),
+            needs=(words,),
             context="quoted",
             before=1,
             after=2,

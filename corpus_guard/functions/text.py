@@ -74,6 +74,9 @@ def running(values: str, combine: str = "x + y") -> str:
     return let("vs", values, fold)
 
 
+# A match only counts as inside a string or comment on a line that holds one of these.
+STRING_MARKS = ('"', "'", "`", "#", "//")
+
 # How a rule treats the line its match starts on; the value is a condition to keep the match.
 _INDENT = f"^[{SPACE}]*"
 CONTEXT_FILTERS = {
@@ -82,7 +85,7 @@ CONTEXT_FILTERS = {
     "slash": "NOT {value} RLIKE " + sql_string(_INDENT + r"(?://|\*)"),
     "any": "NOT {value} RLIKE " + sql_string(_INDENT + r"(?:#|//|\*)"),
     "hash_slash": "NOT {value} RLIKE " + sql_string(_INDENT + "(?:#|//)"),
-    "quoted": "{value} RLIKE " + sql_string("[\"'`#]|//"),
+    "quoted": "{value} RLIKE " + sql_string("|".join(STRING_MARKS)),
 }
 
 # Conditions on the matched text.

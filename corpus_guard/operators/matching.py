@@ -36,6 +36,7 @@ def match_rules(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = K
     located = _over_matches(
         rules,
         rules,
+        False,
         f"flatten(transform(raws, raw -> transform({_located('raw')}, m -> named_struct("
         "'rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset,"
         " 'hit', m.hit))))",
@@ -60,7 +61,7 @@ def match_findings(
     if first_only:
         findings = _deduplicated(findings)
     located = _over_matches(
-        rules, at_least(rules, min_severity), tx.let("lines", tx.lines_of("text"), findings)
+        rules, at_least(rules, min_severity), True, tx.let("lines", tx.lines_of("text"), findings)
     )
     return units.select(*keep, F.inline(F.expr(located))).drop("rule_group")
 
@@ -80,10 +81,13 @@ _DIGITS = r"\p{Nd}{3}"
 _FOLDED = {"s": "sSſ", "i": "iIıİ", "k": "kK\u212a"}
 
 
-def _over_matches(rules: Sequence[Rule], searched: Sequence[Rule], body: str) -> str:
+def _over_matches(
+    rules: Sequence[Rule], searched: Sequence[Rule], filtered: bool, body: str
+) -> str:
     """``body`` over the raw matches of the searched rules in a unit, null for other units.
 
     ``body`` sees ``raws`` (rule number, hits, gaps) and ``settings`` (by rule number).
+    ``filtered`` also skips rules whose context filters no match in the unit could pass.
     """
     wanted = {id(r) for r in searched if r.kind != "concat"}
     numbered = [(n, r) for n, r in enumerate(rules) if id(r) in wanted]
@@ -92,15 +96,23 @@ def _over_matches(rules: Sequence[Rule], searched: Sequence[Rule], body: str) ->
     raws = ",\n".join(_raw_matches(n, r) for n, r in numbered)
     raws = f"filter(array({raws}), raw -> raw IS NOT NULL AND size(raw.hits) > 0)"
     matched = tx.let("raws", raws, f"IF(size(raws) > 0, {body}, NULL)")
-    live = """transform(filter(settings, r -> array_contains(r.languages, language)
-        AND forall(r.needs, alternatives -> arrays_overlap(alternatives, found))
-        AND NOT (r.value = 'pii' AND %s)), r -> r.no)""" % tx.is_test_path("path")
+    applies = "array_contains(r.languages, language)"
+    if filtered:
+        applies += f" AND NOT (r.value = 'pii' AND {tx.is_test_path('path')})"
+    live = f"""transform(filter(settings, r -> {applies}
+        AND forall(r.needs, alternatives -> arrays_overlap(alternatives, found))), r -> r.no)"""
     matched = tx.let("live", live, f"IF(size(live) > 0, {matched}, NULL)")
-    matched = _with_found([r for _, r in numbered], matched)
-    return tx.let("settings", _settings(rules, wanted), matched)
+    matched = _with_found([_needs(r, filtered) for _, r in numbered], matched)
+    return tx.let("settings", _settings(rules, wanted, filtered), matched)
 
 
-def _settings(rules: Sequence[Rule], wanted: set[int]) -> str:
+def _needs(rule: Rule, filtered: bool) -> tuple[tuple[str, ...], ...]:
+    if filtered and rule.context == "quoted":
+        return (tx.STRING_MARKS, *rule.needs)
+    return rule.needs
+
+
+def _settings(rules: Sequence[Rule], wanted: set[int], filtered: bool) -> str:
     groups: dict[str, int] = {}
     rows = [
         {
@@ -114,7 +126,7 @@ def _settings(rules: Sequence[Rule], wanted: set[int]) -> str:
             "after": rule.after,
             "col": rule.column,
             "languages": (rule.languages or SUPPORTED_LANGUAGES) if id(rule) in wanted else (),
-            "needs": rule.needs,
+            "needs": _needs(rule, filtered),
         }
         for number, rule in enumerate(rules)
     ]
@@ -122,17 +134,19 @@ def _settings(rules: Sequence[Rule], wanted: set[int]) -> str:
     return f"from_json({tx.sql_string(text)}, '{_SETTINGS}')"
 
 
-def _with_found(rules: Sequence[Rule], body: str) -> str:
-    """Bind ``found``, the required strings a unit holds; null for units that hold none.
+def _with_found(needs: Sequence[tuple[tuple[str, ...], ...]], body: str) -> str:
+    """Bind ``found``, the required strings a unit holds.
+
+    One regex pass tells units that hold none; those are done unless a rule requires nothing.
 
     Few prose units hold the punctuation that rules on code need, so a word is only searched for
     in units with a punctuation mark that some rule wants next to it.
     """
     marks: dict[str, None] = {}
     gates: dict[str, set[str] | None] = {}
-    for rule in rules:
-        own_marks = [g for g in rule.needs if all(_is_mark(w) for w in g)]
-        for word in (w for group in rule.needs for w in group):
+    for groups in needs:
+        own_marks = [g for g in groups if all(_is_mark(w) for w in g)]
+        for word in (w for group in groups for w in group):
             if _is_mark(word):
                 marks[word] = None
             elif word != THREE_DIGITS:
@@ -140,7 +154,7 @@ def _with_found(rules: Sequence[Rule], body: str) -> str:
                 known = gates.get(word, set())
                 gates[word] = None if gate is None or known is None else known | gate
     free = [word for word, gate in gates.items() if gate is None]
-    digits = any((THREE_DIGITS,) in r.needs for r in rules)
+    digits = any((THREE_DIGITS,) in groups for groups in needs)
 
     table = json.dumps([{"word": w, "marks": sorted(g or ())} for w, g in gates.items()])
     table = f"from_json({tx.sql_string(table)}, 'array<struct<word string, marks array<string>>>')"
@@ -149,14 +163,20 @@ def _with_found(rules: Sequence[Rule], body: str) -> str:
     wanted = f"filter({table}, w -> size(w.marks) = 0 OR arrays_overlap(w.marks, marks))"
     found = ["marks", tx.let("wanted", wanted, words)]
     if digits:
-        held = _strings([THREE_DIGITS])
-        found.append(f"IF(text RLIKE {tx.sql_string(_DIGITS)}, {held}, {_strings()})")
-    body = tx.let("found", f"concat({', '.join(found)})", body)
-    body = tx.let("marks", f"filter({_strings(marks)}, m -> contains(text, m))", body)
-    if any(not r.needs for r in rules):
-        return body
-    gate = _any_string(free, marks, digits)
-    return f"IF(text RLIKE {tx.sql_string(gate)}, {body}, NULL)"
+        run = _strings([THREE_DIGITS])
+        found.append(f"IF(text RLIKE {tx.sql_string(_DIGITS)}, {run}, {_strings()})")
+    held = tx.let(
+        "marks",
+        f"filter({_strings(marks)}, m -> contains(text, m))",
+        f"concat({', '.join(found)})",
+    )
+    if not (free or marks or digits):
+        return tx.let("found", _strings(), body)
+    gate = tx.sql_string(_any_string(free, marks, digits))
+    held = f"IF(text RLIKE {gate}, {held}, {_strings()})"
+    if not all(needs):
+        return tx.let("found", held, body)
+    return tx.let("found", held, f"IF(size(found) > 0, {body}, NULL)")
 
 
 def _is_mark(word: str) -> bool:
