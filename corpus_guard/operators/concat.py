@@ -40,7 +40,9 @@ def _sums_of(text: Column) -> Column:
             return ("string" if isinstance(node.value, str) else "constant"), ""
         return "other", ""
 
-    def sums(source: str) -> list[str]:
+    def sums(source: str | None) -> list[str]:
+        if source is None:
+            return []
         try:
             tree = ast.parse(source)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -78,8 +80,8 @@ _PAIR = (
 )
 
 
-def operands_by_pattern(text: str) -> Column:
-    """The same rows from the first ``+`` of every chain on a line; text column by name."""
+def operands_by_pattern(text: str) -> str:
+    """SQL for the same rows from the first ``+`` of every chain on a line."""
     pair = tx.sql_string(_PAIR)
 
     def side(n: int, name: str) -> str:
@@ -94,32 +96,32 @@ def operands_by_pattern(text: str) -> Column:
         f"transform(lines, (l, at) -> IF(contains(l, '+'), "
         f"transform(regexp_extract_all(l, {pair}, 0), p -> {row}), array()))"
     )
-    return F.expr(tx.let("lines", tx.lines_of(text), f"flatten({per_line})"))
+    return tx.let("lines", tx.lines_of(text), f"flatten({per_line})")
 
 
 # ------------------------------------------------------------------ findings
-def concat_findings(
-    units: DataFrame,
+def may_concatenate(rule: Rule) -> str:
+    """SQL condition: the unit's language is the rule's, and it has a "+" and a tainted name."""
+    languages = ", ".join(tx.sql_string(x) for x in rule.languages)
+    names = rf"(?<![A-Za-z0-9_])(?:{'|'.join(TAINTED_NAMES)})(?![A-Za-z0-9_])"
+    return (
+        f"(language IN ({languages}) AND contains(text, '+') "
+        f"AND text RLIKE {tx.sql_string(names)})"
+    )
+
+
+def concat_array(
     rule_no: int,
     rule: Rule,
-    by_syntax: bool = True,
+    sums: str,
     attributes: bool = True,
     literals: Sequence[str] = ("string",),
-    keep: Sequence[str] = KEY,
-) -> DataFrame:
-    """One match per line with a tainted concatenation, shaped like ``match_findings``.
+) -> str:
+    """SQL for the concatenation findings of one unit, rows as in ``matching.findings_array``.
 
-    ``attributes`` lets ``obj.name`` count as tainted by its last part; ``literals`` are the
-    constants that count as prompt text. Units without ``+`` and a tainted name never reach the
-    Python worker.
+    ``sums`` is SQL for the operand rows. ``attributes`` lets ``obj.name`` count as tainted by its
+    last part; ``literals`` are the kinds of constant that count as prompt text.
     """
-    names = "|".join(TAINTED_NAMES)
-    candidates = units.where(
-        F.col("language").isin(*rule.languages)
-        & F.contains("text", F.lit("+"))
-        & F.col("text").rlike(rf"(?<![A-Za-z0-9_])(?:{names})(?![A-Za-z0-9_])")
-    )
-    pairs = operands_by_syntax(F.col("text")) if by_syntax else operands_by_pattern("text")
 
     def tainted(side: str) -> str:
         kinds = "'name', 'attribute'" if attributes else "'name'"
@@ -134,12 +136,36 @@ def concat_findings(
         )
 
     hit = f"{tainted('left')} AND {prompt('right')} OR {tainted('right')} AND {prompt('left')}"
-    at_lines = f"array_sort(array_distinct(transform(filter(sums, s -> {hit}), s -> s.line)))"
+    at_lines = f"array_sort(array_distinct(transform(filter({sums}, s -> {hit}), s -> s.line)))"
     row = f"""named_struct(
-        'line', n, 'rule_no', {rule_no}, 'offset', 0, 'column', 0,
+        'rule_group', -1, 'line', n, 'rule_no', {rule_no}, 'offset', 0, 'column', 0,
         'tool', CAST(NULL AS STRING),
         'code_snippet', {tx.snippet('lines', 'n', str(rule.before), str(rule.after))})"""
     rows = tx.let("lines", tx.lines_of("text"), f"transform({at_lines}, n -> {row})")
-    return candidates.select(*keep, "text", pairs.alias("sums")).select(
-        *keep, F.inline(F.expr(rows))
-    )
+    return f"IF({may_concatenate(rule)}, {rows}, NULL)"
+
+
+def with_sums(units: DataFrame, rule: Rule, by_syntax: bool) -> tuple[DataFrame, str]:
+    """Units ready for ``concat_array`` and the SQL for their operand rows.
+
+    Reading the syntax tree takes a Python worker; it is only sent texts that may hold a tainted
+    concatenation, and null for the others.
+    """
+    if not by_syntax:
+        return units, operands_by_pattern("text")
+    text = F.when(F.expr(may_concatenate(rule)), F.col("text"))
+    return units.withColumn("sums", operands_by_syntax(text)), "sums"
+
+
+def concat_findings(
+    units: DataFrame,
+    rule_no: int,
+    rule: Rule,
+    by_syntax: bool = True,
+    keep: Sequence[str] = KEY,
+    **options,
+) -> DataFrame:
+    """One match per line with a tainted concatenation, shaped like ``match_findings``."""
+    ready, sums = with_sums(units, rule, by_syntax)
+    found = F.expr(concat_array(rule_no, rule, sums, **options))
+    return ready.select(*keep, F.inline(found)).drop("rule_group")

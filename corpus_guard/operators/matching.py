@@ -57,13 +57,20 @@ def match_findings(
     those at or above ``min_severity``. That needs no shuffle as long as a unit is one row; use
     ``operators.findings.first_findings`` where other steps come before the de-duplication.
     """
+    found = F.expr(findings_array(rules, min_severity, first_only))
+    return units.select(*keep, F.inline(found)).drop("rule_group")
+
+
+def findings_array(
+    rules: Sequence[Rule], min_severity: str = "info", first_only: bool = True
+) -> str:
+    """SQL for the findings of one unit as an array of rows, null if there are none."""
     findings = _surviving(min_severity)
     if first_only:
         findings = _deduplicated(findings)
-    located = _over_matches(
+    return _over_matches(
         rules, at_least(rules, min_severity), True, tx.let("lines", tx.lines_of("text"), findings)
     )
-    return units.select(*keep, F.inline(F.expr(located))).drop("rule_group")
 
 
 def at_least(rules: Sequence[Rule], min_severity: str) -> list[Rule]:

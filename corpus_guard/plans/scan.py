@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from corpus_guard.catalogue import Rule, package_rules, standalone_rules
 from corpus_guard.catalogue.names import SUPPORTED_LANGUAGES
-from corpus_guard.operators.concat import concat_findings
-from corpus_guard.operators.findings import DETAIL, attach_rules, first_findings
+from corpus_guard.operators.concat import concat_array, with_sums
+from corpus_guard.operators.findings import BRIEF, DETAIL, attach_rules, first_findings
 from corpus_guard.operators.judge import apply_verdicts
-from corpus_guard.operators.matching import KEY, at_least, match_findings
+from corpus_guard.operators.matching import KEY, at_least, findings_array
 from corpus_guard.sources.rules import shipped_rules
 
 
@@ -55,8 +55,10 @@ def scan(
     )
     if verdicts is None:
         return attach_rules(matches, rules, columns)
-    judged = apply_verdicts(attach_rules(matches, rules, _with_verdict_columns(columns)), verdicts)
-    return first_findings(judged, keep)
+    # long texts join the findings that are left, not those that are shuffled
+    judged = apply_verdicts(attach_rules(matches, rules, BRIEF), verdicts)
+    first = first_findings(judged, keep)
+    return attach_rules(first, rules, [c for c in columns if c not in BRIEF])
 
 
 def scan_standalone(
@@ -86,17 +88,15 @@ def _matches(
     min_severity: str,
     first_only: bool,
     keep: Sequence[str],
-    **concat_options,
+    by_syntax: bool,
+    **options,
 ) -> DataFrame:
-    """Regex matches and concatenations; their rule ids differ, so neither affects the other."""
-    matches = match_findings(units, rules, min_severity, first_only, keep)
+    """Regex matches and concatenations in one pass; their rule ids differ, so they never clash."""
+    found = findings_array(rules, min_severity, first_only)
     reported = at_least(rules, min_severity)
     for number, rule in enumerate(rules):
         if rule.kind == "concat" and rule in reported:
-            sums = concat_findings(units, number, rule, keep=keep, **concat_options)
-            matches = matches.unionByName(sums)
-    return matches
-
-
-def _with_verdict_columns(columns: Sequence[str]) -> list[str]:
-    return list(dict.fromkeys([*columns, "rule_id", "severity", "confidence", "detected_by"]))
+            units, sums = with_sums(units, rule, by_syntax)
+            concatenated = concat_array(number, rule, sums, **options)
+            found = f"concat(coalesce({found}, array()), coalesce({concatenated}, array()))"
+    return units.select(*keep, F.inline(F.expr(found))).drop("rule_group")

@@ -46,12 +46,15 @@ def as_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def write_report(
-    rows: DataFrame, findings: DataFrame, units: DataFrame, directory: str, **meta: str
-) -> None:
-    """Write ``findings`` (JSON lines in order) and ``summary`` (one line) below a directory."""
+def write_report(rows: DataFrame, units: DataFrame, directory: str, **meta: str) -> None:
+    """Write ``findings`` (JSON lines in order) and ``summary`` (one line) below a directory.
+
+    The summary counts the findings just written, so the scan runs once.
+    """
     rows.write.mode("overwrite").json(f"{directory}/findings")
-    summary = scan_summary(findings, units, {**META, **meta})
+    severities = rows.select("severity").schema
+    written = rows.sparkSession.read.schema(severities).json(f"{directory}/findings")
+    summary = scan_summary(written, units, {**META, **meta})
     summary.coalesce(1).write.mode("overwrite").json(f"{directory}/summary")
 
 

@@ -120,7 +120,7 @@ def rules_values(rules: Sequence[Rule]) -> str:
             text(v or "") if r.owasp_id else "NULL"
             for v in (r.owasp_id, r.owasp_name, r.owasp_url)
         ]
-        numbers = [str(x) for x in (number, r.before, r.after, r.confidence)]
+        numbers = [str(x) for x in (number, r.before, r.after, f"{r.confidence}::DOUBLE")]
         rows.append(f"({', '.join([*numbers, str(r.column).lower(), *owasp, *values])})")
     return (
         "(VALUES " + ",\n".join(rows) + ") AS r(rule_no, before, after_lines, confidence, "

@@ -13,6 +13,7 @@ from corpus_guard.functions import remediate
 from corpus_guard.operators import concat, findings as fo, judge, retrieval, summary
 from corpus_guard.operators.matching import match_findings, match_rules
 from corpus_guard.plans.scan import ScanConfig, scan, scan_standalone
+from corpus_guard.plans.stage import stored
 from corpus_guard.sources import files, ignore, paths, rules as rule_source, sinks, tables
 from queries import corpora, oracle
 from queries.oracle import findings_cte, matches_cte, rank, text
@@ -178,7 +179,7 @@ for _corpus, _units in (
 )
 def concat_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpora.python_units(spark, sf_dir).where(F.contains("text", F.lit("+")))
-    rows = units.select("unit_id", F.inline(concat.operands_by_pattern("text")))
+    rows = units.select("unit_id", F.inline(F.expr(concat.operands_by_pattern("text"))))
     return rows.withColumnsRenamed({"left": "left_name", "right": "right_name"})
 
 
@@ -381,7 +382,7 @@ _register_count(
     "SELECT unit_id, line, rule_id, severity, "
     "count(*) OVER (PARTITION BY severity) AS section_findings FROM findings "
     "WHERE severity <> 'info'",
-    lambda found: summary.severity_sections(found).select(
+    lambda found: summary.severity_sections(stored(found)).select(
         "unit_id", "line", "rule_id", "severity", "section_findings"
     ),
 )
@@ -445,7 +446,7 @@ answered AS (SELECT *, CASE CAST(unit_id AS BIGINT) % 6 WHEN 0 THEN 'false_posit
         END::DOUBLE AS sure FROM findings),
 applied AS (SELECT * REPLACE (
         CASE WHEN verdict IS NOT NULL AND {rank()} >= 2
-             THEN least(0.99, confidence::DOUBLE * (0.5 + sure * 0.5)) ELSE confidence END AS confidence,
+             THEN least(0.99, confidence * (0.5 + sure * 0.5)) ELSE confidence END AS confidence,
         CASE WHEN verdict IS NOT NULL AND {rank()} >= 2
              THEN detected_by || '+llm_judge' ELSE detected_by END AS detected_by)
     FROM answered

@@ -191,7 +191,7 @@ def test_report(spark, tmp_path):
     write(tmp_path / "src", {"a.py": "open(result)\n" + KEY_LINE})
     units = files.file_units(spark, str(tmp_path / "src"))
     found = scan(units)
-    sinks.write_report(sinks.report_rows(found), found, units, str(tmp_path / "out"), target="src")
+    sinks.write_report(sinks.report_rows(found), units, str(tmp_path / "out"), target="src")
     rows = spark.read.json(str(tmp_path / "out" / "findings")).collect()
     assert {r.rule_id for r in rows} == {"LLM02-FILE-001", "SEC-OPENAI-001", "SEC-GENERIC-001"}
     meta = spark.read.json(str(tmp_path / "out" / "summary")).first()
