@@ -13,7 +13,8 @@ class Rule:
     orders findings inside a unit. Several patterns may share a ``rule_id``.
 
     ``needs`` drives the cheap prefilter: it lists groups of lower-case strings, and a unit that
-    lacks all strings of any one group cannot match. ``engine_pattern`` and ``probe`` replace the
+    lacks all strings of any one group cannot match. A string that ends in one of ``(=:+`` stands
+    for its word followed by white space and that sign. ``engine_pattern`` and ``probe`` replace the
     pattern by a linear-time form with the same match start where the plain one backtracks over
     the whole unit (see ``operators.matching``).
     """

@@ -16,7 +16,6 @@ THREE_DIGITS = r"\d{3}"
 
 PYTHON = ("python",)
 SCRIPT = ("typescript", "javascript")
-_USER = ("user_input", "user_message", "request", "query")
 _QUOTE = ('"', "'")
 
 # ---------------------------------------------------------------- fixed values: OWASP references
@@ -46,26 +45,29 @@ _PROMPT_PYTHON = [
     (r'["\'].*%s.*["\'] ?%', (("%",), ("%s",))),
     (
         r"(?:prompt|system_prompt|messages)\s*[+]=?\s*(?:user_input|user_message|request|query)",
-        (("+",), ("prompt", "messages"), _USER),
+        (("prompt+", "messages+"),),
     ),
     (
         r"(?:user_input|user_message|request|query)\s*\+\s*(?:prompt|system_prompt)",
-        (("+",), ("prompt",), _USER),
+        (("user_input+", "user_message+", "request+", "query+"),),
     ),
     (
         r'PromptTemplate\.from_template\(["\'].*\{(?:user_input|input|query|request)\}',
-        (("{",), ("prompttemplate.",)),
+        (("{",), ("prompttemplate.from_template(",)),
+    ),
+    (
+        r'llm\.(?:invoke|predict|call|generate|complete)\(f["\']',
+        (("llm.invoke(", "llm.predict(", "llm.call(", "llm.generate(", "llm.complete("),),
     ),
-    (r'llm\.(?:invoke|predict|call|generate|complete)\(f["\']', (("(",), ("llm.",))),
     (
         r"(?:ChatOpenAI|ChatAnthropic|ChatGroq|AzureChatOpenAI)\([^)]*\)\s*\.\s*"
         r'(?:invoke|predict)\s*\(\s*f["\']',
-        (("(",), ("chatopenai(", "chatanthropic(", "chatgroq(")),
+        (("chatopenai(", "chatanthropic(", "chatgroq("),),
     ),
-    (r'HumanMessage\(content=f["\']', (("(",), ("humanmessage(",))),
+    (r'HumanMessage\(content=f["\']', (("humanmessage(",),)),
     (
         r"SystemMessage\(content=(?:user_input|user_message|request)",
-        (("(",), ("systemmessage(",)),
+        (("systemmessage(",),),
     ),
 ]
 
@@ -78,7 +80,7 @@ _PROMPT_SCRIPT = [
     (
         r"(?:prompt|systemPrompt|messages)\s*[+]=?\s*"
         r"(?:userInput|userMessage|req\.body|request\.body)",
-        (("+",), ("prompt", "messages"), ("userinput", "usermessage", ".body")),
+        (("prompt+", "messages+"),),
     ),
     (
         r"openai\.(?:chat\.completions\.create|createChatCompletion)\([^)]*`[^`]*\$\{",
@@ -230,9 +232,12 @@ _PII_VARIABLES = [
         r"(?:cpf|cnpj|ssn|social_security|credit_card|card_number|passwd|password|senha)"
         r"\s*[=:]\s*\S+",
         (
-            ("=", ":"),
-            ("cpf", "cnpj", "ssn", "social_security", "credit_card", "card_number")
-            + ("passwd", "password", "senha"),
+            tuple(
+                name + sign
+                for name in ("cpf", "cnpj", "ssn", "social_security", "credit_card")
+                + ("card_number", "passwd", "password", "senha")
+                for sign in "=:"
+            ),
         ),
     ),
     (
@@ -245,12 +250,12 @@ _PII_VARIABLES = [
     ),
     (
         r"(?:log|logger|logging|print)\s*\(.*(?:user_input|query|message|prompt)",
-        (("(",), ("log", "print"), ("user_input", "query", "message", "prompt")),
+        (("log(", "logger(", "logging(", "print("),),
     ),
     (
         r"(?:log\.info|log\.debug|logger\.info|logger\.debug|print)\s*\(.*"
         r"(?:user_data|pii|personal)",
-        (("(",), ("log.", "logger.", "print"), ("user_data", "pii", "personal")),
+        (("log.info(", "log.debug(", "logger.info(", "logger.debug(", "print("),),
     ),
 ]
 
@@ -258,7 +263,7 @@ _SECRETS_IN_PROMPTS = [
     (
         r'(?:system_prompt|system_message|prompt|SYSTEM)\s*=\s*["\'].*'
         r"(?:sk-|api[_-]?key|secret|token|password)",
-        (("=",), _QUOTE, ("prompt", "system")),
+        (("prompt=", "system_message=", "system="), _QUOTE),
     ),
     (
         r'f["\'].*(?:password|secret|api_key|token|sk-|bearer)\s*[=:]\s*\{',
@@ -269,15 +274,15 @@ _SECRETS_IN_PROMPTS = [
 _LOGGING = [
     (
         r"(?:logger|logging|log)\.\w+\s*\(.*(?:prompt|response|llm_response|completion|output)",
-        (("(",), ("log.", "logger.", "logging.")),
+        (("(",), ("log",)),
     ),
     (
         r"print\s*\(.*(?:full_prompt|system_prompt|user_data|pii)",
-        (("(",), ("print",), ("full_prompt", "system_prompt", "user_data", "pii")),
+        (("print(",),),
     ),
     (
         r"(?:console\.log|winston|logger)\s*\(.*(?:prompt|response|userInput)",
-        (("(",), ("console.log", "winston", "logger")),
+        (("console.log(", "winston(", "logger("),),
     ),
 ]
 
@@ -418,21 +423,21 @@ _OUTPUT_PYTHON = [
         r"(?:render_template_string|Markup|mark_safe|format_html)\s*\(\s*" + _OUTPUT,
         "LLM output rendered as raw HTML (XSS risk)",
         "critical",
-        (("(",), ("render_template_string", "markup", "mark_safe", "format_html")),
+        (("render_template_string(", "markup(", "mark_safe(", "format_html("),),
     ),
     (
         "LLM02-EVAL-001",
         r"(?:eval|exec|compile)\s*\(\s*" + _OUTPUT,
         "LLM output passed to eval/exec (Remote Code Execution risk)",
         "critical",
-        (("(",), ("eval", "exec", "compile")),
+        (("eval(", "exec(", "compile("),),
     ),
     (
         "LLM02-SQL-001",
         r"(?:cursor\.execute|db\.execute|engine\.execute|session\.execute)\s*\(.*?" + _OUTPUT,
         "LLM output interpolated into SQL query (SQL Injection via LLM)",
         "critical",
-        (("(",), (".execute",)),
+        ((".execute(",),),
     ),
     (
         "LLM02-OS-001",
@@ -443,7 +448,10 @@ _OUTPUT_PYTHON = [
         + ")",
         "LLM output used in OS/shell command (Command Injection risk)",
         "critical",
-        (("(",), ("os.system", "subprocess.", "os.popen")),
+        (
+            ("os.system(", "os.popen(", "subprocess.run(", "subprocess.call(")
+            + ("subprocess.check_output(", "subprocess.popen("),
+        ),
     ),
     (
         "LLM02-SSRF-001",
@@ -451,28 +459,31 @@ _OUTPUT_PYTHON = [
         + _OUTPUT,
         "LLM output used as URL in HTTP request (SSRF risk)",
         "high",
-        (("(",), ("requests.", "httpx.", "urllib.")),
+        (
+            ("requests.get(", "requests.post(", "requests.put(", "httpx.get(", "httpx.post(")
+            + ("urllib.request.urlopen(",),
+        ),
     ),
     (
         "LLM02-TEMPLATE-001",
         r"(?:jinja2\.Template|Template)\s*\(\s*" + _OUTPUT + r"\s*\)\.render",
         "LLM output used as Jinja2 template (Server-Side Template Injection risk)",
         "critical",
-        (("(",), (").render",)),
+        (("template(",),),
     ),
     (
         "LLM02-FILE-001",
         r"(?:open|write_text|write_bytes)\s*\(\s*" + _OUTPUT,
         "LLM output written directly to file without validation",
         "medium",
-        (("(",), ("open", "write_text", "write_bytes")),
+        (("open(", "write_text(", "write_bytes("),),
     ),
     (
         "LLM02-PICKLE-001",
         r"(?:pickle\.loads|pickle\.load|dill\.loads)\s*\(\s*" + _OUTPUT,
         "LLM output deserialized with pickle (arbitrary code execution risk)",
         "critical",
-        (("(",), ("pickle.", "dill.")),
+        (("pickle.loads(", "pickle.load(", "dill.loads("),),
     ),
 ]
 
@@ -483,21 +494,27 @@ _OUTPUT_SCRIPT = [
         r"(?:\{?\s*__html\s*:\s*)?" + _OUTPUT,
         "LLM output set as innerHTML/dangerouslySetInnerHTML (XSS risk)",
         "critical",
-        (("=", ":"), ("innerhtml", "outerhtml", "document.write")),
+        (
+            tuple(
+                name + sign
+                for name in ("innerhtml", "outerhtml", "document.write")
+                for sign in "=:"
+            ),
+        ),
     ),
     (
         "LLM02-EVAL-TS-001",
         r"(?:eval|new Function|setTimeout|setInterval)\s*\(\s*" + _OUTPUT,
         "LLM output passed to eval/Function constructor (Code Execution risk)",
         "critical",
-        (("(",), ("eval", "new function", "settimeout", "setinterval")),
+        (("eval(", "function(", "settimeout(", "setinterval("),),
     ),
     (
         "LLM02-SQL-TS-001",
         r"(?:db\.query|pool\.query|client\.query|connection\.query)\s*\(\s*[`\"\'].*\$\{" + _OUTPUT,
         "LLM output interpolated into SQL query (SQL Injection via LLM)",
         "critical",
-        (("${",), (".query",)),
+        (("${",), (".query(",)),
     ),
 ]
 
@@ -601,21 +618,21 @@ _AGENCY = [
         r"(?:ShellTool|BashTool|bash_tool)\s*\(",
         "LLM agent has access to Shell/Bash execution tool",
         "critical",
-        (("(",), ("shelltool", "bashtool", "bash_tool")),
+        (("shelltool(", "bashtool(", "bash_tool("),),
     ),
     (
         "LLM08-REPL-001",
         r"(?:PythonREPLTool|python_repl|PythonAstREPLTool)\s*\(",
         "LLM agent has access to Python REPL — arbitrary code execution",
         "critical",
-        (("(",), ("pythonrepltool", "python_repl", "pythonastrepltool")),
+        (("pythonrepltool(", "python_repl(", "pythonastrepltool("),),
     ),
     (
         "LLM08-FILE-WRITE-001",
         r"(?:WriteFileTool|DeleteFileTool|MoveFileTool|FileManagementToolkit)\s*\(",
         "LLM agent has unrestricted filesystem write/delete access",
         "high",
-        (("(",), ("filetool", "filemanagementtoolkit")),
+        (("filetool(", "filemanagementtoolkit("),),
     ),
     (
         "LLM08-DB-WRITE-001",
@@ -629,21 +646,27 @@ _AGENCY = [
         r"(?:GmailSendMessage|send_email|smtp\.sendmail|email\.send)\s*(?:\(|=)",
         "LLM agent can send emails without human review",
         "high",
-        (("(", "="), ("gmailsendmessage", "send_email", "smtp.sendmail", "email.send")),
+        (
+            tuple(
+                name + sign
+                for name in ("gmailsendmessage", "send_email", "smtp.sendmail", "email.send")
+                for sign in "(="
+            ),
+        ),
     ),
     (
         "LLM08-AGENT-VERBOSE-001",
         _AGENT_CALL + r"verbose\s*=\s*False",
         "Agent initialized with verbose=False — reduces auditability",
         "low",
-        (("(",), ("initialize_agent", "agentexecutor"), ("verbose",)),
+        (("initialize_agent(", "agentexecutor("), ("verbose=",)),
     ),
     (
         "LLM08-MAX-ITER-001",
         _AGENT_CALL + r"max_iterations\s*=\s*(?:[5-9][0-9]|[1-9][0-9]{2,})",
         "Agent configured with very high max_iterations (DoS/runaway agent risk)",
         "medium",
-        (("(",), ("initialize_agent", "agentexecutor"), ("max_iterations",)),
+        (("initialize_agent(", "agentexecutor("), ("max_iterations=",)),
     ),
     (
         "LLM08-HUMAN-LOOP-001",
@@ -712,7 +735,7 @@ def _excessive_agency() -> list[Rule]:
             severity="medium",
             kind="tool",
             pattern=_TOOL_PATTERN,
-            needs=(("(",), ("tool", "sendmessage", "createdraft", "humaninputrun")),
+            needs=(tuple(tool.lower() + "(" for tool in DANGEROUS_TOOLS),),
             description=(
                 "The agent tool '{tool}' grants the LLM excessive permissions. If the agent is "
                 "compromised via prompt injection, an attacker could use this tool to execute "
@@ -784,7 +807,7 @@ _RETRIEVAL = [
         r"(?:user_input|query|request|user_query)",
         "RAG retriever called with raw user input — no access control on retrieved documents",
         "high",
-        (("(",), ("retriever.", "vector_store.", "vectorstore.")),
+        ((".get_relevant_documents(", ".similarity_search(", ".retrieve("),),
         (None, None),
     ),
     (
@@ -792,7 +815,7 @@ _RETRIEVAL = [
         _CHUNK_HEAD + ".*" + _CHUNK_TAIL,
         "Retrieved RAG document content concatenated with user input — injection risk",
         "high",
-        (("+",), ("page_content", "text"), ("user_input", "query")),
+        (("page_content+", "text+"),),
         (
             _CHUNK_HEAD + ".*?" + _CHUNK_TAIL + ".*",
             r"\A(?>.*?" + _CHUNK_HEAD + ").*?" + _CHUNK_TAIL,
@@ -804,7 +827,7 @@ _RETRIEVAL = [
         r"\([^)]*\)\s*\n(?!.*(?:filter|where|metadata_filter|user_id|tenant))",
         "Vector store created without apparent multi-tenancy or access control filters",
         "medium",
-        (("(",), (".from_documents", ".from_texts")),
+        ((".from_documents(", ".from_texts("),),
         (None, None),
     ),
 ]

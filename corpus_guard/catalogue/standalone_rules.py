@@ -42,7 +42,7 @@ _PYTHON_TABLE = [
         "critical",
         "prompt_injection",
         0.88,
-        (("=",), ("prompt", "messages")),
+        (("prompt=", "messages=", "prompt+", "messages+"),),
     ),
     (
         "LLM01-003",
@@ -55,7 +55,7 @@ _PYTHON_TABLE = [
         "high",
         "prompt_injection",
         0.85,
-        (("(",), ("humanmessage",)),
+        (("humanmessage(",),),
     ),
     (
         "LLM01-004",
@@ -68,7 +68,12 @@ _PYTHON_TABLE = [
         "critical",
         "prompt_injection",
         0.87,
-        (("(",), ("llm.", "chain.", "model.")),
+        (
+            tuple(
+                f".{call}("
+                for call in ("invoke", "predict", "call", "generate", "complete", "run")
+            ),
+        ),
     ),
     (
         "LLM02-EVAL-001",
@@ -82,7 +87,7 @@ _PYTHON_TABLE = [
         "critical",
         "insecure_output",
         0.95,
-        (("(",), ("eval", "exec")),
+        (("eval(", "exec("),),
     ),
     (
         "LLM02-SQL-001",
@@ -95,7 +100,7 @@ _PYTHON_TABLE = [
         "critical",
         "insecure_output",
         0.88,
-        (("(",), (".execute",)),
+        ((".execute(",),),
     ),
     (
         "LLM02-OS-001",
@@ -108,7 +113,10 @@ _PYTHON_TABLE = [
         "critical",
         "insecure_output",
         0.90,
-        (("(",), ("os.system", "subprocess.", "os.popen")),
+        (
+            ("os.system(", "os.popen(", "subprocess.run(", "subprocess.call(")
+            + ("subprocess.check_output(", "subprocess.popen("),
+        ),
     ),
     (
         "LLM02-XSS-001",
@@ -122,7 +130,7 @@ _PYTHON_TABLE = [
         "critical",
         "insecure_output",
         0.88,
-        (("(",), ("render_template_string", "markup", "mark_safe")),
+        (("render_template_string(", "markup(", "mark_safe("),),
     ),
     (
         "LLM06-LOG-001",
@@ -136,7 +144,7 @@ _PYTHON_TABLE = [
         "medium",
         "data_leak",
         0.72,
-        (("(",), ("log.", "logger.", "logging.")),
+        (("(",), ("log",)),
     ),
     (
         "LLM06-CPF-001",
@@ -163,7 +171,14 @@ _PYTHON_TABLE = [
         "high",
         "data_leak",
         0.70,
-        (("=", ":"), ("llm", "openai", "anthropic", "invoke", "predict")),
+        (
+            tuple(
+                name + sign
+                for name in ("cpf", "cnpj", "ssn", "credit_card", "card_number")
+                + ("senha", "password")
+                for sign in "=:"
+            ),
+        ),
     ),
     (
         "LLM08-SHELL-001",
@@ -178,7 +193,7 @@ _PYTHON_TABLE = [
         "critical",
         "excessive_agency",
         0.95,
-        (("(",), ("shelltool",)),
+        (("shelltool(",),),
     ),
     (
         "LLM08-REPL-001",
@@ -192,7 +207,7 @@ _PYTHON_TABLE = [
         "critical",
         "excessive_agency",
         0.95,
-        (("(",), ("pythonrepltool", "pythonastrepltool")),
+        (("pythonrepltool(", "pythonastrepltool("),),
     ),
     (
         "LLM08-FILE-001",
@@ -206,7 +221,7 @@ _PYTHON_TABLE = [
         "high",
         "excessive_agency",
         0.90,
-        (("(",), ("filetool", "filemanagementtoolkit")),
+        (("filetool(", "filemanagementtoolkit("),),
     ),
     (
         "LLM08-EMAIL-001",
@@ -220,7 +235,7 @@ _PYTHON_TABLE = [
         "high",
         "excessive_agency",
         0.92,
-        (("(",), ("gmailsendmessage",)),
+        (("gmailsendmessage(",),),
     ),
     (
         "LLM08-MAXITER-001",
@@ -233,7 +248,7 @@ _PYTHON_TABLE = [
         "medium",
         "excessive_agency",
         0.80,
-        (("=",), ("max_iterations",)),
+        (("max_iterations=",),),
     ),
     (
         "SEC-OPENAI-001",
@@ -260,7 +275,7 @@ _PYTHON_TABLE = [
         "critical",
         "secret_exposure",
         0.93,
-        (_QUOTE, ("sk-ant-",)),
+        (_QUOTE, ("sk-",)),
     ),
     (
         "SEC-GROQ-001",
@@ -296,7 +311,7 @@ _PYTHON_TABLE = [
         "high",
         "secret_exposure",
         0.82,
-        (_QUOTE, ("=",), ("key", "token")),
+        (("key=", "token="), _QUOTE),
     ),
     (
         "SEC-PASSWORD-001",
@@ -308,7 +323,7 @@ _PYTHON_TABLE = [
         "critical",
         "secret_exposure",
         0.85,
-        (_QUOTE, ("=",), ("password", "passwd", "pwd", "db_pass")),
+        (("password=", "passwd=", "pwd=", "db_pass="), _QUOTE),
     ),
     (
         "RAG-NOAC-001",
@@ -322,7 +337,7 @@ _PYTHON_TABLE = [
         "high",
         "rag_security",
         0.80,
-        (("(",), ("retriever.", "vector_store.", "vectorstore.")),
+        ((".get_relevant_documents(", ".similarity_search(", ".retrieve("),),
     ),
     (
         "JB-001",
@@ -377,7 +392,7 @@ _SCRIPT_TABLE = [
         "critical",
         "insecure_output",
         0.90,
-        (("=",), ("innerhtml", "outerhtml", "document.write")),
+        (("innerhtml=", "outerhtml=", "document.write="),),
     ),
     (
         "LLM02-EVAL-TS-001",
@@ -390,7 +405,7 @@ _SCRIPT_TABLE = [
         "critical",
         "insecure_output",
         0.93,
-        (("(",), ("eval", "new function")),
+        (("eval(", "function("),),
     ),
     (
         "SEC-OPENAI-TS-001",
@@ -403,7 +418,7 @@ _SCRIPT_TABLE = [
         "critical",
         "secret_exposure",
         0.94,
-        (_QUOTE, (":",), ("apikey",)),
+        (("apikey:",), _QUOTE),
     ),
     (
         "SEC-OPENAI-TS-002",
@@ -415,7 +430,7 @@ _SCRIPT_TABLE = [
         "critical",
         "secret_exposure",
         0.94,
-        (_QUOTE, (":",), ("apikey",)),
+        (("apikey:",), _QUOTE),
     ),
 ]
 

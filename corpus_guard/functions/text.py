@@ -37,9 +37,18 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def has_odd_break(text: str) -> str:
+    """Whether a text has line breaks other than "\\n"."""
+    latin = sql_string(r"[\x0b\x0c\r\x1c-\x1e\x85]")
+    return f"({text} RLIKE {latin} OR contains({text}, '\u2028') OR contains({text}, '\u2029'))"
+
+
 def lines_of(text: str) -> str:
     """The lines of a text: no break characters, no empty line after a final break."""
-    pieces = f"split({text}, {sql_string(LINE_BREAK)}, -1)"
+    pieces = (
+        f"IF({has_odd_break(text)}, split({text}, {sql_string(LINE_BREAK)}, -1), "
+        f"split({text}, '\\n', -1))"
+    )
     trimmed = "IF(element_at(ls, -1) = '', slice(ls, 1, size(ls) - 1), ls)"
     return let("ls", pieces, trimmed)
 

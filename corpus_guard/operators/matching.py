@@ -23,7 +23,7 @@ from corpus_guard.catalogue.model import Rule
 from corpus_guard.catalogue.names import SEVERITY_RANK, SUPPORTED_LANGUAGES
 from corpus_guard.catalogue.package_rules import THREE_DIGITS
 from corpus_guard.functions import text as tx
-from corpus_guard.functions.dialect import SPACE, to_java, without_boundaries
+from corpus_guard.functions.dialect import PYTHON_SPACE, SPACE, to_java
 
 KEY = ["unit_id", "path"]
 
@@ -33,13 +33,14 @@ def match_rules(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = K
 
     Offsets and columns count characters from 0, lines from 1.
     """
+    hit = f"IF(contains(text, '{_EDGE}'), substring(text, m.offset + 1, char_length(m.hit)), m.hit)"
     located = _over_matches(
         rules,
         rules,
         False,
         f"flatten(transform(raws, raw -> transform({_located('raw')}, m -> named_struct("
-        "'rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset,"
-        " 'hit', m.hit))))",
+        "'rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset, "
+        f"'hit', {hit}))))",
     )
     return units.select(*keep, F.inline(F.expr(located)))
 
@@ -100,8 +101,20 @@ def _over_matches(
     numbered = [(n, r) for n, r in enumerate(rules) if id(r) in wanted]
     if not numbered:
         raise ValueError("no rule to match")
-    raws = ",\n".join(_raw_matches(n, r) for n, r in numbered)
-    raws = f"filter(array({raws}), raw -> raw IS NOT NULL AND size(raw.hits) > 0)"
+    marked = ",\n".join(_marked(n, r) for n, r in numbered)
+    hits = "filter(pieces, (p, i) -> i % 2 = 1)"
+    gaps = "filter(pieces, (p, i) -> i % 2 = 0)"
+    raw = tx.let(
+        "pieces",
+        f"split(r.marked, '{_EDGE}', -1)",
+        f"named_struct('no', r.no, 'hits', {hits}, 'gaps', {gaps})",
+    )
+    raws = (
+        f"transform(filter(array({marked}), "
+        f"r -> r IS NOT NULL AND contains(r.marked, '{_EDGE}')), r -> {raw})"
+    )
+    searched = f"IF(contains(text, '{_EDGE}'), replace(text, '{_EDGE}', '{_STAND_IN}'), text)"
+    raws = tx.let("searched", searched, raws)
     matched = tx.let("raws", raws, f"IF(size(raws) > 0, {body}, NULL)")
     applies = "array_contains(r.languages, language)"
     if filtered:
@@ -109,7 +122,7 @@ def _over_matches(
     live = f"""transform(filter(settings, r -> {applies}
         AND forall(r.needs, alternatives -> arrays_overlap(alternatives, found))), r -> r.no)"""
     matched = tx.let("live", live, f"IF(size(live) > 0, {matched}, NULL)")
-    matched = _with_found([_needs(r, filtered) for _, r in numbered], matched)
+    matched = _with_found([r for _, r in numbered], filtered, matched)
     return tx.let("settings", _settings(rules, wanted, filtered), matched)
 
 
@@ -119,6 +132,11 @@ def _needs(rule: Rule, filtered: bool) -> tuple[tuple[str, ...], ...]:
     return rule.needs
 
 
+def _any_sign(word: str) -> str:
+    """A required word as it is found: heads do not tell signs apart."""
+    return word[:-1] + "(" if len(word) > 1 and word[-1] in _SIGNS else word
+
+
 def _settings(rules: Sequence[Rule], wanted: set[int], filtered: bool) -> str:
     groups: dict[str, int] = {}
     rows = [
@@ -133,7 +151,7 @@ def _settings(rules: Sequence[Rule], wanted: set[int], filtered: bool) -> str:
             "after": rule.after,
             "col": rule.column,
             "languages": (rule.languages or SUPPORTED_LANGUAGES) if id(rule) in wanted else (),
-            "needs": _needs(rule, filtered),
+            "needs": [[_any_sign(w) for w in group] for group in _needs(rule, filtered)],
         }
         for number, rule in enumerate(rules)
     ]
@@ -141,44 +159,53 @@ def _settings(rules: Sequence[Rule], wanted: set[int], filtered: bool) -> str:
     return f"from_json({tx.sql_string(text)}, '{_SETTINGS}')"
 
 
-def _with_found(needs: Sequence[tuple[tuple[str, ...], ...]], body: str) -> str:
+def _with_found(rules: Sequence[Rule], filtered: bool, body: str) -> str:
     """Bind ``found``, the required strings a unit holds.
 
     One regex pass tells units that hold none; those are done unless a rule requires nothing.
-
-    Few prose units hold the punctuation that rules on code need, so a word is only searched for
+    In the others a string is searched where its rule can match, which is rarely the whole text:
+    a word before a sign in the words before signs (``heads``), a phrase that only counts inside
+    a string or comment in the lines that hold one (``quoted``). And a word is only searched for
     in units with a punctuation mark that some rule wants next to it.
     """
+    needs = [_needs(r, filtered) for r in rules]
     marks: dict[str, None] = {}
-    gates: dict[str, set[str] | None] = {}
-    for groups in needs:
+    gates: dict[tuple[str, str], set[str] | None] = {}
+    for rule, groups in zip(rules, needs):
         own_marks = [g for g in groups if all(_is_mark(w) for w in g)]
         for word in (w for group in groups for w in group):
             if _is_mark(word):
                 marks[word] = None
+            elif word[-1] in _SIGNS:
+                marks[word[-1]] = None
+                known = gates.get(("heads", _any_sign(word)), set())
+                gates["heads", _any_sign(word)] = known | {word[-1]}
             elif word != THREE_DIGITS:
+                area = "quoted" if filtered and rule.context == "quoted" else "folded"
                 gate = set(own_marks[0]) if own_marks else None
-                known = gates.get(word, set())
-                gates[word] = None if gate is None or known is None else known | gate
-    free = [word for word, gate in gates.items() if gate is None]
+                known = gates.get((area, word), set())
+                gates[area, word] = None if gate is None or known is None else known | gate
+    free = [word for (_, word), gate in gates.items() if gate is None]
     digits = any((THREE_DIGITS,) in groups for groups in needs)
+    if not (free or marks or digits):
+        return tx.let("found", _strings(), body)
 
-    table = json.dumps([{"word": w, "marks": sorted(g or ())} for w, g in gates.items()])
-    table = f"from_json({tx.sql_string(table)}, 'array<struct<word string, marks array<string>>>')"
-    words = "transform(filter(wanted, w -> contains(folded, w.word)), w -> w.word)"
-    words = f"IF(size(wanted) = 0, {_strings()}, {tx.let('folded', _folded('text'), words)})"
-    wanted = f"filter({table}, w -> size(w.marks) = 0 OR arrays_overlap(w.marks, marks))"
-    found = ["marks", tx.let("wanted", wanted, words)]
+    found = ["marks"]
+    areas = {"heads": _HEADS, "quoted": _QUOTED, "folded": "folded"}
+    for area, search_in in areas.items():
+        rows = [{"w": w, "m": sorted(g or ())} for (at, w), g in gates.items() if at == area]
+        if rows:
+            table = tx.sql_string(json.dumps(rows))
+            table = f"from_json({table}, 'array<struct<w string, m array<string>>>')"
+            wanted = f"filter({table}, r -> size(r.m) = 0 OR arrays_overlap(r.m, marks))"
+            held = "transform(filter(wanted, r -> contains(area, r.w)), r -> r.w)"
+            held = f"IF(size(wanted) = 0, {_strings()}, {tx.let('area', search_in, held)})"
+            found.append(tx.let("wanted", wanted, held))
     if digits:
         run = _strings([THREE_DIGITS])
         found.append(f"IF(text RLIKE {tx.sql_string(_DIGITS)}, {run}, {_strings()})")
-    held = tx.let(
-        "marks",
-        f"filter({_strings(marks)}, m -> contains(text, m))",
-        f"concat({', '.join(found)})",
-    )
-    if not (free or marks or digits):
-        return tx.let("found", _strings(), body)
+    held = tx.let("folded", _folded("text"), f"concat({', '.join(found)})")
+    held = tx.let("marks", f"filter({_strings(marks)}, m -> contains(text, m))", held)
     gate = tx.sql_string(_any_string(free, marks, digits))
     held = f"IF(text RLIKE {gate}, {held}, {_strings()})"
     if not all(needs):
@@ -186,6 +213,21 @@ def _with_found(needs: Sequence[tuple[tuple[str, ...], ...]], body: str) -> str:
     return tx.let("found", held, f"IF(size(found) > 0, {body}, NULL)")
 
 
+# Words before a sign, without the white space between and with "(" for any sign: "f = (x)" gives
+# "f(" and "(". What is kept of a long stretch is well above the longest required word.
+_SIGNS = "(=:+"
+_HEADS = (
+    f"array_join(transform(split(folded, '[{_SIGNS}]', -1), "
+    f"piece -> right(rtrim({tx.sql_string(PYTHON_SPACE)}, piece), 60)), '(')"
+)
+# Lines are told by "\n" here; a text with other line breaks is searched whole.
+_QUOTED = (
+    f"IF({tx.has_odd_break('text')}, folded, array_join(filter("
+    "split(folded, '\\n', -1), "
+    f"l -> l RLIKE {tx.sql_string('[' + ''.join(m[0] for m in tx.STRING_MARKS) + ']')}), '\\n'))"
+)
+
+
 def _is_mark(word: str) -> bool:
     return word != THREE_DIGITS and not any(c.isalpha() for c in word)
 
@@ -223,20 +265,32 @@ def _either_case(letter: str) -> str:
 
 def _folded(text: str) -> str:
     """Lower case, with the letters that match an ASCII letter when case is ignored folded."""
-    for letter, ascii_letter in (("ſ", "s"), ("ı", "i"), ("İ", "i")):
-        text = f"replace({text}, '{letter}', '{ascii_letter}')"
-    return f"lower({text})"
+    letters = (("ſ", "s"), ("ı", "i"), ("İ", "i"))
+    replaced = text
+    for letter, ascii_letter in letters:
+        replaced = f"replace({replaced}, '{letter}', '{ascii_letter}')"
+    rare = " OR ".join(f"contains({text}, '{letter}')" for letter, _ in letters)
+    return f"lower(IF({rare}, {replaced}, {text}))"
 
 
 # ------------------------------------------------------------------ one rule
-def _raw_matches(number: int, rule: Rule) -> str:
-    """The rule's hits and the gaps between them, null where the rule does not apply."""
-    probe = tx.sql_string(to_java(rule.probe or without_boundaries(rule.pattern), rule.dotall))
+# Hits are told from gaps by an edge character put around them in one pass. It is a code point
+# reserved for internal use; where a text holds it, another such code point stands in, which every
+# pattern takes alike.
+_EDGE = "\ufdd0"
+_STAND_IN = "\ufdd1"
+
+
+def _marked(number: int, rule: Rule) -> str:
+    """The rule's number and the text with edges around its hits, null where it does not apply."""
     pattern = tx.sql_string(to_java(rule.engine_pattern or rule.pattern, rule.dotall))
+    applies = f"array_contains(live, {number})"
+    if rule.probe:
+        applies += f" AND searched RLIKE {tx.sql_string(to_java(rule.probe, rule.dotall))}"
+    replacement = tx.sql_string(f"{_EDGE}$0{_EDGE}")
     return (
-        f"CASE WHEN array_contains(live, {number}) AND text RLIKE {probe} THEN named_struct("
-        f"'no', {number}, 'hits', regexp_extract_all(text, {pattern}, 0), "
-        f"'gaps', split(text, {pattern}, -1)) END"
+        f"IF({applies}, named_struct('no', {number}, "
+        f"'marked', regexp_replace(searched, {pattern}, {replacement})), NULL)"
     )
 
 
@@ -261,15 +315,11 @@ def _located(raw: str) -> str:
         "breaks", tx.running(f"transform(segments, s -> {tx.newlines_in('s')})"), body
     )
     body = tx.let("starts", tx.running("transform(segments, s -> char_length(s))"), body)
-    # a match of nothing at the very start has no gap before it
-    gaps = (
-        f"IF(size({raw}.gaps) = size({raw}.hits), concat(array(''), {raw}.gaps), {raw}.gaps)"
-    )
     segments = (
         f"transform({raw}.hits, (h, i) -> "
-        f"concat(IF(i = 0, '', get({raw}.hits, i - 1)), get(gaps, i)))"
+        f"concat(IF(i = 0, '', get({raw}.hits, i - 1)), get({raw}.gaps, i)))"
     )
-    return tx.let("gaps", gaps, tx.let("segments", segments, body))
+    return tx.let("segments", segments, body)
 
 
 # ------------------------------------------------------------------ context, snippet, first-wins

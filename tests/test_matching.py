@@ -35,6 +35,10 @@ NOISE = [
     '"function" "name"',
     "Document chunk text",
     "naïve-résumé ŝ",
+    "\ufdd0eval(output)\ufdd0\ufdd1",
+    "eval  \u2003(\x1c output)",
+    "password\u3000 = 'abcd'",
+    "x" * 80 + ".execute(output",
 ]
 
 
