@@ -127,14 +127,17 @@ def first_findings(findings: DataFrame, unit: Sequence[str] = UNIT_KEY) -> DataF
 
 
 def in_report_order(findings: DataFrame) -> DataFrame:
-    """Most severe first, then by path, line and discovery."""
+    """Most severe first, then by path, line and discovery.
+
+    A global sort samples its input before it sorts it: pass stored findings, not a scan.
+    """
     return findings.orderBy(
         severity_rank().desc(), "path", "line", "unit_id", "rule_no", "offset"
     )
 
 
 def in_severity_order(findings: DataFrame) -> DataFrame:
-    """Most severe first, otherwise in discovery order."""
+    """Most severe first, otherwise in discovery order; pass stored findings here too."""
     return findings.orderBy(severity_rank().desc(), *DISCOVERY_ORDER)
 
 

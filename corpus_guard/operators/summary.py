@@ -84,7 +84,7 @@ def severity_sections(findings: DataFrame) -> DataFrame:
     """Findings above info with the size of their severity's section, for a sectioned report.
 
     The counts are joined back from a five-row aggregate; a window over the section would put a
-    third of all findings into one task.
+    third of all findings into one task. Findings are read twice: pass stored ones, not a scan.
     """
     shown = findings.where(severity_rank() > 0)
     sizes = shown.groupBy("severity").agg(F.count("*").alias("section_findings"))

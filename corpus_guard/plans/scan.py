@@ -40,25 +40,44 @@ def scan(
     """Findings of the built-in rules, one per (unit, line, rule id).
 
     Units are one row each (``sources``), so without verdicts the de-duplication happens inside
-    the row and the whole scan runs without a shuffle. Verdicts are applied between the severity
-    filter and the de-duplication; then the latter is a grouped minimum over findings.
+    the row and the whole scan runs without a shuffle. With verdicts this is ``settle`` over
+    ``candidates``; call those two to ask for verdicts in between without scanning twice.
     """
-    rules = package_rules(shipped_rules() if declarative is None else declarative)
-    units = units.where(F.col("language").isin(*config.languages))
-    matches = _matches(
-        units,
-        rules,
-        config.min_severity,
-        verdicts is None,
-        keep,
-        by_syntax=config.concatenation == "syntax",
-    )
-    if verdicts is None:
-        return attach_rules(matches, rules, columns)
-    # long texts join the findings that are left, not those that are shuffled
-    judged = apply_verdicts(attach_rules(matches, rules, BRIEF), verdicts)
-    first = first_findings(judged, keep)
-    return attach_rules(first, rules, [c for c in columns if c not in BRIEF])
+    if verdicts is not None:
+        found = candidates(units, config, declarative, keep)
+        return settle(found, verdicts, declarative, columns, keep)
+    rules = _rules(declarative)
+    return attach_rules(_matches(units, rules, config, True, keep), rules, columns)
+
+
+def candidates(
+    units: DataFrame,
+    config: ScanConfig = ScanConfig(),
+    declarative: Sequence[Rule] | None = None,
+    keep: Sequence[str] = KEY,
+) -> DataFrame:
+    """Every finding from the minimum severity up, before verdicts and de-duplication."""
+    rules = _rules(declarative)
+    return attach_rules(_matches(units, rules, config, False, keep), rules, BRIEF)
+
+
+def settle(
+    found: DataFrame,
+    verdicts: DataFrame,
+    declarative: Sequence[Rule] | None = None,
+    columns: Sequence[str] = DETAIL,
+    keep: Sequence[str] = KEY,
+) -> DataFrame:
+    """Candidates after their verdicts, one per (unit, line, rule id).
+
+    The long texts join the findings that are left, not those that are shuffled.
+    """
+    first = first_findings(apply_verdicts(found, verdicts), keep)
+    return attach_rules(first, _rules(declarative), [c for c in columns if c not in BRIEF])
+
+
+def _rules(declarative: Sequence[Rule] | None) -> list[Rule]:
+    return package_rules(shipped_rules() if declarative is None else declarative)
 
 
 def scan_standalone(
@@ -69,34 +88,27 @@ def scan_standalone(
 ) -> DataFrame:
     """Findings of the standalone rules; there is no severity filter and no verdict here."""
     rules = standalone_rules()
-    matches = _matches(
-        units,
-        rules,
-        "info",
-        True,
-        keep,
-        by_syntax=concatenation == "syntax",
-        attributes=False,
-        literals=("string", "constant"),
-    )
+    config = ScanConfig("info", languages=("python", "typescript"), concatenation=concatenation)
+    literals = ("string", "constant")
+    matches = _matches(units, rules, config, True, keep, attributes=False, literals=literals)
     return attach_rules(matches, rules, columns)
 
 
 def _matches(
     units: DataFrame,
     rules: Sequence[Rule],
-    min_severity: str,
+    config: ScanConfig,
     first_only: bool,
     keep: Sequence[str],
-    by_syntax: bool,
     **options,
 ) -> DataFrame:
     """Regex matches and concatenations in one pass; their rule ids differ, so they never clash."""
-    found = findings_array(rules, min_severity, first_only)
-    reported = at_least(rules, min_severity)
+    units = units.where(F.col("language").isin(*config.languages))
+    found = findings_array(rules, config.min_severity, first_only)
+    reported = at_least(rules, config.min_severity)
     for number, rule in enumerate(rules):
         if rule.kind == "concat" and rule in reported:
-            units, sums = with_sums(units, rule, by_syntax)
+            units, sums = with_sums(units, rule, config.concatenation == "syntax")
             concatenated = concat_array(number, rule, sums, **options)
             found = f"concat(coalesce({found}, array()), coalesce({concatenated}, array()))"
     return units.select(*keep, F.inline(F.expr(found))).drop("rule_group")

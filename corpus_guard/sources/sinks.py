@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_guard.operators.findings import in_report_order, in_severity_order
 from corpus_guard.operators.summary import scan_summary
+from corpus_guard.plans.stage import stored
 
 # Columns that place a finding in the engine but are not part of a report.
 _INTERNAL = ("rule_no", "offset", "tool", "unit_id")
@@ -46,15 +49,21 @@ def as_json(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def write_report(rows: DataFrame, units: DataFrame, directory: str, **meta: str) -> None:
+def write_report(
+    findings: DataFrame,
+    units: DataFrame,
+    directory: str,
+    rows: Callable[[DataFrame], DataFrame] = report_rows,
+    **meta: str,
+) -> None:
     """Write ``findings`` (JSON lines in order) and ``summary`` (one line) below a directory.
 
-    The summary counts the findings just written, so the scan runs once.
+    A global sort reads its input twice and the summary once more, so the findings are stored
+    first and the scan runs once.
     """
-    rows.write.mode("overwrite").json(f"{directory}/findings")
-    severities = rows.select("severity").schema
-    written = rows.sparkSession.read.schema(severities).json(f"{directory}/findings")
-    summary = scan_summary(written, units, {**META, **meta})
+    kept = stored(findings)
+    rows(kept).write.mode("overwrite").json(f"{directory}/findings")
+    summary = scan_summary(kept, units, {**META, **meta})
     summary.coalesce(1).write.mode("overwrite").json(f"{directory}/summary")
 
 

@@ -12,7 +12,7 @@ from corpus_guard.catalogue import names
 from corpus_guard.functions import remediate
 from corpus_guard.operators import concat, findings as fo, judge, retrieval, summary
 from corpus_guard.operators.matching import match_findings, match_rules
-from corpus_guard.plans.scan import ScanConfig, scan, scan_standalone
+from corpus_guard.plans.scan import ScanConfig, candidates, scan, scan_standalone, settle
 from corpus_guard.plans.stage import stored
 from corpus_guard.sources import files, ignore, paths, rules as rule_source, sinks, tables
 from queries import corpora, oracle
@@ -288,7 +288,7 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"ORDER BY {_REPORT_ORDER}",
 )
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = fo.in_report_order(python_findings(spark, sf_dir))
+    ordered = fo.in_report_order(stored(python_findings(spark, sf_dir)))
     return ordered.select("unit_id", "path", "line", "rule_id", "severity")
 
 
@@ -298,7 +298,7 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     f'ORDER BY {rank()} DESC, path, unit_id, rule_no, "offset"',
 )
 def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = fo.in_severity_order(python_findings(spark, sf_dir))
+    ordered = fo.in_severity_order(stored(python_findings(spark, sf_dir)))
     return ordered.select("unit_id", "path", "line", "rule_id", "severity")
 
 
@@ -459,16 +459,9 @@ QUALIFY row_number() OVER (PARTITION BY unit_id, path, line, rule_id
 
 @register("judged_findings", _JUDGED_SQL)
 def judged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = corpora.python_units(spark, sf_dir)
-    asked = every_finding(spark, sf_dir).select(
-        *judge.FINDING_KEY, F.expr(_ANSWER).alias("response")
-    )
-    number, rule = _CONCAT
-    sums = concat.concat_findings(units, number, rule, by_syntax=False)
-    asked = asked.unionByName(
-        sums.select(*judge.FINDING_KEY, F.expr(_ANSWER).alias("response"))
-    )
-    judged = scan(units, CONFIG, columns=fo.BRIEF, verdicts=judge.parse_verdicts(asked))
+    found = stored(candidates(corpora.python_units(spark, sf_dir), CONFIG))
+    answers = found.select(*judge.FINDING_KEY, F.expr(_ANSWER).alias("response"))
+    judged = settle(found, judge.parse_verdicts(answers), columns=fo.BRIEF)
     confidence = F.round("confidence", 9).alias("confidence")
     return judged.select("unit_id", "line", "rule_id", confidence, "detected_by")
 
@@ -494,7 +487,7 @@ def findings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def standalone_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpora.python_units(spark, sf_dir)
-    return sinks.standalone_report_rows(scan_standalone(units, "pattern"))
+    return sinks.standalone_report_rows(stored(scan_standalone(units, "pattern")))
 
 
 @register(

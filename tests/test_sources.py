@@ -191,11 +191,16 @@ def test_report(spark, tmp_path):
     write(tmp_path / "src", {"a.py": "open(result)\n" + KEY_LINE})
     units = files.file_units(spark, str(tmp_path / "src"))
     found = scan(units)
-    sinks.write_report(sinks.report_rows(found), units, str(tmp_path / "out"), target="src")
+    sinks.write_report(found, units, str(tmp_path / "out"), target="src")
     rows = spark.read.json(str(tmp_path / "out" / "findings")).collect()
     assert {r.rule_id for r in rows} == {"LLM02-FILE-001", "SEC-OPENAI-001", "SEC-GENERIC-001"}
     meta = spark.read.json(str(tmp_path / "out" / "summary")).first()
     assert (meta.scanned_files, meta.total, meta.critical, meta.target) == (1, 3, 1, "src")
+    files_read = files.standalone_units(spark, str(tmp_path / "src"))
+    flat = scan_standalone(files_read)
+    out = str(tmp_path / "flat")
+    sinks.write_report(flat, files_read, out, sinks.standalone_report_rows)
+    assert spark.read.json(f"{out}/findings").first().owasp_id == "LLM06"
     one = spark.createDataFrame([(0.825, "x" * 300)], "c double, r string")
     got = one.select(sinks.percent(F.col("c")), sinks.recommendation_excerpt(F.col("r"))).first()
     assert got[0] == "82%" and len(got[1]) == 200
