@@ -18,7 +18,7 @@ PYTHON = ("python",)
 SCRIPT = ("typescript", "javascript")
 _QUOTE = ('"', "'")
 
-# ---------------------------------------------------------------- fixed values: OWASP references
+# ---------------------------------------------------------------- fixed values: OWASP entries
 _SITE = "https://owasp.org/www-project-top-10-for-large-language-model-applications/"
 _LLM01 = ("LLM01", "Prompt Injection", _SITE + "llm01-prompt-injection")
 _LLM02 = ("LLM02", "Insecure Output Handling", _SITE + "llm02-insecure-output-handling")
@@ -976,8 +976,8 @@ def _jailbreak() -> list[Rule]:
 
 
 # ---------------------------------------------------------------- helpers
-def _owasp(reference: tuple[str, str, str]) -> dict[str, str]:
-    return dict(zip(("owasp_id", "owasp_name", "owasp_url"), reference))
+def _owasp(entry: tuple[str, str, str]) -> dict[str, str]:
+    return dict(zip(("owasp_id", "owasp_name", "owasp_url"), entry))
 
 
 def bounded(pattern: str) -> str | None:

@@ -7,14 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_directory(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate results; a temporary one if it names none."""
+    """The folder the session names for intermediate results.
+
+    A local session without one gets a temporary folder; on a cluster that would be a different
+    folder on every machine, so there it is an error.
+    """
     directory = spark.conf.get("spark.checkpoint.dir", None)
-    if not directory:
-        directory = tempfile.mkdtemp(prefix="corpus-guard-")
-        spark.conf.set("spark.checkpoint.dir", directory)
-    return directory
+    if directory:
+        return directory
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="corpus-guard-")
+    return _local_folders[context.applicationId]
 
 
 def stored(result: DataFrame) -> DataFrame:
