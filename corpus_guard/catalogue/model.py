@@ -16,7 +16,8 @@ class Rule:
     lacks all strings of any one group cannot match. A string that ends in one of ``(=:+`` stands
     for its word followed by white space and that sign. ``engine_pattern`` and ``probe`` replace the
     pattern by a linear-time form with the same match start where the plain one backtracks over
-    the whole unit (see ``operators.matching``).
+    the whole unit (see ``operators.matching``). With ``check`` the engine pattern also takes what
+    the pattern does not match, and every hit is checked against the pattern.
     """
 
     rule_id: str
@@ -44,6 +45,7 @@ class Rule:
     needs: tuple[tuple[str, ...], ...] = ()
     engine_pattern: str | None = None
     probe: str | None = None
+    check: bool = False
     # what happens to a match
     context: str = "none"  # see functions.text.CONTEXT_FILTERS
     value_filter: str = "none"  # none, pii or secret

@@ -176,7 +176,9 @@ def _prompt_injection() -> list[Rule]:
     )
     owasp = _owasp(_LLM01)
     rules = [
-        Rule(pattern=p, needs=n, languages=PYTHON, context="hash", **python, **owasp)
+        Rule(
+            pattern=p, needs=n, languages=PYTHON, context="hash", **per_line(p), **python, **owasp
+        )
         for p, n in _PROMPT_PYTHON
     ]
     rules.append(Rule(pattern="", kind="concat", languages=PYTHON, **concat, **owasp))
@@ -327,6 +329,7 @@ def _data_leak() -> list[Rule]:
             severity="high",
             pattern=pattern,
             needs=needs,
+            **per_line(pattern),
             description=(
                 "A variable name suggesting PII (CPF, CNPJ, SSN, password, credit card) appears "
                 "to be used in or near an LLM API call. This may cause sensitive data to be sent "
@@ -356,6 +359,7 @@ def _data_leak() -> list[Rule]:
             severity="critical",
             pattern=pattern,
             needs=needs,
+            **per_line(pattern),
             description=(
                 "An API key, password, or secret token appears to be embedded in a prompt "
                 "template. This can expose credentials to end users via prompt extraction attacks "
@@ -385,6 +389,7 @@ def _data_leak() -> list[Rule]:
             severity="medium",
             pattern=pattern,
             needs=needs,
+            **per_line(pattern),
             description=(
                 "LLM prompts or responses are being logged. If these contain user PII or "
                 "sensitive data, it will be persisted in log files which may not have adequate "
@@ -987,6 +992,19 @@ def bounded(pattern: str) -> str | None:
     return r"(?=\d)(?<!\w)" + pattern[2:-2] + r"(?!\w)"
 
 
+def per_line(pattern: str) -> dict:
+    """Linear-time matching of ``head.*tail`` on long lines.
+
+    A head without a tail behind it takes the rest of its line, as no later head on the line can
+    have one either; searching from each of them would cost heads times line length. The check
+    removes those hits.
+    """
+    head, between, tail = pattern.partition(".*")
+    if not between:
+        return {}
+    return dict(engine_pattern=f"{head}(?:.*{tail}|.*+)", check=True)
+
+
 def _first_words(text: str, n: int) -> str:
     return " ".join(text.split()[:n])
 

@@ -38,7 +38,7 @@ def match_rules(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = K
         rules,
         rules,
         False,
-        f"flatten(transform(raws, raw -> transform({_located('raw')}, m -> named_struct("
+        f"flatten(transform(raws, raw -> transform({_located('raw', rules)}, m -> named_struct("
         "'rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset, "
         f"'hit', {hit}))))",
     )
@@ -66,7 +66,7 @@ def findings_array(
     rules: Sequence[Rule], min_severity: str = "info", first_only: bool = True
 ) -> str:
     """SQL for the findings of one unit as an array of rows, null if there are none."""
-    findings = _surviving(min_severity)
+    findings = _surviving(rules, min_severity)
     if first_only:
         findings = _deduplicated(findings)
     return _over_matches(
@@ -280,6 +280,7 @@ def _folded(text: str) -> str:
 # pattern takes alike.
 _EDGE = "\ufdd0"
 _STAND_IN = "\ufdd1"
+_START = r"\A"
 
 
 def _marked(number: int, rule: Rule) -> str:
@@ -295,11 +296,16 @@ def _marked(number: int, rule: Rule) -> str:
     )
 
 
-def _located(raw: str) -> str:
+def _located(raw: str, rules: Sequence[Rule]) -> str:
     """An array of (line, column, offset, hit) for a rule's raw matches.
 
     Hit i follows gap i, so running totals over (previous hit + gap) give where each hit starts.
     """
+    checks = " ".join(
+        f"WHEN {n} THEN m.hit RLIKE {tx.sql_string(to_java(f'{_START}(?:{r.pattern})', r.dotall))}"
+        for n, r in enumerate(rules)
+        if r.check
+    )
     body = f"""
     zip_with({raw}.hits, arrays_zip(starts, breaks, line_starts), (h, at) -> named_struct(
         'line', at.breaks + 1, 'column', at.starts - at.line_starts,
@@ -320,7 +326,8 @@ def _located(raw: str) -> str:
         f"transform({raw}.hits, (h, i) -> "
         f"concat(IF(i = 0, '', get({raw}.hits, i - 1)), get({raw}.gaps, i)))"
     )
-    return tx.let("segments", segments, body)
+    placed = tx.let("segments", segments, body)
+    return f"filter({placed}, m -> CASE {raw}.no {checks} ELSE true END)" if checks else placed
 
 
 # ------------------------------------------------------------------ context, snippet, first-wins
@@ -333,7 +340,7 @@ def _choose(field: str, filters: dict[str, str | None], value: str) -> str:
     return f"CASE {cases} ELSE true END"
 
 
-def _surviving(min_severity: str) -> str:
+def _surviving(rules: Sequence[Rule], min_severity: str) -> str:
     """Findings of all raw matches; needs ``raws``, ``settings`` and ``lines``."""
     tool = f"regexp_extract(m.hit, {tx.sql_string('^[^' + SPACE + '(]+')}, 0)"
     line = tx.line_at("lines", "m.line")
@@ -348,7 +355,7 @@ def _surviving(min_severity: str) -> str:
         'rule_group', rule.grp, 'line', m.line, 'rule_no', rule.no, 'offset', m.offset,
         'column', IF(rule.col, m.column, 0), 'tool', IF(rule.tool, {tool}, NULL),
         'code_snippet', {tx.snippet('lines', 'm.line', 'rule.before', 'rule.after')})"""
-    rows = f"transform(filter({_located('raw')}, m -> {kept}), m -> {row})"
+    rows = f"transform(filter({_located('raw', rules)}, m -> {kept}), m -> {row})"
     return f"flatten(transform(raws, raw -> {tx.let('rule', 'get(settings, raw.no)', rows)}))"
 
 

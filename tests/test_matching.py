@@ -124,6 +124,17 @@ def test_many_matches_in_one_unit(spark, unit):
     assert match_findings(unit(text), rules).count() == kept
 
 
+def test_long_line_with_many_heads(spark, unit):
+    """A line of many heads and no tail behind them is searched in linear time."""
+    text = "password " + "context logger.info( " * 30_000 + "\nlogger.info(prompt) context ssn"
+    got = match_findings(unit(text), package_rules()).collect()
+    assert sorted((r.line, r.rule_no) for r in got if r.line == 1) == []
+    assert {package_rules()[r.rule_no].rule_id for r in got} == {
+        "LLM06-PII-VAR-001",
+        "LLM06-LOG-001",
+    }
+
+
 def test_rule_without_required_strings(spark, unit):
     rules = [
         Rule("R-1", "t", "low", "data_leak", r"\bfoo\b", "d", 0.5),
