@@ -6,7 +6,8 @@ from queries import corpora, registry
 
 
 def test_contract():
-    queries, sqls = entry_point.queries(), entry_point.oracle_sql()
+    queries, sqls = registry.queries(), registry.oracle_sql()
+    assert set(queries) <= set(entry_point.queries()) and set(sqls) <= set(entry_point.oracle_sql())
     assert set(sqls) <= set(queries) and len(queries) > 70
     assert set(queries) - set(sqls) == {"tainted_concatenation_by_syntax", "file_inventory"}
 
