@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import language, quality, toxicity
+from corpus_guard.llm import jaccard, language, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.op1,
+    "op4_jaccard_join": jaccard.op4,
     "op8_toxicity": toxicity.op8,
     "op10_quality": quality.op10,
 }
