@@ -14,7 +14,9 @@ import pyarrow as pa
 #: Bytes of text that one block of work covers; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: An odd base of polynomial hashes, and its inverse modulo 2 ** 64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
@@ -65,12 +67,18 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Blanks and all other ASCII characters that are neither letter nor digit.
+NO_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text number of every word; no word reaches over the end of a text."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~SPACE[data]
+    solid = ~blank[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
@@ -92,7 +100,7 @@ _powers = np.ones(1, np.uint64)
 def _powers_to(length: int) -> np.ndarray:
     global _powers
     if len(_powers) < length:
-        _powers = np.cumprod(np.full(max(length, 2 * len(_powers)), _BASE, np.uint64))
+        _powers = np.cumprod(np.full(max(length, 2 * len(_powers)), BASE, np.uint64))
     return _powers
 
 
@@ -115,7 +123,7 @@ def grams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
         return np.zeros(0, np.uint64), np.zeros(0, owner.dtype)
     total = np.zeros(count, np.uint64)
     for i in range(n):
-        total = total * _BASE + hashes[i : i + count]
+        total = total * BASE + hashes[i : i + count]
     inside = owner[:count] == owner[n - 1 :]
     return salted(total[inside], n), owner[:count][inside]
 

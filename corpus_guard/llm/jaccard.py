@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpus_guard.llm import arrays
 from corpus_guard.llm.components import components
-from corpus_guard.llm.shared import table, written
+from corpus_guard.llm.shared import ROW, checked, row_key, table, without, written
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def shingle_sets(column: pa.Array, words: int):
                 yield first + i, arrays.grams(own, np.zeros(len(own), np.int64), len(own))[0]
 
 
-def _slots(keys: np.ndarray, counters: int) -> np.ndarray:
+def slots(keys: np.ndarray, counters: int) -> np.ndarray:
     return (arrays.salted(keys, 3) & np.uint64(counters - 1)).astype(np.int64)
 
 
@@ -98,8 +98,8 @@ def tallied(frame: DataFrame, keys_of, counters: int) -> np.ndarray:
         total = np.zeros(counters, np.uint32)
         for batch in batches:
             for keys in keys_of(batch):
-                slots, seen = np.unique(_slots(keys, counters), return_counts=True)
-                total[slots] += seen.astype(np.uint32)
+                places, seen = np.unique(slots(keys, counters), return_counts=True)
+                total[places] += seen.astype(np.uint32)
         parts = total.reshape(-1, _CHUNK)
         used = np.flatnonzero(parts.any(axis=1))
         for i in range(0, len(used), 16):
@@ -132,7 +132,7 @@ class Frequency:
         self.estimate = np.where(above < 4 * np.sqrt(load) + 2, 1, above).astype(np.float32)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.estimate[_slots(keys, len(self.estimate))]
+        return self.estimate[slots(keys, len(self.estimate))]
 
 
 def prefix(keys: np.ndarray, seen: np.ndarray, join: Join) -> tuple[int, np.ndarray, np.ndarray]:
@@ -193,8 +193,8 @@ def _sets(marks, join: Join):
 
     def run(batches):
         for batch in batches:
-            slots = _slots(np.asarray(batch.column("row")).view(np.uint64), join.marks)
-            marked = (marks.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
+            at = slots(np.asarray(batch.column("row")).view(np.uint64), join.marks)
+            marked = (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             texts = batch.column("text").filter(pa.array(marked.astype(bool)))
             found = [keys for _, keys in shingle_sets(texts, join.words)]
             ends = pa.array(np.cumsum([0] + [len(k) for k in found]), pa.int32())
@@ -297,7 +297,7 @@ def _components(entries: DataFrame, facts: DataFrame, sets: DataFrame, join: Joi
 def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | None]:
     """The documents with their nodes, and (node, root) of the nodes that are linked to others."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
 
     def shingles(batch):
         return (keys for _, keys in shingle_sets(batch.column("text"), join.words))
@@ -335,24 +335,50 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | N
     return members.drop("entries"), _components(entries, facts, written(sets), join)
 
 
+def _rooted(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, row, n_shingles and root of every row; root is null where the set is empty."""
+    members, roots = linked(docs, join)
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def classes(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``.
 
     component_id is the smallest doc_id that links reach, the row's own included. Texts that are
     null or without words have an empty set and are linked with nothing: their component is their
     doc_id. Texts of fewer words than a shingle are one shingle. Equal sets are always linked.
-    Repeated rows are linked. Further columns of ``docs`` are ignored.
+    Repeated rows are linked. A null doc_id is larger than all others. Further columns of ``docs``
+    are ignored.
     """
-    members, roots = linked(docs, join)
-    if roots is None:
-        members = members.withColumn("root", F.col("node"))
-    else:
-        members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = members.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    members = members.join(least, "root", "left")
-    return members.select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
-    )
+    rows = _rooted(docs, join)
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    component = F.coalesce("least", "doc_id").alias("component_id")
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", component)
+
+
+def keep(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def one_of_each(docs: DataFrame, join: Join = JOIN) -> DataFrame:
+    """``docs`` with one row of each component, that of smallest doc_id, with the columns it had.
+
+    Of rows equal in doc_id and text one stays. Rows whose set is empty all stay.
+    """
+    rows = _rooted(docs, join).where("root IS NOT NULL").select("root", "doc_id", F.col("row").alias(ROW))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("members"))
+    first = first.where("members > 1").select("root", F.col(f"first.{ROW}").alias("kept"))
+    groups = written(rows.join(first, "root").select(ROW, (F.col(ROW) == F.col("kept")).alias("stays")))
+    docs = without(docs, groups.where("NOT stays"))
+    again = groups.where("stays").groupBy(ROW).count().where("count > 1").select(ROW)
+    if again.isEmpty():
+        return docs
+    again = written(again)
+    same = docs.withColumn(ROW, row_key("doc_id", "text")).join(checked(again), ROW, "left_semi")
+    return without(docs, again).unionByName(same.dropDuplicates([ROW]).drop(ROW))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

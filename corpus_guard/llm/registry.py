@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import jaccard, language, quality, toxicity
+from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.op1,
+    "op2_mixing": mixing.op2,
     "op4_jaccard_join": jaccard.op4,
+    "op5_decontamination": decontaminate.op5,
+    "op7_chat_format": chat.op7,
     "op8_toxicity": toxicity.op8,
     "op10_quality": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op7_chat_format": chat.OP7_SQL}

@@ -36,3 +36,27 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: Rows of a few numbers each that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, marked for broadcast if it has at most ``rows`` rows; beyond that it is shuffled."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def row_key(*columns: str) -> Column:
+    """A hash that names a row by its contents; nulls differ from all values."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
+
+
+#: A column name for such hashes that tables do not have.
+ROW = "__row_key"
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key of doc_id and text is not in ``rows`` (ROW), columns as before."""
+    found = docs.withColumn(ROW, row_key("doc_id", "text"))
+    return found.join(checked(rows.select(ROW).distinct()), ROW, "left_anti").drop(ROW)

@@ -17,7 +17,6 @@ from corpus_guard.llm.shared import remainder, table
 BOUNDS = Sampling(per_class=4000, max_features=20_000)
 THRESHOLD = 0.7
 ORDERS = (4, 5, 6)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(column: pa.Array):
@@ -37,7 +36,7 @@ def features(column: pa.Array):
         for n in range(2, max(ORDERS) + 1):
             if len(points) < n:
                 break
-            total = total[:-1] * _BASE + points[n - 1 :]
+            total = total[:-1] * arrays.BASE + points[n - 1 :]
             if n in ORDERS:
                 fits = room[: len(total)] >= n
                 yield owner[: len(total)][fits], arrays.salted(total[fits], n)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import language, quality
+from corpus_guard.llm import decontaminate, jaccard, language, mixing, quality
 from corpus_guard.llm.shared import table, written
 
 STAGES = [
     ("quality classifier", quality.keep),
     ("language ID", language.keep),
+    ("n-gram Jaccard join", jaccard.keep),
+    ("benchmark decontamination", decontaminate.keep),
+    ("mixing sources to target weights", mixing.stage),
 ]
 
 #: The classifiers cannot be expressed in SQL.
