@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, toxicity
+from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,8 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": decontaminate.op5,
     "op7_chat_format": chat.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_url_filter": url_filter.op9,
     "op10_quality": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op7_chat_format": chat.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op7_chat_format": chat.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
