@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, toxicity, url_filter
+from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": mixing.op2,
     "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontaminate.op5,
+    "op6_simhash": simhash.op6,
     "op7_chat_format": chat.op7,
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
