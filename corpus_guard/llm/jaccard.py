@@ -30,16 +30,18 @@ from corpus_guard.llm.shared import ROW, checked, row_key, table, without, writt
 class Join:
     """``percent``: least similarity. ``most_shared``: largest l. ``counters``: size of the table of
     estimated frequencies, the same for any input. ``verify``: cost of comparing one shingle in
-    units of one prefix entry. ``salt_over``: entries of one shingle that one group takes, by
+    units of one prefix entry. ``chance``: how many other documents are taken to hold a shingle that
+    is not known to be frequent. ``salt_over``: entries of one shingle that one group takes, by
     estimate. ``marks``: size of the table that picks the texts to verify, in bits.
     ``pivot_rounds``: how often nodes are tried against a pivot before candidates are listed.
     """
 
     words: int = 5
     percent: int = 75
-    most_shared: int = 8
+    most_shared: int = 24
     counters: int = 1 << 20
     verify: float = 0.1
+    chance: float = 0.25
     salt_over: int = 4096
     marks: int = 1 << 24
     pivot_rounds: int = 3
@@ -143,7 +145,7 @@ def prefix(keys: np.ndarray, seen: np.ndarray, join: Join) -> tuple[int, np.ndar
     order = np.lexsort((keys, np.floor(np.log2(seen))))[: size - least + most]
     seen = seen[order]
     entries = np.cumsum(seen)[size - least :]
-    others = np.cumsum(seen - 1)[size - least :]
+    others = np.cumsum(seen - 1 + join.chance)[size - least :]
     shared = np.arange(1, most + 1)
     best = int(np.argmin(entries + join.verify * size * others / shared)) + 1
     kept = size - least + best
@@ -225,21 +227,25 @@ def _fits(size: str, other: str, percent: int):
 def _pivot_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each node outside its shingles' largest component one node inside, by most shingles.
 
-    ``entries``: token, node, root, members, size. Every shingle offers one pivot, the same for all
+    ``entries``: token, node, root, members, size, need. Every shingle offers one pivot, the same for all
     its nodes; a node takes the one that most of its shingles offer.
     """
     chance = [F.xxhash64(c, F.lit(turn)) for c in ("root", "node")]
     offers = entries.groupBy("token").agg(
-        F.max(F.struct("members", *chance, "node", "root", "size")).alias("pivot"),
+        F.max(F.struct("members", *chance, "node", "root", "size", "need")).alias("pivot"),
         F.min("root").alias("low"),
         F.max("root").alias("high"),
     )
     offers = offers.where("low <> high").select(
-        "token", *[F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "size")]
+        "token", *[F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "size", "need")]
     )
     met = entries.join(offers, "token")
     met = met.where((F.col("root") != F.col("other_root")) & _fits("size", "other_size", percent))
-    votes = met.groupBy("node", "other_node").agg(F.count("*").alias("votes"))
+    votes = met.groupBy("node", "other_node").agg(
+        F.count("*").alias("votes"), F.min(F.least("need", "other_need")).alias("need")
+    )
+    # only some of the shingles two nodes share offer this pivot
+    votes = votes.where(F.col("votes") * 2 >= F.col("need"))
     best = votes.groupBy("node").agg(F.max_by("other_node", F.struct("votes", "other_node")).alias("b"))
     return best.select(F.col("node").alias("a"), "b")
 
@@ -263,6 +269,14 @@ def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.where("shared >= need")
 
 
+def _possible(entries: DataFrame, facts: DataFrame) -> DataFrame:
+    """Nodes that hold as many shared shingles as they or one they share one with must share."""
+    known = entries.join(facts.select("node", "need"), "node")
+    least = known.groupBy("token").agg(F.min("need").alias("need"))
+    own = entries.join(least, "token").groupBy("node").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    return own.where("shared >= need").select("node")
+
+
 def _now(facts: DataFrame, roots: DataFrame | None) -> DataFrame:
     """node, size, need, root and the number of nodes of that root."""
     if roots is None:
@@ -321,8 +335,9 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | N
     entries = written(entries.where((F.col("low") != F.col("high")) | frequent).select(token.alias("token"), "node"))
 
     facts = some.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "need", "row")])
-    facts = facts.join(entries.select("node").distinct(), "node", "left_semi")
-    facts = written(facts.withColumnRenamed("n_shingles", "size"))
+    facts = facts.withColumnRenamed("n_shingles", "size")
+    facts = written(facts.join(_possible(entries, facts), "node", "left_semi"))
+    entries = written(entries.join(facts.select("node"), "node", "left_semi"))
 
     def picked(batch):
         yield np.asarray(batch.column("row")).view(np.uint64)
