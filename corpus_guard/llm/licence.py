@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_guard.functions import text as tx
 from corpus_guard.llm.shared import table
 
 UNKNOWN = "unknown"
@@ -192,9 +193,15 @@ def fit(docs: DataFrame, scan: Scan = SCAN) -> Model:
     return train([p for text in texts for p in paragraphs(text)], scan)
 
 
-def _constant(values, kind: str) -> Column:
+def _constant(values, kind: str) -> str:
     """An array that is made once, when the plan is optimised."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return f"CAST(split('{','.join(map(str, values))}', ',') AS ARRAY<{kind}>)"
+
+
+def _total(numbers: str, start: float, weights) -> str:
+    """The sum of the weights of gram numbers, which count from 1."""
+    values = _constant([0.0, *(float(w) for w in weights)], "double")
+    return f"aggregate({numbers}, CAST({start!r} AS DOUBLE), (s, n) -> s + element_at({values}, n + 1))"
 
 
 def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
@@ -212,30 +219,25 @@ def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
     # what each gram can add, at most, to the lead of any family over the unknown class
     lead = np.maximum((model.weights[:-1] - model.weights[-1]).max(axis=0), 0)
     lead_bias = float((model.bias[:-1] - model.bias[-1]).max())
-    slots = _constant(numbers, "int")
 
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda p: F.trim(p) != "")
     rows = docs.select("doc_id", F.posexplode(lines).alias("paragraph", "line"))
-    words = F.filter(F.split(F.lower("line"), _BETWEEN), lambda w: w != "")
-    rows = rows.select("doc_id", "paragraph", words.alias("words"))
-    pairs = F.zip_with(
-        F.expr("slice(words, 1, greatest(size(words) - 1, 0))"),
-        F.expr("slice(words, 2, greatest(size(words) - 1, 0))"),
-        lambda a, b: F.xxhash64(a, b),
+    # an array of one paragraph or none, so that all of it is evaluated once
+    number = f"element_at({_constant(numbers, 'int')}, CAST(pmod(h, {scan.slots}) AS INT) + 1)"
+    hit = f"""IF({_total('found', lead_bias, lead)} >= 0, array(named_struct('pairs', pairs, 'found', found)),
+        array())"""
+    hit = tx.let(
+        "found", f"array_distinct(filter(transform(concat(ones, pairs), h -> {number}), n -> n > 0))", hit
     )
-    rows = rows.select("doc_id", "paragraph", F.transform("words", lambda w: F.xxhash64(w)).alias("ones"), pairs.alias("pairs"))
-
-    def number(h):
-        return F.element_at(slots, (F.pmod(h, F.lit(scan.slots)) + 1).cast("int"))
-
-    found = F.filter(F.transform(F.concat("ones", "pairs"), number), lambda n: n > 0)
-    rows = rows.select("doc_id", "paragraph", "pairs", F.array_distinct(found).alias("found"))
+    pairs = """zip_with(slice(words, 1, greatest(size(words) - 1, 0)),
+        slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> xxhash64(a, b))"""
+    hit = tx.let("ones", "transform(words, w -> xxhash64(w))", tx.let("pairs", pairs, hit))
+    hit = tx.let("words", f"filter(split(lower(line), {tx.sql_string(_BETWEEN)}), w -> w <> '')", hit)
+    rows = rows.select("doc_id", "paragraph", F.inline(F.expr(hit)))
 
     def total_of(start: float, weights) -> Column:
-        values = _constant([0.0, *weights], "double")
-        return F.aggregate("found", F.lit(start), lambda s, n: s + F.element_at(values, n + 1))
+        return F.expr(_total("found", start, weights))
 
-    rows = rows.where(total_of(lead_bias, lead) >= 0)
     scores = [total_of(float(b), w) for b, w in zip(model.bias, model.weights)]
     rows = rows.withColumn("scores", F.array(*scores))
     rows = rows.withColumn("best", F.array_max("scores"))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import chat, decontaminate, jaccard, language, mixing, quality, simhash, toxicity, url_filter
+from corpus_guard.llm import chat, decontaminate, jaccard, language, licence, mixing, quality, simhash, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language.op1,
     "op2_mixing": mixing.op2,
+    "op3_licence_scan": licence.op3,
     "op4_jaccard_join": jaccard.op4,
     "op5_decontamination": decontaminate.op5,
     "op6_simhash": simhash.op6,
