@@ -33,6 +33,8 @@ MOST_LANGUAGES = 200
 LEAST_SEEN = 2
 SMOOTH = 8.0
 UNKNOWN = "und"
+#: A column name that tables do not have.
+LETTER = "__has_letter"
 #: Documents whose language weighs less than this are rejected by ``keep``.
 LEAST_SCORE = 0.5
 
@@ -222,13 +224,13 @@ def _labelled(docs: DataFrame, model: Trees, schema: str, run) -> DataFrame:
     def batches(rows):
         for batch in rows:
             language, score = shared.value.predicted(batch.column("text"))
-            letters = np.asarray(batch.column("has_letter"), bool)
+            letters = np.asarray(batch.column(LETTER), bool)
             language = np.where(letters, np.asarray(language, object), UNKNOWN)
             yield run(batch, language, np.where(letters, score, 0.0))
 
     # a null text has no letter
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("has_letter", letter).mapInArrow(batches, schema)
+    return docs.withColumn(LETTER, letter).mapInArrow(batches, schema)
 
 
 def identify(docs: DataFrame, model: Trees) -> DataFrame:
@@ -256,7 +258,7 @@ def accepted(docs: DataFrame, model: Trees, least_score: float = LEAST_SCORE) ->
 
     def run(batch, language, score):
         known = (language != UNKNOWN) & (score >= least_score)
-        return batch.filter(pa.array(known.astype(bool))).drop_columns(["has_letter"])
+        return batch.filter(pa.array(known.astype(bool))).drop_columns([LETTER])
 
     return _labelled(docs, model, docs.schema, run)
 

@@ -165,7 +165,8 @@ def train(unknown: list[str], scan: Scan = SCAN) -> Model:
             around = draw.integers(0, 12, 2) * draw.integers(0, 2, 2)
             before, after = ([filler[i] for i in draw.integers(len(filler), size=n)] for n in around)
             rows.append((family, before + words[at : at + size] + after))
-    rows.append((len(families), []))
+    rows += [(len(families), words[:n]) for n, words in zip(range(3 * scan.cuttings), [[], *others])]
+    rows += [(len(families), [])] * scan.cuttings  # paragraphs without any of the grams
     x, y = np.zeros((len(rows), len(grams))), np.array([label for label, _ in rows])
     for i, (_, words) in enumerate(rows):
         x[i, [place[g] for g in _grams(words) if g in place]] = 1
