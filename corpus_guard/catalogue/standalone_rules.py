@@ -166,7 +166,7 @@ _PYTHON_TABLE = [
         "PII Variable Sent to LLM API",
         "A variable name suggesting PII (CPF, CNPJ, SSN, password, credit card) appears "
         "to be passed to an LLM API call. This may expose personal data to external AI services.",
-        "Audit all data sent to LLM APIs. Anonymize or pseudonymize PII before inclusion in prompts.",
+        "Audit all data sent to external LLM APIs. Anonymize or pseudonymize PII before inclusion in prompts.",
         "LLM06",
         "high",
         "data_leak",

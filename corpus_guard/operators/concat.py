@@ -1,100 +1,53 @@
 """Tainted string concatenation: ``+`` of a user-controlled name and a prompt or literal.
 
 The operands of every ``+`` come out as rows (line, kind and name of each side), and the taint
-rule is a condition on those rows. Operands are read either from Python's own syntax tree, which
-is exact and only accepts units that parse, or by a pattern over each line, which stays in the
-JVM and also reads fragments. Of a chain ``a + b + c`` only ``a`` and ``b`` are compared.
+rule is a condition on those rows. Of a chain ``a + b + c`` only ``a`` and ``b`` are compared.
 
-The pattern reads what stands on one line: names, dotted names and plain string literals around a
-``+``. It takes calls, subscripts, products and parenthesised operands for other expressions, as
-the syntax tree does; it is fooled by a ``+`` inside a comment or a longer string.
+A line is read by a pattern, after its string literals are emptied and its comment is cut: names,
+dotted names and plain string literals around a ``+``. Calls, subscripts, products and
+parenthesised operands are other expressions. It needs no unit that parses, so fragments of code
+in prose are read too; an expression over several lines is not put together.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpus_guard.catalogue.model import Rule
 from corpus_guard.catalogue.names import PROMPT_NAMES, TAINTED_NAMES
 from corpus_guard.functions import text as tx
 from corpus_guard.operators.matching import KEY
 
-_FIELDS = ("line", "left_kind", "left", "right_kind", "right")
-
-
-# ------------------------------------------------------------------ operands from the syntax tree
-def _sums_of(text: Column) -> Column:
-    # defined here so that workers get the code by value and need no copy of this package
-    def operand(node: ast.expr) -> tuple[str, str]:
-        if isinstance(node, ast.Name):
-            return "name", node.id
-        if isinstance(node, ast.Attribute):
-            return "attribute", node.attr
-        if isinstance(node, ast.Constant):
-            return ("string" if isinstance(node.value, str) else "constant"), ""
-        return "other", ""
-
-    def sums(source: str | None) -> list[str]:
-        if source is None:
-            return []
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
-        return [
-            "\t".join((str(node.lineno), *operand(node.left), *operand(node.right)))
-            for node in ast.walk(tree)
-            if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add)
-        ]
-
-    def per_batch(sources: pd.Series) -> pd.Series:
-        return sources.map(sums)
-
-    per_batch.__annotations__ = {"sources": pd.Series, "return": pd.Series}
-    return F.pandas_udf(per_batch, T.ArrayType(T.StringType()))(text)
-
-
-def operands_by_syntax(text: Column) -> Column:
-    parts = F.transform(_sums_of(text), lambda row: F.split(row, "\t", -1))
-    return F.transform(
-        parts,
-        lambda p: F.struct(
-            p[0].cast("int").alias("line"), *[p[i].alias(_FIELDS[i]) for i in range(1, 5)]
-        ),
-    )
-
-
-# ------------------------------------------------------------------ operands by pattern
+# ------------------------------------------------------------------ operands
 _NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 _STRING = r"\"[^\"]*\"|'[^']*'"
-_BEFORE = r"(?:^|[=(,:\[{]|\b(?:return|yield|in|and|or|not|if|else))[ \t]*"
+_EMPTY = '""'
+_BEFORE = r"(?:^|[=(,:\[{]|\b(?:return|yield|in|and|or|not|if|else)\b)[ \t]*"
 _PAIR = (
-    _BEFORE + rf"({_NAME}|{_STRING})[ \t]*\+[ \t]*({_NAME}|{_STRING})(?![A-Za-z0-9_.\"'(\[])"
+    _BEFORE + rf"({_NAME}|{_EMPTY})[ \t]*\+[ \t]*({_NAME}|{_EMPTY})(?![A-Za-z0-9_.\"'(\[])"
     r"(?![ \t]*[*/%@(\[])"
 )
 
 
-def operands_by_pattern(text: str) -> str:
-    """SQL for the same rows from the first ``+`` of every chain on a line."""
+def operands(text: str) -> str:
+    """SQL for the operand rows: those of the first ``+`` of every chain on a line."""
     pair = tx.sql_string(_PAIR)
 
     def side(n: int, name: str) -> str:
         operand = f"regexp_extract(p, {pair}, {n})"
         return f"""
-            '{name}_kind', CASE WHEN {operand} RLIKE '^["\\']' THEN 'string'
+            '{name}_kind', CASE WHEN {operand} = '{_EMPTY}' THEN 'string'
                                 WHEN contains({operand}, '.') THEN 'attribute' ELSE 'name' END,
-            '{name}', IF({operand} RLIKE '^["\\']', '', substring_index({operand}, '.', -1))"""
+            '{name}', IF({operand} = '{_EMPTY}', '', substring_index({operand}, '.', -1))"""
 
     row = f"named_struct('line', at + 1, {side(1, 'left')}, {side(2, 'right')})"
+    code = f"substring_index(regexp_replace(l, {tx.sql_string(_STRING)}, '{_EMPTY}'), '#', 1)"
     per_line = (
         f"transform(lines, (l, at) -> IF(contains(l, '+'), "
-        f"transform(regexp_extract_all(l, {pair}, 0), p -> {row}), array()))"
+        f"transform(regexp_extract_all({code}, {pair}, 0), p -> {row}), array()))"
     )
     return tx.let("lines", tx.lines_of(text), f"flatten({per_line})")
 
@@ -113,13 +66,12 @@ def may_concatenate(rule: Rule) -> str:
 def concat_array(
     rule_no: int,
     rule: Rule,
-    sums: str,
     attributes: bool = True,
     literals: Sequence[str] = ("string",),
 ) -> str:
     """SQL for the concatenation findings of one unit, rows as in ``matching.findings_array``.
 
-    ``sums`` is SQL for the operand rows. ``attributes`` lets ``obj.name`` count as tainted by its
+    ``attributes`` lets ``obj.name`` count as tainted by its
     last part; ``literals`` are the kinds of constant that count as prompt text.
     """
 
@@ -136,7 +88,7 @@ def concat_array(
         )
 
     hit = f"{tainted('left')} AND {prompt('right')} OR {tainted('right')} AND {prompt('left')}"
-    at_lines = f"array_sort(array_distinct(transform(filter({sums}, s -> {hit}), s -> s.line)))"
+    at_lines = f"array_sort(array_distinct(transform(filter({operands('text')}, s -> {hit}), s -> s.line)))"
     row = f"""named_struct(
         'rule_group', -1, 'line', n, 'rule_no', {rule_no}, 'offset', 0, 'column', 0,
         'tool', CAST(NULL AS STRING),
@@ -145,27 +97,9 @@ def concat_array(
     return f"IF({may_concatenate(rule)}, {rows}, NULL)"
 
 
-def with_sums(units: DataFrame, rule: Rule, by_syntax: bool) -> tuple[DataFrame, str]:
-    """Units ready for ``concat_array`` and the SQL for their operand rows.
-
-    Reading the syntax tree takes a Python worker; it is only sent texts that may hold a tainted
-    concatenation, and null for the others.
-    """
-    if not by_syntax:
-        return units, operands_by_pattern("text")
-    text = F.when(F.expr(may_concatenate(rule)), F.col("text"))
-    return units.withColumn("sums", operands_by_syntax(text)), "sums"
-
-
 def concat_findings(
-    units: DataFrame,
-    rule_no: int,
-    rule: Rule,
-    by_syntax: bool = True,
-    keep: Sequence[str] = KEY,
-    **options,
+    units: DataFrame, rule_no: int, rule: Rule, keep: Sequence[str] = KEY, **options
 ) -> DataFrame:
     """One match per line with a tainted concatenation, shaped like ``match_findings``."""
-    ready, sums = with_sums(units, rule, by_syntax)
-    found = F.expr(concat_array(rule_no, rule, sums, **options))
-    return ready.select(*keep, F.inline(found)).drop("rule_group")
+    found = F.expr(concat_array(rule_no, rule, **options))
+    return units.select(*keep, F.inline(found)).drop("rule_group")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_guard.catalogue.model import Rule
@@ -116,14 +116,18 @@ def at_or_above(findings: DataFrame, severity: str) -> DataFrame:
 def first_findings(findings: DataFrame, unit: Sequence[str] = UNIT_KEY) -> DataFrame:
     """One finding per (unit, line, rule id): the first in discovery order.
 
-    A grouped minimum rather than a ranked window: copies of a hot key shrink to one row per task
-    before the shuffle, and no task has to sort a whole group.
     """
-    key = [*unit, "line", "rule_id"]
-    rest = [c for c in findings.columns if c not in (*key, "rule_no", "offset")]
-    first = F.min(F.struct("rule_no", "offset", *rest)).alias("first")
-    kept = findings.groupBy(*key).agg(first).select(*key, "first.*")
-    return kept.select(*findings.columns)
+    return first_of(findings, [*unit, "line", "rule_id"], ("rule_no", "offset"))
+
+
+def first_of(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key, the first by ``order``.
+
+    The rank has a limit, which Spark applies before the shuffle too: of a hot key one row per task
+    is moved, and only ``order`` is compared, not the rest of the row.
+    """
+    first = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
 
 
 def in_report_order(findings: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Verdicts on findings as a batch job: requests out, responses in as a table.
 
-A finding is identified by (unit_id, rule_no, offset). Which model answers is not this engine's
+A finding is identified by (unit_id, rule_no, line, offset); a concatenation has no offset of its own
+and is one finding per line. Which model answers is not this engine's
 business: ``judge_requests`` yields the prompts, ``parse_verdicts`` reads the answers.
 """
 
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_guard.catalogue.names import EMPTY_SNIPPET, JUDGE_PROMPT
-from corpus_guard.operators.findings import severity_rank
+from corpus_guard.operators.findings import first_of, severity_rank
 
-FINDING_KEY = ("unit_id", "rule_no", "offset")
+FINDING_KEY = ("unit_id", "rule_no", "line", "offset")
 MIN_JUDGED_RANK = 2
 DROP_CONFIDENCE = 0.8
 
@@ -41,17 +42,19 @@ def judge_requests(findings: DataFrame) -> DataFrame:
 def parse_verdicts(responses: DataFrame, response: str = "response") -> DataFrame:
     """(key, verdict, verdict_confidence) from JSON answers; unusable answers are left out.
 
-    An answer needs both ``verdict`` and ``confidence``. A confidence that is not a number makes
-    only its own answer unusable, where the scanner this follows gives up on the whole batch.
+    An answer needs both keys, ``verdict`` and ``confidence``; a verdict that is JSON null is no
+    false positive. A confidence that is not a number makes only its own answer unusable, where the
+    scanner this follows gives up on the whole batch.
     """
-    parsed = F.from_json(
-        F.trim(response), "verdict string, confidence double, reasoning string"
-    )
+    answer = F.trim(response)
+    parsed = F.from_json(answer, "verdict string, confidence double, reasoning string")
+    keyed = F.coalesce(F.array_contains(F.json_object_keys(answer), "verdict"), F.lit(False))
+    parsed = F.when(keyed, parsed)
     return (
         responses.select(*FINDING_KEY, parsed.alias("answer"))
         .select(
             *FINDING_KEY,
-            F.col("answer.verdict").alias("verdict"),
+            F.when(F.col("answer").isNotNull(), F.coalesce("answer.verdict", F.lit("null"))).alias("verdict"),
             F.col("answer.confidence").alias("verdict_confidence"),
         )
         .where(F.col("verdict").isNotNull() & F.col("verdict_confidence").isNotNull())
@@ -65,11 +68,7 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     Findings below medium and those without a verdict pass unchanged. The join is on the finding
     key, which no single unit or rule dominates; a verdict that is repeated counts once.
     """
-    judged = (
-        verdicts.groupBy(*FINDING_KEY)
-        .agg(F.min(F.struct("verdict", "verdict_confidence")).alias("answer"))
-        .select(*FINDING_KEY, "answer.*")
-    )
+    judged = first_of(verdicts, FINDING_KEY, ("verdict", "verdict_confidence"))
     applies = (severity_rank() >= MIN_JUDGED_RANK) & F.col("verdict").isNotNull()
     sure = (F.col("verdict") == "false_positive") & (
         F.col("verdict_confidence") >= DROP_CONFIDENCE

@@ -214,11 +214,11 @@ def _with_found(rules: Sequence[Rule], filtered: bool, body: str) -> str:
 
 
 # Words before a sign, without the white space between and with "(" for any sign: "f = (x)" gives
-# "f(" and "(". What is kept of a long word is well above the longest required one.
+# "f(" and "(".
 _SIGNS = "(=:+"
 _HEADS = (
     f"array_join(transform(split(folded, '[{_SIGNS}]', -1), "
-    f"piece -> substring_index(right(rtrim({tx.sql_string(PYTHON_SPACE)}, piece), 60), ' ', -1)), "
+    f"piece -> substring_index(rtrim({tx.sql_string(PYTHON_SPACE)}, piece), ' ', -1)), "
     "'(')"
 )
 # Lines are told by "\n" here; a text with other line breaks is searched whole.

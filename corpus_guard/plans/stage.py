@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_local_folders: dict[str, str] = {}
 
-
-def shared_directory(spark: SparkSession) -> str:
-    """The folder the session names for intermediate results.
-
-    A local session without one gets a temporary folder; on a cluster that would be a different
-    folder on every machine, so there it is an error.
-    """
-    directory = spark.conf.get("spark.checkpoint.dir", None)
-    if directory:
-        return directory
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="corpus-guard-")
-    return _local_folders[context.applicationId]
-
-
-def stored(result: DataFrame) -> DataFrame:
+def stored(result: DataFrame, folder: str | None = None) -> DataFrame:
     """The result as a table written once, so that reports on it do not repeat the scan.
 
-    Findings are small next to the texts they come from, and the written table outlives lost
-    executors.
+    ``folder`` is a place that all executors share, by default what spark.checkpoint.dir names.
+    Without either the result is not stored, and every report repeats the scan. The caller owns the
+    folder and what is written there.
     """
     spark = result.sparkSession
-    path = f"{shared_directory(spark)}/findings-{uuid.uuid4().hex}"
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return result
+    path = f"{folder}/findings-{uuid.uuid4().hex}"
     result.write.parquet(path)
     return spark.read.schema(result.schema).parquet(path)

@@ -2,8 +2,8 @@
 
 Spark's file sources never list names that start with an underscore, which would lose every
 ``__init__.py``. So a tree on a file system that all executors mount is walked and read in Python
-tasks: the driver only lists the top directory, tasks walk the directories below, and the files
-are spread over tasks again before their content is read. For object stores, where there is no
+tasks: they list one level of directories after the other, and the files are spread over tasks again
+before their content is read. For object stores, where there is no
 mount, ``binary_units`` uses the built-in source and shares its limit on names.
 """
 
@@ -22,7 +22,8 @@ from corpus_guard.catalogue.names import (
     MAX_FILE_SIZE_BYTES,
     SUPPORTED_LANGUAGES,
 )
-from corpus_guard.sources.ignore import ignored
+from corpus_guard.plans.stage import stored
+from corpus_guard.sources.ignore import find_ignore_file, ignored, read_ignore_file
 from corpus_guard.sources.paths import (
     has_language,
     language_of,
@@ -37,39 +38,64 @@ _FILES = 64
 
 
 def list_files(spark: SparkSession, target: str) -> DataFrame:
-    """(path relative to the target, size_bytes) of every file below a directory, or of a file."""
+    """(path relative to the target, size_bytes) of every file below a directory, or of a file.
+
+    The tree is walked level by level: every directory of a level is a row, and tasks list them.
+    A level is stored where the session names a shared folder, so that it is listed once.
+    """
     target = os.path.abspath(target)
     if os.path.isfile(target):
         rows = [(os.path.basename(target), os.path.getsize(target))]
         return spark.createDataFrame(rows, "path string, size_bytes long")
-    entries = [(e.name,) for e in os.scandir(target)]
-    if not entries:
-        return spark.createDataFrame([], "path string, size_bytes long")
 
     # defined here so that workers get the code by value and need no copy of this package
-    def files_below(name: str) -> Iterator[tuple[str, int]]:
-        start = os.path.join(target, name)
-        if os.path.isfile(start):
-            yield name, os.path.getsize(start)
-        for directory, _, files in os.walk(start, followlinks=True):
-            for file in files:
-                full = os.path.join(directory, file)
-                if os.path.isfile(full):
-                    yield os.path.relpath(full, target).replace(os.sep, "/"), os.path.getsize(full)
+    def entries(directory: str) -> Iterator[tuple[str, int, bool]]:
+        try:
+            with os.scandir(os.path.join(target, directory)) as found:
+                for entry in found:
+                    path = f"{directory}/{entry.name}" if directory else entry.name
+                    if entry.is_dir():
+                        yield path, 0, True
+                    elif entry.is_file():
+                        yield path, entry.stat().st_size, False
+        except OSError:
+            return
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name in batch["path"]:
-                found = files_below(name)
+            for directory in batch["path"]:
+                found = entries(directory)
                 while rows := list(itertools.islice(found, _ROWS)):
-                    yield pd.DataFrame(rows, columns=["path", "size_bytes"])
-
-    top = spark.createDataFrame(entries, "path string").repartition("path")
-    return top.mapInPandas(walk, "path string, size_bytes long")
+                    yield pd.DataFrame(rows, columns=["path", "size_bytes", "is_directory"])
+
+    files, directories = None, spark.createDataFrame([("",)], "path string")
+    while files is None or not directories.isEmpty():
+        level = directories.repartition("path").mapInPandas(
+            walk, "path string, size_bytes long, is_directory boolean"
+        )
+        level = stored(level)
+        own = level.where("NOT is_directory").select("path", "size_bytes")
+        files = own if files is None else files.unionAll(own)
+        directories = level.where("is_directory").select("path")
+    return files
+
+
+def with_reason(
+    files: DataFrame,
+    languages: Sequence[str] = SUPPORTED_LANGUAGES,
+    ignore_patterns: Sequence[str] = DEFAULT_IGNORE_PATTERNS,
+    max_bytes: int = MAX_FILE_SIZE_BYTES,
+) -> DataFrame:
+    """Listed files with ``skipped``, why the built-in scan leaves a file out, null if it does not."""
+    path = F.col("path")
+    reason = F.when(ignored(path, ignore_patterns), F.lit("ignored"))
+    reason = reason.when(~has_language(path, languages), F.lit("language"))
+    reason = reason.when(~within_size(F.col("size_bytes"), max_bytes), F.lit("size"))
+    return files.withColumn("skipped", reason)
 
 
 def read_files(files: DataFrame, target: str) -> DataFrame:
-    """Listed files with their ``content``; a file that cannot be read is left out."""
+    """Listed files with their ``content``; that of a file that cannot be read is null."""
     root = os.path.abspath(target)
     if os.path.isfile(root):
         root = os.path.dirname(root)
@@ -85,8 +111,7 @@ def read_files(files: DataFrame, target: str) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), _FILES):
                 part = batch.iloc[start : start + _FILES]
-                part = part.assign(content=[content(p) for p in part["path"]])
-                yield part[part["content"].notna()]
+                yield part.assign(content=[content(p) for p in part["path"]])
 
     return (
         files.select("path", "size_bytes")
@@ -105,16 +130,22 @@ def file_units(
     spark: SparkSession,
     target: str,
     languages: Sequence[str] = SUPPORTED_LANGUAGES,
-    ignore_patterns: Sequence[str] = DEFAULT_IGNORE_PATTERNS,
+    ignore_patterns: Sequence[str] | None = None,
     max_bytes: int = MAX_FILE_SIZE_BYTES,
 ) -> DataFrame:
-    """Units of the built-in scan: known extension, size within the limit, not ignored."""
-    path = F.col("path")
-    wanted = has_language(path, languages) & within_size(F.col("size_bytes"), max_bytes)
-    if not os.path.isfile(target):
-        wanted &= ~ignored(path, ignore_patterns)
-    files = list_files(spark, target).where(wanted)
-    return _units(read_files(files, target), language_of(path))
+    """Units of the built-in scan: known extension, size within the limit, not ignored.
+
+    Without ``ignore_patterns`` the default ones hold and those of the ignore file of the target or
+    of the nearest directory above it. A file that cannot be read is a unit without text: it counts
+    as scanned. ``with_reason`` over ``list_files`` tells what is left out and why.
+    """
+    if ignore_patterns is None:
+        file = find_ignore_file(target)
+        ignore_patterns = read_ignore_file(file) if file else DEFAULT_IGNORE_PATTERNS
+    if os.path.isfile(target):
+        ignore_patterns = ()
+    listed = with_reason(list_files(spark, target), languages, ignore_patterns, max_bytes)
+    return _units(read_files(listed.where("skipped IS NULL"), target), language_of(F.col("path")))
 
 
 def standalone_units(spark: SparkSession, target: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Sequence
 
@@ -13,6 +14,8 @@ from corpus_guard.functions.dialect import SPACE
 
 IGNORE_FILE = ".scanignore"
 
+IGNORE_FILE = ".scanignore"
+
 
 def ignore_regex(pattern: str) -> tuple[bool, str] | None:
     """(ignores, anchored regex) of one pattern; None for blank lines and comments.
@@ -108,6 +111,18 @@ def read_ignore_file(path: str) -> list[str]:
     return [*DEFAULT_IGNORE_PATTERNS, *(p for p in lines if p and not p.startswith("#"))]
 
 
+def find_ignore_file(target: str, name: str = IGNORE_FILE) -> str | None:
+    """The ignore file of a directory or of the nearest one above it."""
+    directory = os.path.abspath(target)
+    directory = directory if os.path.isdir(directory) else os.path.dirname(directory)
+    while True:
+        if os.path.isfile(found := os.path.join(directory, name)):
+            return found
+        if directory == (above := os.path.dirname(directory)):
+            return None
+        directory = above
+
+
 def nearest_ignore_file(
     paths: DataFrame, ignore_dirs: DataFrame, path: str = "path", directory: str = "directory"
 ) -> DataFrame:

@@ -21,8 +21,6 @@ RULE_SCHEMA = (
     "references array<string>, needs array<array<string>>"
 )
 REQUIRED = ("id", "name", "category", "severity")
-# Every rule is a literal in the scan's expression, so a rules table is configuration.
-MAX_RULES = 2_000
 OWASP_SITE = "https://owasp.org/www-project-top-10-for-large-language-model-applications/"
 
 
@@ -48,10 +46,11 @@ def read_rules(spark: SparkSession, directory: str = str(RULES_DIR)) -> DataFram
 
 
 def collect_rules(rules: DataFrame) -> list[Rule]:
-    """The rules of a table for a scan; pattern types other than regex are not run."""
-    rows = rules.orderBy("file", "at").take(MAX_RULES + 1)
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} declarative rules")
+    """The rules of a table for a scan; pattern types other than regex are not run.
+
+    Every rule is a literal in the scan's expression: a rules table is configuration, read whole.
+    """
+    rows = rules.orderBy("file", "at").collect()
     return [r for row in rows if (r := _rule(row.asDict(recursive=True))) is not None]
 
 
@@ -88,7 +87,8 @@ def _rule(row: dict) -> Rule | None:
         tags=tuple(row.get("tags") or ()),
         references=tuple(row.get("references") or ()),
         languages=(row["language"],) if row.get("language") else (),
-        needs=tuple(tuple(group) for group in row.get("needs") or ()),
+        # required strings are searched in folded text
+        needs=tuple(tuple(w.lower() for w in group) for group in row.get("needs") or ()),
         before=1,
         after=1,
         column=True,

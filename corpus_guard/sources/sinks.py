@@ -45,8 +45,8 @@ def standalone_report_rows(findings: DataFrame) -> DataFrame:
 
 
 def as_json(findings: DataFrame) -> DataFrame:
-    """Each finding as one JSON object."""
-    return findings.select(F.to_json(F.struct("*")).alias("json"))
+    """Each finding as one JSON object with all its fields; an absent value is null."""
+    return findings.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_report(
@@ -62,7 +62,7 @@ def write_report(
     first and the scan runs once.
     """
     kept = stored(findings)
-    rows(kept).write.mode("overwrite").json(f"{directory}/findings")
+    rows(kept).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{directory}/findings")
     summary = scan_summary(kept, units, {**META, **meta})
     summary.coalesce(1).write.mode("overwrite").json(f"{directory}/summary")
 

@@ -30,17 +30,14 @@ def units_from_table(
     )
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than cores over all cores; leave larger inputs alone.
+def distinct_units(units: DataFrame) -> DataFrame:
+    """One unit per path: that of smallest unit_id, then of smallest text hash.
 
-    Matching is heavier than reading, and a small file can be a single row group. An input with
-    fewer splits than cores holds less than one split size per core, so this shuffles little; a
-    large one already has enough splits and is read in place.
+    The survivor is chosen on keys and hashes alone, so whole texts are only moved for the join.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
-def distinct_units(units: DataFrame) -> DataFrame:
-    """One unit per path."""
-    return units.dropDuplicates(["path"])
+    order = F.struct("unit_id", F.xxhash64("text").alias("hash"))
+    first = units.groupBy("path").agg(F.min(order).alias("first"))
+    first = first.select("path", "first.unit_id", F.col("first.hash").alias("__hash"))
+    marked = units.withColumn("__hash", F.xxhash64("text"))
+    kept = marked.join(first, ["path", "unit_id", "__hash"], "left_semi")
+    return kept.drop("__hash").dropDuplicates(["path"])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpus_guard.sources.tables import spread, units_from_table
+from corpus_guard.sources.tables import units_from_table
 from queries.planted import PYTHON_LINES, SCRIPT_LINES, planted
 
 # Directories and endings that give table rows a file-like path.
@@ -45,29 +46,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return units_from_table(documents, "doc_id", "text", "source")
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # the rules on personal data leave out paths that look like examples
+    pages = pages.withColumn("url", F.replace("url", F.lit("example"), F.lit("site")))
     return units_from_table(pages, "page_id", "html", "url", "typescript")
 
 
 def python_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = documents.selectExpr("doc_id", "source", f"{PYTHON_TEXT} AS text")
     return units_from_table(rows, "doc_id", "text", "source")
 
 
 def script_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rows = pages.selectExpr("page_id", "url", f"{SCRIPT_TEXT} AS text")
     return units_from_table(rows, "page_id", "text", "url", "typescript")
 
 
 def chat_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = turns.selectExpr("conv_id", "turn", "role", f"{CHAT_TEXT} AS text")
     return units_from_table(rows, ["conv_id", "turn"], "text", "role")
 
@@ -82,7 +85,10 @@ def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The same units for DuckDB, as the body of a common table expression.
 RAW_DOCUMENTS = "SELECT doc_id::VARCHAR unit_id, source path, 'python' AS language, text FROM documents"
-RAW_PAGES = "SELECT page_id::VARCHAR unit_id, url path, 'typescript' AS language, html AS text FROM pages"
+RAW_PAGES = (
+    "SELECT page_id::VARCHAR unit_id, replace(url, 'example', 'site') path, "
+    "'typescript' AS language, html AS text FROM pages"
+)
 PYTHON_UNITS = (
     f"SELECT doc_id::VARCHAR unit_id, source path, 'python' AS language, {PYTHON_TEXT} AS text "
     "FROM documents"

@@ -190,35 +190,42 @@ findings AS (SELECT rule_no, unit_id, path, line, "offset", rule_id, severity, c
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
 _STRING = r"\x22[^\x22]*\x22|\x27[^\x27]*\x27"
-PAIR = (
-    r"(?:^|[=(,:\[{]|\b(?:return|yield|in|and|or|not|if|else))[ \t]*"
-    rf"({_NAME}|{_STRING})[ \t]*\+[ \t]*({_NAME}|{_STRING})"
-    r"([ \t]*[*/%@(\[]|[A-Za-z0-9_.\x22\x27(\[])?"
-)
 
 
 def operands_cte() -> str:
-    """CTE ``operands`` over ``units``: sides of the first "+" of every chain on a line."""
+    """CTE ``operands`` over ``units``: sides of the first "+" of every chain on a line.
+
+    The line is cut at its plus signs. The last word of a part and the first of the next one are
+    the sides, if what stands before the one and behind the other allows it.
+    """
+    word = r"[A-Za-z_][A-Za-z0-9_.]*|\x22\x22"
+    opens = r"[=(,:\[{]$|(^|[^A-Za-z0-9_])(return|yield|in|and|or|not|if|else)$"
 
-    def side(n: int, name: str) -> str:
-        value = f"{name}s[i]"
-        return rf"""CASE WHEN regexp_matches({value}, '^[\x22\x27]') THEN 'string'
-                        WHEN contains({value}, '.') THEN 'attribute' ELSE 'name' END AS {name}_kind,
-                   CASE WHEN regexp_matches({value}, '^[\x22\x27]') THEN ''
-                        ELSE regexp_extract({value}, '[^.]*$') END AS "{name}" """
+    def side(name: str) -> str:
+        return rf"""CASE WHEN {name}_word = '""' THEN 'string'
+                        WHEN contains({name}_word, '.') THEN 'attribute' ELSE 'name' END AS {name}_kind,
+                   CASE WHEN {name}_word = '""' THEN ''
+                        ELSE list_last(string_split({name}_word, '.')) END AS "{name}" """
 
-    return f"""numbered AS (SELECT unit_id, path, text, language,
+    return rf"""numbered AS (SELECT unit_id, path, text, language,
                      string_split_regex(text, {BREAKS}) AS ls FROM units),
 single AS (SELECT unit_id, path, text, language, unnest(ls) AS l,
                   unnest(range(1, len(ls) + 1)) AS line FROM numbered),
-paired AS (SELECT unit_id, path, text, language, line,
-                  regexp_extract_all(l, {text(PAIR)}, 1) AS lefts,
-                  regexp_extract_all(l, {text(PAIR)}, 2) AS rights,
-                  regexp_extract_all(l, {text(PAIR)}, 3) AS rests
-           FROM single WHERE contains(l, '+')),
-each_pair AS (SELECT *, unnest(range(1, len(lefts) + 1)) AS i FROM paired),
-operands AS (SELECT unit_id, path, text, language, line, {side(1, 'left')}, {side(2, 'right')}
-             FROM each_pair WHERE coalesce(rests[i], '') = '')"""
+code AS (SELECT unit_id, path, text, language, line, string_split(string_split(
+                regexp_replace(l, '\x22[^\x22]*\x22|\x27[^\x27]*\x27', '""', 'g'), '#')[1], '+') AS parts
+         FROM single WHERE contains(l, '+')),
+each_sign AS (SELECT *, unnest(range(1, len(parts))) AS i FROM code),
+words AS (SELECT unit_id, path, text, language, line, i,
+                 rtrim(parts[i], ' ' || chr(9)) AS head, ltrim(parts[i + 1], ' ' || chr(9)) AS tail
+          FROM each_sign),
+sided AS (SELECT *, regexp_extract(head, '({word})$') AS left_word,
+                 regexp_extract(tail, '^({word})') AS right_word FROM words),
+around AS (SELECT *, rtrim(left(head, length(head) - length(left_word)), ' ' || chr(9)) AS before,
+                  substr(tail, length(right_word) + 1) AS behind FROM sided),
+operands AS (SELECT unit_id, path, text, language, line, {side('left')}, {side('right')}
+             FROM around WHERE left_word <> '' AND right_word <> ''
+               AND (before = '' AND i = 1 OR regexp_matches(before, '{opens}'))
+               AND NOT regexp_matches(behind, '^[\x22\x27(\[]|^[ \t]*[*/%@(\[]'))"""
 
 
 def _sums_cte(rules: Sequence[Rule], attributes: bool, literals: Sequence[str]) -> str:

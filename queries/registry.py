@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpus_guard.catalogue import package_rules, standalone_rules
@@ -20,8 +20,7 @@ from queries.oracle import findings_cte, matches_cte, rank, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Operands of "+" are read by pattern here, as these texts are prose with one line of code.
-CONFIG = ScanConfig(concatenation="pattern")
+CONFIG = ScanConfig()
 PACKAGE = package_rules(rule_source.shipped_rules())
 STANDALONE = standalone_rules()
 
@@ -168,7 +167,7 @@ for _corpus, _units in (
     @register(f"standalone_{_corpus}", f"{_cte} SELECT {FOUND_SQL} FROM findings")
     def _standalone(spark: SparkSession, sf_dir: str, corpus: str = _corpus) -> DataFrame:
         units = UNITS[corpus](spark, sf_dir)
-        return scan_standalone(units, "pattern", columns=fo.BRIEF).select(*FOUND)
+        return scan_standalone(units, columns=fo.BRIEF).select(*FOUND)
 
 
 @register(
@@ -179,7 +178,7 @@ for _corpus, _units in (
 )
 def concat_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpora.python_units(spark, sf_dir).where(F.contains("text", F.lit("+")))
-    rows = units.select("unit_id", F.inline(F.expr(concat.operands_by_pattern("text"))))
+    rows = units.select("unit_id", F.inline(F.expr(concat.operands("text"))))
     return rows.withColumnsRenamed({"left": "left_name", "right": "right_name"})
 
 
@@ -193,23 +192,10 @@ _CONCAT = [(n, r) for n, r in enumerate(PACKAGE) if r.kind == "concat"][0]
 )
 def tainted_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpora.python_units(spark, sf_dir)
-    found = concat.concat_findings(units, *_CONCAT, by_syntax=False)
+    found = concat.concat_findings(units, *_CONCAT)
     return found.select("unit_id", "line", "code_snippet")
 
 
-@register("tainted_concatenation_by_syntax", None)
-def tainted_concatenation_by_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the text as a string literal in front of its line, so that the unit parses
-    documents = corpora.table(spark, sf_dir, "documents")
-    line = corpora.planted("''", "doc_id", corpora.PYTHON_LINES)
-    source = f"concat('note = ', '\"\"\"', translate(text, '\"\\\\', ''), '\"\"\"', {line})"
-    rows = tables.spread(documents.select("doc_id", "source", "text")).selectExpr(
-        "doc_id", "source", f"{source} AS text"
-    )
-    units = tables.units_from_table(rows, "doc_id", "text", "source")
-    return concat.concat_findings(units, *_CONCAT).select("unit_id", "line", "code_snippet")
-
-
 @register(
     "finding_details",
     f"{PACKAGE_SQL['python']} SELECT unit_id, line, rule_id, title, owasp_id, owasp_name, owasp_url, "
@@ -231,11 +217,9 @@ def finding_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVERY_SQL = findings_cte(PACKAGE, corpora.PYTHON_UNITS, "info", first_only=False)
 
 
-def every_finding(spark: SparkSession, sf_dir: str, columns=fo.BRIEF) -> DataFrame:
-    """Findings before de-duplication, without concatenations."""
-    units = corpora.python_units(spark, sf_dir)
-    found = match_findings(units, PACKAGE, first_only=False)
-    return fo.attach_rules(found, PACKAGE, columns)
+def every_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings before de-duplication."""
+    return candidates(corpora.python_units(spark, sf_dir), ScanConfig(min_severity="info"))
 
 
 for _severity in ("critical", "high", "medium"):
@@ -243,15 +227,14 @@ for _severity in ("critical", "high", "medium"):
 
     @register(f"min_severity_{_severity}", f"{_cte} SELECT {FOUND_SQL} FROM findings")
     def _min_severity(spark: SparkSession, sf_dir: str, least: str = _severity) -> DataFrame:
-        config = ScanConfig(min_severity=least, concatenation="pattern")
+        config = ScanConfig(min_severity=least)
         units = corpora.python_units(spark, sf_dir)
         return scan(units, config, columns=fo.BRIEF).select(*FOUND)
 
 
 @register(
     "all_findings",
-    f'{_EVERY_SQL} SELECT unit_id, line, rule_id, severity, "offset" FROM findings '
-    f"WHERE rule_id <> '{_CONCAT[1].rule_id}'",
+    f'{_EVERY_SQL} SELECT unit_id, line, rule_id, severity, "offset" FROM findings',
 )
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["unit_id", "line", "rule_id", "severity", "offset"]
@@ -261,7 +244,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "first_per_line_and_rule",
     f'{_EVERY_SQL} SELECT unit_id, line, rule_id, severity, "offset", code_snippet FROM findings '
-    f"WHERE rule_id <> '{_CONCAT[1].rule_id}' QUALIFY row_number() OVER "
+    "QUALIFY row_number() OVER "
     '(PARTITION BY unit_id, path, line, rule_id ORDER BY rule_no, "offset") = 1',
 )
 def first_per_line_and_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,22 +267,34 @@ def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "report_order",
-    f"{PACKAGE_SQL['python']} SELECT unit_id, path, line, rule_id, severity FROM findings "
-    f"ORDER BY {_REPORT_ORDER}",
+    f"{PACKAGE_SQL['python']} SELECT unit_id, path, line, rule_id, severity, "
+    f"row_number() OVER (ORDER BY {_REPORT_ORDER}) - 1 AS place FROM findings",
 )
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = fo.in_report_order(stored(python_findings(spark, sf_dir)))
-    return ordered.select("unit_id", "path", "line", "rule_id", "severity")
+    return _placed(fo.in_report_order(stored(python_findings(spark, sf_dir))))
+
+
+def _placed(ordered: DataFrame) -> DataFrame:
+    """Rows with their place in a sorted report: that in the part, plus the rows of the parts before."""
+    columns = ["unit_id", "path", "line", "rule_id", "severity"]
+    rows = ordered.select(*columns, F.monotonically_increasing_id().alias("at"))
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").agg((F.max("at") - F.min("at") + 1).alias("n"), F.min("at").alias("first"))
+    # one row for each part of the sort
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    starts = sizes.select("part", "first", before.alias("before"))
+    return rows.join(F.broadcast(starts), "part").select(
+        *columns, (F.col("at") - F.col("first") + F.col("before")).alias("place")
+    )
 
 
 @register(
     "severity_order",
-    f"{PACKAGE_SQL['python']} SELECT unit_id, path, line, rule_id, severity FROM findings "
-    f'ORDER BY {rank()} DESC, path, unit_id, rule_no, "offset"',
+    f"{PACKAGE_SQL['python']} SELECT unit_id, path, line, rule_id, severity, row_number() OVER "
+    f'(ORDER BY {rank()} DESC, path, unit_id, rule_no, line, "offset") - 1 AS place FROM findings',
 )
 def severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = fo.in_severity_order(stored(python_findings(spark, sf_dir)))
-    return ordered.select("unit_id", "path", "line", "rule_id", "severity")
+    return _placed(fo.in_severity_order(stored(python_findings(spark, sf_dir))))
 
 
 @register(
@@ -409,24 +404,25 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ verdicts
-# Answers as a model might give them, by document number.
+# Answers as a model might give them, by document, line and rule: findings of one unit differ.
 _ANSWERS = [
     '{"verdict": "false_positive", "confidence": 0.95, "reasoning": "r"}',
     '{"verdict": "false_positive", "confidence": 0.5}',
     '{"verdict": "true_positive", "confidence": 0.8}',
     '{"verdict": "true_positive"}',
     "{oops",
+    '{"verdict": null, "confidence": 0.3}',
+    '{"verdict": "false_positive", "confidence": "high"}',
 ]
+_ANSWER_NO = f"(CAST(unit_id AS BIGINT) + line + rule_no) % {len(_ANSWERS) + 1}"
 _ANSWER = (
-    "CASE CAST(unit_id AS BIGINT) % 6 "
-    + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ANSWERS))
-    + " END"
+    f"CASE {_ANSWER_NO} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ANSWERS)) + " END"
 )
 
 
 @register(
     "judge_requests",
-    f"{PACKAGE_SQL['python']} SELECT unit_id, rule_no, \"offset\", "
+    f"{PACKAGE_SQL['python']} SELECT unit_id, rule_no, line, \"offset\", "
     + "replace(replace(replace(replace(replace("
     + text(names.JUDGE_PROMPT)
     + ", '{rule_id}', rule_id), '{title}', title), '{severity}', severity), "
@@ -440,9 +436,9 @@ def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JUDGED_SQL = f"""{findings_cte(PACKAGE, corpora.PYTHON_UNITS, 'low', first_only=False)},
-answered AS (SELECT *, CASE CAST(unit_id AS BIGINT) % 6 WHEN 0 THEN 'false_positive'
-        WHEN 1 THEN 'false_positive' WHEN 2 THEN 'true_positive' END AS verdict,
-        CASE CAST(unit_id AS BIGINT) % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 WHEN 2 THEN 0.8
+answered AS (SELECT *, CASE {_ANSWER_NO} WHEN 0 THEN 'false_positive'
+        WHEN 1 THEN 'false_positive' WHEN 2 THEN 'true_positive' WHEN 5 THEN 'null' END AS verdict,
+        CASE {_ANSWER_NO} WHEN 0 THEN 0.95 WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 WHEN 5 THEN 0.3
         END::DOUBLE AS sure FROM findings),
 applied AS (SELECT * REPLACE (
         CASE WHEN verdict IS NOT NULL AND {rank()} >= 2
@@ -487,7 +483,7 @@ def findings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def standalone_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = corpora.python_units(spark, sf_dir)
-    return sinks.standalone_report_rows(stored(scan_standalone(units, "pattern")))
+    return sinks.standalone_report_rows(stored(scan_standalone(units)))
 
 
 @register(
@@ -677,9 +673,15 @@ def standalone_file_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.where(paths.standalone_counts(F.col("path"))).agg(F.count("*").alias("n"))
 
 
-@register("file_inventory", None)
+@register(
+    "file_inventory",
+    f"{_PATHS} SELECT doc_id, path, size_bytes, CASE WHEN {_IGNORED_SQL} THEN 'ignored' "
+    f"WHEN {_LANGUAGE} NOT IN ('python', 'typescript') THEN 'language' "
+    "WHEN size_bytes > 4000 THEN 'size' END AS skipped FROM paths",
+)
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.list_files(spark, sf_dir)
+    listed = corpora.file_paths(spark, sf_dir)
+    return files.with_reason(listed, ["python", "typescript"], max_bytes=4000)
 
 
 @register(
@@ -693,9 +695,13 @@ def decoded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", files.decode(content).alias("text"))
 
 
-@register("distinct_paths", "SELECT DISTINCT source AS path FROM documents")
+@register(
+    "distinct_paths",
+    "SELECT source AS path, min(doc_id::VARCHAR) AS unit_id FROM documents GROUP BY source",
+)
 def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.distinct_units(corpora.raw_documents(spark, sf_dir)).select("path")
+    units = corpora.raw_documents(spark, sf_dir)
+    return tables.distinct_units(units).select("path", "unit_id")
 
 
 # ------------------------------------------------------------------ remediation and retrieval
@@ -706,7 +712,7 @@ for _pattern, _replacement in remediate.MASKS:
 
 @register("masked_documents", f"SELECT doc_id, {_MASKED} AS text FROM documents")
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = tables.spread(corpora.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = corpora.table(spark, sf_dir, "documents")
     return documents.select("doc_id", remediate.mask_pii(F.col("text")).alias("text"))
 
 

@@ -14,7 +14,15 @@ from corpus_guard.operators import judge, summary
 from corpus_guard.operators.concat import concat_findings
 from corpus_guard.operators.matching import match_findings
 from corpus_guard.operators.retrieval import content_free_log, secure_retrieve, source_count
-from corpus_guard.plans.scan import ScanConfig, scan, scan_standalone
+from corpus_guard.operators.judge import FINDING_KEY, judge_requests, parse_verdicts
+from corpus_guard.plans.scan import (
+    Detector,
+    ScanConfig,
+    candidates,
+    failed,
+    scan,
+    scan_standalone,
+)
 from queries.planted import PYTHON_LINES
 
 
@@ -51,44 +59,62 @@ def test_titles_and_lookups():
         ("p = prompt + user_input", 1, 1),
         ("p = user_input + prompt", 1, 1),
         ("p = 'a' + query", 1, 1),
-        ("p = 1 + query", 0, 1),
         ("p = a.message + prompt", 1, 0),
         ("p = a + prompt + query", 0, 0),
         ("p = prompt + query + a", 1, 1),
         ("p = f(prompt) + query", 0, 0),
         ("p = prompt + query(1)", 0, 0),
+        ("p = prompt + query * 2", 0, 0),
         ("p = f'{x}' + query", 0, 0),
         ("p = other + name", 0, 0),
-        ("p = (prompt + query", 0, 0),
-        ("p = (prompt\n  + query)", 1, 1),
+        ("return 'a' + query", 1, 1),
+        ("g('a' + query, prompt + query)", 1, 1),
+        ("prose with prompt + query (2)", 0, 0),
+        ("x = 1  # p = prompt + query", 0, 0),
+        ("x = 'p = prompt + query'", 0, 0),
+        ("p = 'a # b' + query", 1, 1),
+        ("words input + prompt", 0, 0),
     ],
 )
-def test_concatenation_by_syntax(unit, line, package, standalone):
+def test_concatenation(unit, line, package, standalone):
     rule = next((n, r) for n, r in enumerate(package_rules()) if r.kind == "concat")
-    assert concat_findings(unit("x = 1\n" + line), *rule).count() == package
+    assert concat_findings(unit("not python!\n" + line), *rule).count() == package
     rule = next((n, r) for n, r in enumerate(standalone_rules()) if r.kind == "concat")
-    found = concat_findings(
-        unit("x = 1\n" + line), *rule, attributes=False, literals=("string", "constant")
-    ).collect()
+    options = {"attributes": False, "literals": ("string", "constant")}
+    found = concat_findings(unit("x = 1\n" + line), *rule, **options).collect()
     assert [r.line for r in found] == [2] * standalone
 
 
-@pytest.mark.parametrize(
-    "line, n",
-    [
-        ("p = prompt + user_input", 1),
-        ("p = a.message + prompt", 1),
-        ("p = a + prompt + query", 0),
-        ("return 'a' + query", 1),
-        ("g('a' + query, prompt + query)", 1),
-        ("p = prompt + query(1)", 0),
-        ("p = prompt + query * 2", 0),
-        ("prose with prompt + query (2)", 0),
-    ],
-)
-def test_concatenation_by_pattern(unit, line, n):
-    rule = next((n, r) for n, r in enumerate(package_rules()) if r.kind == "concat")
-    assert concat_findings(unit("not python!\n" + line), *rule, by_syntax=False).count() == n
+def test_verdict_reaches_its_own_finding(unit, spark):
+    """Two concatenations of one unit: a false positive on one line leaves the other."""
+    units = unit('a = "x" + user_query\nb = 1\nc = "y" + user_text')
+    found = candidates(units)
+    requests = judge_requests(fo.attach_rules(found, package_rules(), ("title", "description")))
+    keys = [tuple(r)[:4] for r in requests.collect()]
+    assert len(keys) == len(set(keys)) >= 2
+    answers = found.select(*FINDING_KEY).where("line = 1").withColumn(
+        "response", F.lit('{"verdict": "false_positive", "confidence": 0.95}')
+    )
+    left = scan(units, verdicts=parse_verdicts(answers)).collect()
+    assert [r.line for r in left if r.rule_id == "LLM01-002"] == [3]
+
+
+def test_own_detector_gate_and_language(unit):
+    def find(units):
+        line = F.lit(1).alias("line")
+        found = units.where(F.contains("text", F.lit("frobnicate")))
+        return found.select("unit_id", "path", line, F.lit("OWN-1").alias("rule_id"), F.lit("high").alias("severity"))
+
+    own = Detector("mine", find, languages=("python",))
+    config = ScanConfig(detectors=(own,), fail_on="critical", report_language="pt-BR")
+    found = scan(unit("frobnicate()\nopen(result)", "x = 1"), config)
+    rows = {r.rule_id: r for r in found.collect()}
+    assert rows["OWN-1"].detected_by == "mine" and rows["OWN-1"].unit_id == "0"
+    assert any("saída do LLM" in (r.description or "") for r in rows.values())
+    assert not failed(found, config).first().failed
+    assert failed(found, ScanConfig(fail_on="high")).first().failed
+    quiet = scan(unit("frobnicate()"), ScanConfig(min_severity="critical", detectors=(own,)))
+    assert quiet.count() == 0
 
 
 def test_dedup_in_row_equals_dedup_by_group(unit):
@@ -175,7 +201,11 @@ def test_judge(spark):
     }
     table = [(str(i), 0, i, json.dumps(a)) for i, a in answers.items()] + [("5", 0, 5, "{oops")]
     table += [table[0]]
-    responses = spark.createDataFrame(table, "unit_id string, rule_no int, offset int, response string")
+    lines = {r.unit_id: r.line for r in rows.collect()}
+    responses = spark.createDataFrame(
+        [(u, no, lines[u], at, text) for u, no, at, text in table],
+        "unit_id string, rule_no int, line int, offset int, response string",
+    )
     got = {
         r.rule_id: (round(r.confidence, 6), r.detected_by)
         for r in judge.apply_verdicts(rows, judge.parse_verdicts(responses)).collect()
@@ -203,8 +233,8 @@ def test_scan_with_verdicts(spark, unit):
     first = plain[1]
     # the first of two matches on line 2 is judged false, so the second one is reported
     verdicts = spark.createDataFrame(
-        [(first.unit_id, first.rule_no, first.offset, "false_positive", 0.95)],
-        "unit_id string, rule_no int, offset int, verdict string, verdict_confidence double",
+        [(first.unit_id, first.rule_no, first.line, first.offset, "false_positive", 0.95)],
+        "unit_id string, rule_no int, line int, offset int, verdict string, verdict_confidence double",
     )
     judged = scan(units, columns=fo.BRIEF, verdicts=verdicts).where("rule_id = 'LLM01-001'")
     assert [(r.line, r.offset != first.offset) for r in judged.orderBy("line").collect()] == [
@@ -267,7 +297,7 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "unit_id string, path string, language string, text string, ts timestamp"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    config = ScanConfig(concatenation="pattern")
+    config = ScanConfig()
     batch = scan(spark.read.parquet(str(tmp_path / "in")), config, columns=fo.BRIEF)
     query = (
         scan_stream(stream, config)
