@@ -7,6 +7,8 @@ ignoring case), severities, confidences and message texts that findings must rep
 
 from __future__ import annotations
 
+import re
+
 from corpus_guard.catalogue import fix_texts
 from corpus_guard.catalogue.model import Rule
 from corpus_guard.catalogue.names import DANGEROUS_TOOLS
@@ -177,13 +179,21 @@ def _prompt_injection() -> list[Rule]:
     owasp = _owasp(_LLM01)
     rules = [
         Rule(
-            pattern=p, needs=n, languages=PYTHON, context="hash", **per_line(p), **python, **owasp
+            pattern=p,
+            needs=n,
+            languages=PYTHON,
+            context="hash",
+            **(per_call(p) or per_line(p)),
+            **python,
+            **owasp,
         )
         for p, n in _PROMPT_PYTHON
     ]
     rules.append(Rule(pattern="", kind="concat", languages=PYTHON, **concat, **owasp))
     rules += [
-        Rule(pattern=p, needs=n, languages=SCRIPT, context="slash", **script, **owasp)
+        Rule(
+            pattern=p, needs=n, languages=SCRIPT, context="slash", **per_call(p), **script, **owasp
+        )
         for p, n in _PROMPT_SCRIPT
     ]
     return rules
@@ -422,6 +432,8 @@ _OUTPUT = (
     r"chat_response|gpt_response|claude_response)"
 )
 
+_OS_CALL = r"(?:os\.system|subprocess\.(?:run|call|check_output|Popen)|os\.popen)\s*\(\s*"
+
 _OUTPUT_PYTHON = [
     (
         "LLM02-XSS-001",
@@ -446,7 +458,7 @@ _OUTPUT_PYTHON = [
     ),
     (
         "LLM02-OS-001",
-        r"(?:os\.system|subprocess\.(?:run|call|check_output|Popen)|os\.popen)\s*\(\s*(?:f[\"'].*"
+        _OS_CALL + r"(?:f[\"'].*"
         + _OUTPUT
         + "|"
         + _OUTPUT
@@ -564,6 +576,13 @@ _OUTPUT_FIX = {
 }
 
 
+def _output_per_line(rule_id: str, pattern: str) -> dict:
+    if rule_id != "LLM02-OS-001":
+        return per_line(pattern)
+    quoted = rf"f[\"'](?:.*{_OUTPUT}|{rest_of_line(_OS_CALL)})"
+    return dict(engine_pattern=f"{_OS_CALL}(?:{quoted}|{_OUTPUT})", check=True)
+
+
 def _insecure_output() -> list[Rule]:
     tables = [(PYTHON, row) for row in _OUTPUT_PYTHON] + [(SCRIPT, row) for row in _OUTPUT_SCRIPT]
     return [
@@ -576,6 +595,7 @@ def _insecure_output() -> list[Rule]:
             needs=needs,
             languages=languages,
             context="hash_slash",
+            **_output_per_line(rule_id, pattern),
             description=f"{what}. LLM output should never be trusted as safe input for sensitive "
             "operations. Models can be manipulated to generate malicious content (indirect prompt "
             "injection).",
@@ -726,6 +746,12 @@ for _id, _, _, _, _tail in _FUNCTIONS:
     )
 
 
+def _agency_linear(rule_id: str, pattern: str) -> dict:
+    if rule_id in _LINEAR:
+        return dict(zip(("engine_pattern", "probe"), _LINEAR[rule_id]))
+    return per_call(pattern)
+
+
 def _excessive_agency() -> list[Rule]:
     common = dict(
         category="excessive_agency",
@@ -780,8 +806,7 @@ def _excessive_agency() -> list[Rule]:
             pattern=pattern,
             needs=needs,
             dotall=True,
-            engine_pattern=_LINEAR.get(rule_id, (None, None))[0],
-            probe=_LINEAR.get(rule_id, (None, None))[1],
+            **_agency_linear(rule_id, pattern),
             description=what
             + " — This violates the principle of least privilege for AI agents (OWASP LLM08: "
             "Excessive Agency).",
@@ -993,16 +1018,31 @@ def bounded(pattern: str) -> str | None:
 
 
 def per_line(pattern: str) -> dict:
-    """Linear-time matching of ``head.*tail`` on long lines.
+    """Linear-time matching of ``head.*tail`` or ``head.*?tail`` on long lines.
 
     A head without a tail behind it takes the rest of its line, as no later head on the line can
     have one either; searching from each of them would cost heads times line length. The check
     removes those hits.
     """
-    head, between, tail = pattern.partition(".*")
+    head, between, tail = re.split(r"(\.\*\??)", pattern, maxsplit=1) if ".*" in pattern else (pattern, "", "")
     if not between:
         return {}
-    return dict(engine_pattern=f"{head}(?:.*{tail}|.*+)", check=True)
+    return dict(engine_pattern=f"{head}(?:{between}{tail}|{rest_of_line(head)})", check=True)
+
+
+def per_call(pattern: str) -> dict:
+    """Linear-time matching of ``head[^)]*tail``: a head without a tail takes all up to the next ")".
+
+    A later head before that sign has the same end, so it cannot have a tail either.
+    """
+    head, between, tail = pattern.partition("[^)]*")
+    return dict(engine_pattern=f"{head}(?:{between}{tail}|[^)]*+)", check=True) if between else {}
+
+
+def rest_of_line(head: str) -> str:
+    r"""The rest of a line, up to a head that white space carries over to the next line."""
+    word, space, _ = head.partition(r"\s*")
+    return rf"(?:(?!{word}[^\S\n]*[(=]?[^\S\n]*\n).)*+" if space else ".*+"
 
 
 def _first_words(text: str, n: int) -> str:

@@ -10,7 +10,14 @@ from __future__ import annotations
 from dataclasses import replace
 
 from corpus_guard.catalogue.model import Rule
-from corpus_guard.catalogue.package_rules import PYTHON, SCRIPT, THREE_DIGITS, bounded
+from corpus_guard.catalogue.package_rules import (
+    PYTHON,
+    SCRIPT,
+    THREE_DIGITS,
+    bounded,
+    per_line,
+    rest_of_line,
+)
 
 _QUOTE = ('"', "'")
 
@@ -450,6 +457,31 @@ _CONCAT = dict(
 )
 
 
+def _linear(rule_id: str, pattern: str) -> dict:
+    """A linear-time form on long lines; ``per_line`` where a rule has no form of its own."""
+    if edged := bounded(pattern):
+        return dict(engine_pattern=edged)
+    if rule_id == "LLM06-PII-LLM-001":
+        return {}  # looks at most 80 characters ahead
+    plain = pattern.replace("(?:.*?)", ".*?")
+    if rule_id == "LLM01-001":
+        # the first name decides whether a quote follows, and the last quote is the end in any case
+        head, name, tail = plain.split(".*")
+        return dict(engine_pattern=f"{head}(?:(?>.*?{name}).*{tail}|.*+)", check=True)
+    if rule_id == "LLM02-OS-001":
+        head, tail = plain.split(r"""(?:f["\']|.*""")
+        rest = rest_of_line(head)
+        return dict(engine_pattern=rf"""{head}(?:f["\']|.*{tail[:-1]}|{rest})""", check=True)
+    if rule_id == "LLM02-SQL-001":
+        # a literal without f may go on to later lines: such a head is not passed over
+        head, tail = plain.split(r"""(?:f["\']|["\'][^"]*\{).*?""")
+        word = head.partition(r"\s*")[0]
+        passed = rf"""(?:(?!{word}\s*\(\s*["\']|{word}[^\S\n]*\(?[^\S\n]*\n).)*+"""
+        literal = rf"""["\'][^"]*\{{.*?{tail}"""
+        return dict(engine_pattern=rf"""{head}(?:f["\'](?:.*?{tail}|{passed})|{literal})""", check=True)
+    return per_line(plain)
+
+
 def _rules(table: list[tuple], languages: tuple[str, ...]) -> list[Rule]:
     return [
         Rule(
@@ -464,7 +496,7 @@ def _rules(table: list[tuple], languages: tuple[str, ...]) -> list[Rule]:
             confidence=confidence,
             tags=(category, owasp.lower()),
             needs=needs,
-            engine_pattern=bounded(pattern),
+            **_linear(rule_id, pattern),
             languages=languages,
             context="any",
             value_filter="secret" if category == "secret_exposure" else "none",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +59,25 @@ def write_report(
 ) -> None:
     """Write ``findings`` (JSON lines in order) and ``summary`` (one line) below a directory.
 
-    A global sort reads its input twice and the summary once more, so the findings are stored
-    first and the scan runs once.
+    ``scanned_at`` (ISO 8601) and ``scanned_at_label`` are part of the summary; by default the time
+    of the call. A global sort reads its input twice and the summary once more, so the findings are
+    stored first where there is a shared folder, and the scan runs once.
     """
     kept = stored(findings)
+    at = meta.get("scanned_at") or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    meta = {**META, **meta, "scanned_at": at}
     rows(kept).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{directory}/findings")
-    summary = scan_summary(kept, units, {**META, **meta})
+    summary = summary_row(kept, units, meta)
     summary.coalesce(1).write.mode("overwrite").json(f"{directory}/summary")
 
 
+def summary_row(findings: DataFrame, units: DataFrame, meta: dict[str, str]) -> DataFrame:
+    """The summary of a report; ``scanned_at`` gets a label next to it."""
+    row = scan_summary(findings, units, meta)
+    label = timestamp_label(F.to_timestamp("scanned_at")).alias("scanned_at_label")
+    return row.select("*", label) if "scanned_at" in meta else row
+
+
 def percent(confidence: Column) -> Column:
     """A confidence as a whole percentage."""
     return F.concat(F.bround(confidence * 100, 0).cast("int").cast("string"), F.lit("%"))

@@ -277,7 +277,11 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _placed(ordered: DataFrame) -> DataFrame:
     """Rows with their place in a sorted report: that in the part, plus the rows of the parts before."""
     columns = ["unit_id", "path", "line", "rule_id", "severity"]
-    rows = ordered.select(*columns, F.monotonically_increasing_id().alias("at"))
+    return _numbered(ordered.select(*columns, F.monotonically_increasing_id().alias("at")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c != "at"]
     rows = rows.withColumn("part", F.shiftright("at", 33))
     sizes = rows.groupBy("part").agg((F.max("at") - F.min("at") + 1).alias("n"), F.min("at").alias("first"))
     # one row for each part of the sort
@@ -466,15 +470,61 @@ def judged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "findings_as_json",
     f"{PACKAGE_SQL['python']} SELECT to_json({{'rule_id': rule_id, 'title': title, "
-    "'severity': severity, 'path': path, 'line': line, 'code_snippet': code_snippet})::VARCHAR "
+    "'severity': severity, 'path': path, 'line': line, 'code_snippet': code_snippet, "
+    "'tool': tool})::VARCHAR "
     "AS json FROM findings",
 )
 def findings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = python_findings(spark, sf_dir, ("rule_id", "title", "severity"))
-    fields = ("rule_id", "title", "severity", "path", "line", "code_snippet")
+    fields = ("rule_id", "title", "severity", "path", "line", "code_snippet", "tool")
     return sinks.as_json(found.select(*fields))
 
 
+@register(
+    "report_rows",
+    f"{PACKAGE_SQL['python']} SELECT rule_id, severity, path AS file_path, line, "
+    "0.1::DOUBLE AS false_positive_likelihood, owasp_id, tool, row_number() OVER "
+    f"(ORDER BY {_REPORT_ORDER}) - 1 AS place FROM findings",
+)
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(python_findings(spark, sf_dir, ("rule_id", "severity", "owasp")))
+    rows = sinks.report_rows(found.withColumn("label", F.col("tool")))
+    at = F.monotonically_increasing_id()
+    rows = rows.select(
+        "rule_id",
+        "severity",
+        "file_path",
+        "line",
+        F.col("false_positive_likelihood").cast("double").alias("false_positive_likelihood"),
+        F.col("owasp.id").alias("owasp_id"),
+        F.col("label").alias("tool"),
+        at.alias("at"),
+    )
+    return _numbered(rows)
+
+
+@register(
+    "report_summary",
+    f"{PACKAGE_SQL['python']} SELECT 'corpus-guard' AS tool, '0.1.0' AS version, 'documents' AS "
+    "target, '2024-05-06T07:08:09Z' AS scanned_at, '2024-05-06 07:08 UTC' AS scanned_at_label, "
+    f"(SELECT count(*) FROM units) AS scanned_files, count(*) AS total, {_FOUR} FROM findings",
+)
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = corpora.python_units(spark, sf_dir)
+    meta = {k: sinks.META[k] for k in ("tool", "version")}
+    meta |= {"target": "documents", "scanned_at": "2024-05-06T07:08:09Z"}
+    return sinks.summary_row(scan(units, CONFIG, columns=fo.BRIEF), units, meta)
+
+
+@register(
+    "event_time_labels",
+    "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M UTC') AS label FROM events",
+)
+def event_time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = corpora.table(spark, sf_dir, "events")
+    return events.select("event_id", sinks.timestamp_label(F.col("ts")).alias("label"))
+
+
 @register(
     "standalone_report_rows",
     f"{findings_cte(STANDALONE, corpora.PYTHON_UNITS, 'info', attributes=False)} "

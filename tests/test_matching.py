@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -135,6 +136,51 @@ def test_long_line_with_many_heads(spark, unit):
     }
 
 
+FRAGMENTS = ["\n", " ", "x", '"', "'", 'f"', "f'", "{", "}", "${", "`", "(", "(", ")", "=", "response", "{text}"]
+FRAGMENTS += ["cursor.execute", "os.system", "subprocess.run", "logger.info", "innerHTML", "db.query", "password"]
+FRAGMENTS += ["ChatOpenAI", ".invoke(f'", "AgentExecutor", "verbose=False", "max_iterations=99", "prompt", "llm"]
+FRAGMENTS += ["openai.createChatCompletion", "anthropic.messages.create", "conn.execute", "api_key", "context"]
+
+
+@pytest.mark.parametrize("language", ["python", "typescript"])
+def test_linear_forms_match_as_their_patterns(spark, language):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(FRAGMENTS, k=draw.randint(1, 16))) for _ in range(3000)]
+    rules = [r for r in package_rules() + standalone_rules() if r.check and language in (r.languages or (language,))]
+    rows = [(str(i), "a", language, t) for i, t in enumerate(texts)]
+    units = spark.createDataFrame(rows, "unit_id string, path string, language string, text string")
+    got = {(int(r.unit_id), r.rule_no, r.offset, r.hit) for r in match_rules(units, rules).collect()}
+    want = {
+        (i, n, m.start(), m.group())
+        for n, r in enumerate(rules)
+        for i, t in enumerate(texts)
+        for m in re.finditer(r.pattern, t, re.I | (re.S if r.dotall else 0))
+    }
+    assert got == want and len(want) > 100
+
+
+def test_time_grows_with_the_length_of_a_line(spark):
+    """One line of heads without a tail, for every rule that looks along a line or into a call."""
+    heads = ["cursor.execute(", "os.system(f'", "f'{x", "logger.info(", "password context ", "db.query('${"]
+    heads += ["x.innerHTML = ", "AgentExecutor(", "ChatOpenAI(", "openai.createChatCompletion(", "api_key = "]
+    tails = " response output prompt `${ verbose=False max_iterations=99 ssn\n"
+
+    def seconds(size):
+        rows = [
+            (f"{i}{language}", "a.py", language, tails + head * (size // len(head)))
+            for i, head in enumerate(heads)
+            for language in ("python", "typescript")
+        ]
+        units = spark.createDataFrame(rows, "unit_id string, path string, language string, text string")
+        start = time.perf_counter()
+        match_rules(units, package_rules() + standalone_rules()).count()
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    short, long = seconds(100_000), seconds(400_000)
+    assert long < 8 * short + 4
+
+
 def test_rule_without_required_strings(spark, unit):
     rules = [
         Rule("R-1", "t", "low", "data_leak", r"\bfoo\b", "d", 0.5),
