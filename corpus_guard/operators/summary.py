@@ -92,17 +92,24 @@ def severity_sections(findings: DataFrame) -> DataFrame:
     return shown.join(F.broadcast(sizes), "severity")
 
 
-def unit_counts(units: DataFrame) -> DataFrame:
-    """One row: units read. Units that failed count as scanned."""
-    return units.agg(
-        F.count("*").alias("scanned_files"), F.count("*").alias("total_files_discovered")
+def unit_counts(units: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """One row: units scanned, those that could not be read included, and files found.
+
+    ``listed`` are all files found, skipped ones included; for a table each unit is one.
+    """
+    scanned = units.select(F.lit(1).alias("scanned"), F.lit(1 if listed is None else 0).alias("found"))
+    if listed is not None:
+        scanned = scanned.unionAll(listed.select(F.lit(0), F.lit(1)))
+    return scanned.agg(
+        F.coalesce(F.sum("scanned"), F.lit(0)).alias("scanned_files"),
+        F.coalesce(F.sum("found"), F.lit(0)).alias("total_files_discovered"),
     )
 
 
 def scan_summary(findings: DataFrame, units: DataFrame, meta: dict[str, str]) -> DataFrame:
     """One row: caller's meta values, unit count and severity counts.
 
-    Both sides are single-row aggregates; joining on a constant pairs them.
+    Both sides are single rows, so pairing them is no product.
     """
     one = F.lit(1).alias("one")
     scanned = units.agg(F.count("*").alias("scanned_files")).select("*", one)

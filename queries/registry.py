@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,6 +143,24 @@ def declarative_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fo.attach_rules(found, rules, fo.BRIEF).select(*FOUND)
 
 
+USER_RULES = str(Path(__file__).parent / "user_rules")
+
+
+@register(
+    "user_rules",
+    "SELECT doc_id::VARCHAR AS unit_id, "
+    f"(len(string_split_regex(text, {oracle.BREAKS})) + 1)::INTEGER AS line, rule_id FROM documents, "
+    "(VALUES ('USER-LONG'), ('USER-UPPER'), ('USER-PLAIN')) AS r(rule_id) WHERE doc_id % 5 = 0",
+)
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's rules: required strings long, upper-case and absent; four rows are not run."""
+    planted = "IF(doc_id % 5 = 0, concat(text, '\\n', repeat('a', 61), '(1) Foo(x)'), text)"
+    rows = corpora.table(spark, sf_dir, "documents").selectExpr("doc_id", f"{planted} AS text")
+    rules = rule_source.collect_rules(rule_source.read_rules(spark, USER_RULES))
+    found = scan(tables.units_from_table(rows, "doc_id", "text"), CONFIG, rules, columns=fo.BRIEF)
+    return found.where(F.col("rule_id").startswith("USER-")).select("unit_id", "line", "rule_id")
+
+
 _TOOLS = [r for r in PACKAGE if r.kind == "tool"]
 
 
@@ -389,11 +408,12 @@ _register_count(
 
 @register(
     "unit_counts",
-    f"SELECT count(*) AS scanned_files, count(*) AS total_files_discovered "
-    f"FROM ({corpora.PYTHON_UNITS})",
+    f"WITH paths AS ({corpora.FILE_PATHS}) SELECT (SELECT count(*) FROM ({corpora.PYTHON_UNITS})) "
+    "AS scanned_files, count(*) AS total_files_discovered FROM paths",
 )
 def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.unit_counts(corpora.python_units(spark, sf_dir))
+    listed = corpora.file_paths(spark, sf_dir)
+    return summary.unit_counts(corpora.python_units(spark, sf_dir), listed)
 
 
 @register(
