@@ -5,7 +5,8 @@ occurrence votes on every bit by its hash, with a weight of its characters, up t
 long terms say more. A bit is set if more than half of the weight votes for it.
 
 Votes are counted as sums of packed longs: the bits j, j + 16, j + 32 and j + 48 of a hash, times
-the weight, are added in four lanes of 16 bits, and a group of ``GROUP`` terms cannot overflow them.
+the weight, are added in four lanes of 16 bits. A group of ``GROUP`` terms keeps below 15 bits in each, so the
+highest lane never reaches the sign.
 
 To find near fingerprints the bits are cut into blocks, more than the radius. Two fingerprints
 within the radius agree in all but ``radius`` blocks at most, so for some choice of the other
@@ -23,7 +24,7 @@ from corpus_guard.llm.shared import ROW, checked, row_key, table, written
 
 BITS = 128
 MOST_WEIGHT = 31
-GROUP = 2048
+GROUP = 1024
 LANES = 0x0001000100010001
 #: Documents by ids whose texts one group holds, to give each the text of the next.
 IDS = 1024
