@@ -6,14 +6,15 @@ enough share at least l of the first (size - least overlap + l) shingles of each
 document picks the l whose estimated cost is least. Two documents are candidates when their
 prefixes share as many shingles as the smaller l asks for, and candidates are verified exactly.
 
-Only components are asked for, so pairs inside a dense group need not be listed: first each node
-is verified against one pivot it shares most prefix shingles with, which joins most of a group
-with a number of pairs that grows with the nodes. Candidates are then listed only between nodes
-that are still in different components.
+Only components are asked for, so pairs inside a dense group need not be listed: first the nodes of
+shingles with many nodes are verified against one pivot each, which joins most of a group with a
+number of pairs that grows with the nodes. Candidates are then listed only between nodes that are
+still in different components.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,22 +34,26 @@ class Join:
     units of one prefix entry. ``chance``: how many other documents are taken to hold a shingle that
     is not known to be frequent. ``salt_over``: entries of one shingle that one group takes, by
     estimate. ``marks``: size of the table that picks the texts to verify, in bits.
-    ``pivot_rounds``: how often nodes are tried against a pivot before candidates are listed.
+    ``pivot_rounds``: how often nodes are tried against pivots before candidates are listed, in
+    round i against ``pivots`` ** i of them;
+    ``dense``: nodes of a shingle that are few enough to list their pairs at once.
     """
 
     words: int = 5
     percent: int = 75
     most_shared: int = 24
-    counters: int = 1 << 20
+    counters: int = 1 << 23
     verify: float = 0.1
     chance: float = 0.25
     salt_over: int = 4096
-    marks: int = 1 << 24
-    pivot_rounds: int = 3
+    marks: int = 1 << 22
+    pivot_rounds: int = 4
+    pivots: int = 4
+    dense: int = 6
 
 
 JOIN = Join()
-_CHUNK = 4096
+_CHUNK = 1 << 16
 #: A prefix entry is a shingle's upper 52 bits; the lower 12 name the group of a frequent one.
 _SALTS = 0xFFF
 
@@ -77,18 +82,20 @@ def slots(keys: np.ndarray, counters: int) -> np.ndarray:
     return (arrays.salted(keys, 3) & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _batch(rows):
-    found = [(chunk, own, np.flatnonzero(own)) for chunk, own in rows]
+def _batch(chunks: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Chunks of counters, compressed by planes of equal bytes, as most are small."""
+    packed = [zlib.compress(own.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for _, own in chunks]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([chunk for chunk, _, _ in found], pa.int32()),
-            pa.array([at.astype(np.uint16).tobytes() for _, _, at in found], pa.binary()),
-            pa.array([own[at].tobytes() for _, own, at in found], pa.binary()),
-        ],
-        ["chunk", "places", "counts"],
+        [pa.array([chunk for chunk, _ in chunks], pa.int32()), pa.array(packed, pa.binary())],
+        ["chunk", "counts"],
     )
 
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
 def tallied(frame: DataFrame, keys_of, counters: int) -> np.ndarray:
     """How many keys fall on each of ``counters`` counters; ``keys_of`` gives a batch's keys.
 
@@ -102,7 +109,7 @@ def tallied(frame: DataFrame, keys_of, counters: int) -> np.ndarray:
             for keys in keys_of(batch):
                 places, seen = np.unique(slots(keys, counters), return_counts=True)
                 total[places] += seen.astype(np.uint32)
-        parts = total.reshape(-1, _CHUNK)
+        parts = total.reshape(-1, min(_CHUNK, counters))
         used = np.flatnonzero(parts.any(axis=1))
         for i in range(0, len(used), 16):
             yield _batch([(int(j), parts[j]) for j in used[i : i + 16]])
@@ -110,31 +117,36 @@ def tallied(frame: DataFrame, keys_of, counters: int) -> np.ndarray:
     def add(batches):
         total = {}
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "places", "counts")))
-            for chunk, places, counts in rows:
-                own = total.setdefault(chunk, np.zeros(_CHUNK, np.uint32))
-                own[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                own = _unpacked(packed.as_py())
+                total[chunk] = total[chunk] + own if chunk in total else own
         for chunk, own in total.items():
             yield _batch([(chunk, own)])
 
-    kind = "chunk int, places binary, counts binary"
+    kind = "chunk int, counts binary"
     total = np.zeros(counters, np.uint32)
+    parts = total.reshape(-1, min(_CHUNK, counters))
     for row in frame.mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
-        own = total[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK]
-        own[np.frombuffer(row.places, np.uint16)] = np.frombuffer(row.counts, np.uint32)
+        parts[row.chunk] = _unpacked(row.counts)
     return total
 
 
 class Frequency:
-    """Estimated number of documents of a shingle: what its counter holds above the usual load."""
+    """Estimated number of documents of a shingle: what its counter holds above the usual load.
+
+    Kept as powers of two: one byte a counter.
+    """
 
     def __init__(self, counters: np.ndarray):
-        load = float(np.median(counters))
-        above = counters - load
-        self.estimate = np.where(above < 4 * np.sqrt(load) + 2, 1, above).astype(np.float32)
+        load = np.float32(np.median(counters[:: max(1, len(counters) >> 16)]))
+        self.power = np.zeros(len(counters), np.uint8)
+        for i in range(0, len(counters), _CHUNK):
+            above = counters[i : i + _CHUNK] - load
+            above[above < 4 * np.sqrt(load) + 2] = 1
+            self.power[i : i + _CHUNK] = np.log2(above)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.estimate[slots(keys, len(self.estimate))]
+        return np.exp2(self.power[slots(keys, len(self.power))].astype(np.float32))
 
 
 def prefix(keys: np.ndarray, seen: np.ndarray, join: Join) -> tuple[int, np.ndarray, np.ndarray]:
@@ -142,7 +154,7 @@ def prefix(keys: np.ndarray, seen: np.ndarray, join: Join) -> tuple[int, np.ndar
     size = len(keys)
     least = -(-join.percent * size // 100)
     most = min(join.most_shared, least)
-    order = np.lexsort((keys, np.floor(np.log2(seen))))[: size - least + most]
+    order = np.lexsort((keys, seen))[: size - least + most]
     seen = seen[order]
     entries = np.cumsum(seen)[size - least :]
     others = np.cumsum(seen - 1 + join.chance)[size - least :]
@@ -209,14 +221,29 @@ def _sets(marks, join: Join):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _verified(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; ``pairs`` is read more than once.
+
+    Only sets of nodes in a pair are made again from their texts, which a table of fixed size picks;
+    what it lets through besides is dropped by the join with the nodes.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    wanted = written(facts.join(nodes, "node", "left_semi").select("node", "row"))
+
+    def picked(batch):
+        yield np.asarray(batch.column("row")).view(np.uint64)
+
+    marks = np.packbits(tallied(wanted.select("row"), picked, join.marks) > 0)
+    marks = rows.sparkSession.sparkContext.broadcast(marks)
+    sets = rows.select("row", "text").mapInArrow(_sets(marks, join), "node long, shingles array<long>")
+    sets = sets.join(wanted.select("node"), "node", "left_semi")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(first, "a").join(second, "b")
+    both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return both.where(common * 100 >= union * percent).select("a", "b")
+    return both.where(common * 100 >= union * join.percent).select("a", "b")
 
 
 def _fits(size: str, other: str, percent: int):
@@ -224,44 +251,46 @@ def _fits(size: str, other: str, percent: int):
     return (F.col(size) * 100 >= F.col(other) * percent) & (F.col(other) * 100 >= F.col(size) * percent)
 
 
-def _pivot_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each node outside its shingles' largest component one node inside, by most shingles.
+def _pivot_pairs(entries: DataFrame, now: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Nodes outside the largest component of their shingles, with pivots inside it.
 
-    ``entries``: token, node, root, members, size, need. Every shingle offers one pivot, the same for all
-    its nodes; a node takes the one that most of its shingles offer.
+    ``entries``: token, node; ``now``: as of ``_now``. A node takes the component that most of its
+    shingles offer, and ``join.pivots`` to the power of ``turn`` nodes of it by hash, so that fewer
+    and fewer nodes are tried against more and more pivots.
     """
-    chance = [F.xxhash64(c, F.lit(turn)) for c in ("root", "node")]
-    offers = entries.groupBy("token").agg(
-        F.max(F.struct("members", *chance, "node", "root", "size", "need")).alias("pivot"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-    )
-    offers = offers.where("low <> high").select(
-        "token", *[F.col(f"pivot.{c}").alias(f"other_{c}") for c in ("node", "root", "size", "need")]
-    )
-    met = entries.join(offers, "token")
-    met = met.where((F.col("root") != F.col("other_root")) & _fits("size", "other_size", percent))
-    votes = met.groupBy("node", "other_node").agg(
-        F.count("*").alias("votes"), F.min(F.least("need", "other_need")).alias("need")
-    )
-    # only some of the shingles two nodes share offer this pivot
+    entries = entries.join(now, "node")
+    largest = F.max(F.struct("members", F.xxhash64("root", F.lit(turn)), "root")).alias("largest")
+    offers = entries.groupBy("token").agg(largest, F.min("root").alias("low"), F.max("root").alias("high"))
+    offers = offers.where("low <> high").select("token", F.col("largest.root").alias("other"))
+    met = entries.join(offers, "token").where(F.col("root") != F.col("other"))
+    votes = met.groupBy("node", "other").agg(F.count("*").alias("votes"), *[F.min(c).alias(c) for c in ("size", "need")])
+    # only some of the shingles a node shares with a component offer that one
     votes = votes.where(F.col("votes") * 2 >= F.col("need"))
-    best = votes.groupBy("node").agg(F.max_by("other_node", F.struct("votes", "other_node")).alias("b"))
-    return best.select(F.col("node").alias("a"), "b")
+    best = votes.groupBy("node", "size").agg(F.max_by("other", F.struct("votes", "other")).alias("root"))
+    order = Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    pivots = now.select("root", F.col("node").alias("b"), F.col("size").alias("b_size"), F.row_number().over(order).alias("rank"))
+    pivots = pivots.where(F.col("rank") <= join.pivots**turn)
+    pairs = best.join(pivots, "root").where(_fits("size", "b_size", join.percent))
+    return pairs.select(F.col("node").alias("a"), "b")
 
 
 def _candidates(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes in different components whose prefixes share as many shingles as they must.
 
-    ``entries``: token, node, root, size, need.
+    ``entries``: token, node, place (of the token in the node's order, from 0), root, size, need.
+    Of a similar pair the k-th common token leaves room behind it for the rest of the overlap, so
+    the first tokens that are asked for all do; others are not paired.
     """
     roots = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     entries = entries.join(roots.where("low <> high").select("token"), "token", "left_semi")
-    other = entries.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "need")])
+    other = entries.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "place", "root", "size", "need")])
+    rest = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    room = (rest + F.least("need", "other_need") - 1) * (100 + percent)
     met = entries.join(other, "token").where(
         (F.col("node") < F.col("other_node"))
         & (F.col("root") != F.col("other_root"))
         & _fits("size", "other_size", percent)
+        & (room >= (F.col("size") + F.col("other_size")) * percent)
     )
     pairs = met.groupBy(F.col("node").alias("a"), F.col("other_node").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("need", "other_need")).alias("need")
@@ -287,24 +316,25 @@ def _now(facts: DataFrame, roots: DataFrame | None) -> DataFrame:
     return own.select("node", "size", "need", "root", F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 
-def _components(entries: DataFrame, facts: DataFrame, sets: DataFrame, join: Join) -> DataFrame | None:
+def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Join) -> DataFrame | None:
     links = roots = None
 
-    def add(found: DataFrame) -> bool:
+    def add(pairs: DataFrame) -> bool:
         nonlocal links, roots
-        found = written(found)
+        pairs = written(pairs.select("a", "b"))
+        if pairs.isEmpty():
+            return False
+        found = written(_verified(pairs, rows, facts, join))
         if found.isEmpty():
             return False
         links = found if links is None else links.unionAll(found)
         roots = written(components(links))
         return True
 
+    dense = entries.where(F.col("nodes") > join.dense)
     for turn in range(join.pivot_rounds):
-        pairs = _pivot_pairs(entries.join(_now(facts, roots), "node"), join.percent, turn)
-        if not add(_verified(pairs, sets, join.percent)):
-            break
-    pairs = _candidates(entries.join(_now(facts, roots), "node"), join.percent)
-    add(_verified(pairs, sets, join.percent))
+        add(_pivot_pairs(dense, _now(facts, roots), join, turn))
+    add(_candidates(entries.join(_now(facts, roots), "node"), join.percent))
     return roots
 
 
@@ -326,28 +356,23 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | N
     )
     some = members.where("node IS NOT NULL")
     entries = some.groupBy("node").agg(F.first("entries").alias("entries"))
-    entries = entries.select("node", F.explode("entries").alias("entry"))
+    entries = entries.select("node", F.posexplode("entries").alias("place", "entry"))
     group = Window.partitionBy("entry")
     entries = entries.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
+    entries = entries.withColumn("nodes", F.count("*").over(group))
     # a shingle of one node finds nothing; those of many nodes are dealt to several groups
     frequent = F.col("entry").bitwiseAND(F.lit(_SALTS)) > 0
     token = F.col("entry").bitwiseAND(F.lit(~_SALTS))
-    entries = written(entries.where((F.col("low") != F.col("high")) | frequent).select(token.alias("token"), "node"))
+    nodes = F.when(frequent, F.lit(join.salt_over)).otherwise(F.col("nodes")).alias("nodes")
+    entries = entries.where((F.col("low") != F.col("high")) | frequent)
+    entries = written(entries.select(token.alias("token"), "node", "place", nodes))
 
     facts = some.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "need", "row")])
     facts = facts.withColumnRenamed("n_shingles", "size")
     facts = written(facts.join(_possible(entries, facts), "node", "left_semi"))
     entries = written(entries.join(facts.select("node"), "node", "left_semi"))
 
-    def picked(batch):
-        yield np.asarray(batch.column("row")).view(np.uint64)
-
-    marks = np.packbits(tallied(facts.select("row"), picked, join.marks) > 0)
-    sets = rows.select("row", "text").mapInArrow(
-        _sets(context.broadcast(marks), join), "node long, shingles array<long>"
-    )
-    sets = sets.join(facts.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return members.drop("entries"), _components(entries, facts, written(sets), join)
+    return members.drop("entries"), _components(entries, facts, rows, join)
 
 
 def _rooted(docs: DataFrame, join: Join) -> DataFrame:
