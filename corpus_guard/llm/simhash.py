@@ -204,7 +204,8 @@ def within(marks: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: i
         return frame.select("high", "low").distinct().select("high", "low", F.inline(F.array(*keys)))
 
     other = tables(marks).withColumnsRenamed({"high": "other_high", "low": "other_low"})
-    met = tables(queries).join(other, ["choice", "key"])
+    # the rows of the tables are not known to be few: they are shuffled, whatever the estimate
+    met = tables(queries).join(other.hint("merge"), ["choice", "key"])
     same = [
         F.shiftrightunsigned(F.col(half).bitwiseXOR(F.col(f"other_{half}")), at).bitwiseAND(F.lit(mask)) == 0
         for half, at, mask in cuts
