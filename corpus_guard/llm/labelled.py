@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_guard.llm.arrays import KeyTable, distinct_pairs
-from corpus_guard.llm.shared import remainder, written
+from corpus_guard.llm.shared import cutoff, lottery, remainder, written
 
 #: From texts to (text number, feature) pairs, block by block; pairs may repeat.
 Features = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
@@ -52,41 +52,49 @@ class Examples:
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, label) of at most ``per_class`` training documents of each label.
 
-    They are those of smallest hash of doc_id. Rows with crc32(doc_id) mod 3 = 1, without doc_id
+    They are those of smallest ``lottery`` number. Rows with crc32(doc_id) mod 3 = 1, without doc_id
     or with another label than 0 and 1 are not used. Of repeated ids one row is used.
     """
     train = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & (remainder("doc_id", 3) != 1)
     )
+    counts = {r.label: r["count"] for r in train.where("label IN (0, 1)").groupBy("label").count().collect()}
     picked = None
     for value in (0, 1):
-        part = train.where(F.col("label") == value).distinct()
-        part = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = train.where(F.col("label") == value)
+        part = part.where(lottery("doc_id") < cutoff(counts.get(value, 0), per_class)).distinct()
+        part = part.orderBy(lottery("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
     # bounded by two times per_class ids
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
+#: Features that a task gathers before it sends their counts on.
+_GATHERED = 2_000_000
+
+
 def _counts(features: Features):
+    def sums(parts):
+        keys, back = np.unique(np.concatenate([k for _, k in parts]), return_inverse=True)
+        ones = np.bincount(back, np.concatenate([x for x, _ in parts]), len(keys)).astype(np.int64)
+        both = np.bincount(back, minlength=len(keys))
+        columns = [pa.array(keys.view(np.int64)), pa.array(both - ones), pa.array(ones)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "n0", "n1"])
+
     def run(batches):
         for batch in batches:
             label = np.asarray(batch.column("label"))
-            parts = [distinct_pairs(*pairs) for pairs in features(batch.column("text"))]
-            parts = [(label[owner], keys) for owner, keys in parts if len(keys)]
-            if not parts:
-                continue
-            keys, back = np.unique(np.concatenate([k for _, k in parts]), return_inverse=True)
-            ones = np.bincount(back, np.concatenate([x for x, _ in parts]), len(keys))
-            both = np.bincount(back, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.view(np.int64)),
-                    pa.array((both - ones).astype(np.int64)),
-                    pa.array(ones.astype(np.int64)),
-                ],
-                ["key", "n0", "n1"],
-            )
+            parts, size = [], 0
+            for pairs in features(batch.column("text")):
+                owner, keys = distinct_pairs(*pairs)
+                parts.append((label[owner], keys))
+                size += len(keys)
+                if size >= _GATHERED:
+                    yield sums(parts)
+                    parts, size = [], 0
+            if size:
+                yield sums(parts)
 
     return run
 

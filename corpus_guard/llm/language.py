@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_guard.llm import arrays
-from corpus_guard.llm.shared import remainder, table, written
+from corpus_guard.llm.shared import cutoff, lottery, remainder, table, written
 
 #: Longest context in bytes; a gram (context and byte) must fit 64 bits.
 ORDER = 4
@@ -153,10 +153,13 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """
     train = docs.where((remainder("doc_id", 5) != 0) & F.col("lang").isNotNull())
     common = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    train = train.where(F.col("lang").isin([r.lang for r in common.collect()]))
-    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    # the rank's limit is applied before the shuffle too, so no language meets in one task
-    ids = train.select("lang", "doc_id", F.xxhash64("doc_id").alias("hash"))
+    counts = {r.lang: r["count"] for r in common.collect()}
+    train = train.where(F.col("lang").isin(list(counts)))
+    below = F.lit(0).cast("long")
+    for lang, count in counts.items():
+        below = F.when(F.col("lang") == lang, F.lit(cutoff(count, per_language))).otherwise(below)
+    order = Window.partitionBy("lang").orderBy("number", "doc_id")
+    ids = train.select("lang", "doc_id", lottery("doc_id").alias("number")).where(F.col("number") < below)
     ids = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
     # bounded by MOST_LANGUAGES times per_language ids
     picked = F.broadcast(ids.select("doc_id", "lang").distinct())

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_guard.functions import text as tx
-from corpus_guard.llm.shared import table
+from corpus_guard.llm.shared import cutoff, lottery, table
 
 UNKNOWN = "unknown"
 TEMPLATES = {
@@ -187,7 +187,8 @@ def train(unknown: list[str], scan: Scan = SCAN) -> Model:
 def fit(docs: DataFrame, scan: Scan = SCAN) -> Model:
     """The unknown class is learnt from the ``scan.sample`` documents of smallest hash of doc_id."""
     rows = docs.select("doc_id", "text").where("text IS NOT NULL")
-    picked = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(scan.sample).distinct()
+    ids = rows.select("doc_id").where(lottery("doc_id") < cutoff(docs.count(), scan.sample))
+    picked = ids.orderBy(lottery("doc_id"), "doc_id").limit(scan.sample).distinct()
     # bounded by scan.sample ids
     rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = [r.text for r in rows.orderBy("doc_id").collect()]

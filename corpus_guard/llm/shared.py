@@ -19,6 +19,19 @@ def remainder(key: str | Column, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
+def lottery(key: str) -> Column:
+    """A number from 0 to 2 ** 32 - 1 by hash of the key: samples are the rows of smallest number."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 32))
+
+
+def cutoff(rows: int, wanted: int) -> int:
+    """Numbers below this are about twice the rows wanted of ``rows``, or all.
+
+    It leaves few rows to rank, however many tasks there are; a sample stays bounded by its rank.
+    """
+    return 1 << 32 if rows <= 4 * wanted else ((2 * wanted) << 32) // rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, a folder of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
