@@ -177,8 +177,10 @@ def test_time_grows_with_the_length_of_a_line(spark):
         return time.perf_counter() - start
 
     seconds(1_000)
+    # backtracking from every head took about a minute for one rule and 100 kB, so hundreds here; the
+    # margin is for machines that do other work meanwhile
     short, long = seconds(100_000), seconds(400_000)
-    assert long < 8 * short + 4
+    assert long < 8 * short + 60
 
 
 def test_rule_without_required_strings(spark, unit):
