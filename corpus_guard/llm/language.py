@@ -117,8 +117,8 @@ def _gram_counts(order: int):
         for batch in batches:
             languages = np.asarray(batch.column("lang").to_pylist(), object)
             data, offsets = arrays.text_bytes(batch.column("text"))
-            parts = []
             for first, last in arrays.blocks(offsets, 4 * arrays.BLOCK_BYTES):
+                parts = []
                 part = arrays.LOWER[data[offsets[first] : offsets[last]]].astype(np.uint64)
                 owner = np.repeat(np.arange(first, last), np.diff(offsets[first : last + 1]))
                 gram = part
@@ -132,15 +132,15 @@ def _gram_counts(order: int):
                     for language in set(languages[first:last]):
                         own = keys[languages[text] == language]
                         parts.append((language, n, *np.unique(own, return_counts=True)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in parts for _ in x[2]], pa.string()),
-                    pa.array(np.repeat([x[1] for x in parts], [len(x[2]) for x in parts]), pa.int32()),
-                    pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in parts)]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(0, np.int64), *(x[3] for x in parts)])),
-                ],
-                ["lang", "length", "gram", "seen"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[0] for x in parts for _ in x[2]], pa.string()),
+                        pa.array(np.repeat([x[1] for x in parts], [len(x[2]) for x in parts]), pa.int32()),
+                        pa.array(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in parts)]).view(np.int64)),
+                        pa.array(np.concatenate([np.zeros(0, np.int64), *(x[3] for x in parts)])),
+                    ],
+                    ["lang", "length", "gram", "seen"],
+                )
 
     return run
 
