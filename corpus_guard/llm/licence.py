@@ -29,6 +29,10 @@ TEMPLATES = {
         "you may not use this file except in compliance with the License. You may obtain a copy of "
         "the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "SPDX-License-Identifier: Apache",
+        "Licensed under the Apache License",
+        "Apache License, Version",
+        "Apache License 2.0",
     ),
     "MIT": (
         "Released under the MIT License",
@@ -36,48 +40,69 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files, to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        "The MIT License",
     ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
         "Licensed under the 3-Clause BSD License",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD",
+        "Licensed under the 2-Clause BSD License",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of "
         "the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL",
+        "GNU General Public License",
     ),
     "LGPL": (
         "Licensed under the GNU Lesser General Public License, version 3",
         "it under the terms of the GNU Lesser General Public License as published by the Free "
         "Software Foundation",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL",
+        "GNU Lesser General Public License",
+        "GNU Library General Public License",
     ),
     "MPL": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "SPDX-License-Identifier: MPL-2.0",
+        "SPDX-License-Identifier: MPL",
+        "Mozilla Public License",
     ),
     "CC-BY": (
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY",
+        "Licensed under CC BY",
     ),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 License",
+        "SPDX-License-Identifier: CC-BY-SA",
+        "Licensed under CC BY-SA",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License",
+        "SPDX-License-Identifier: CC-BY-NC",
+        "Licensed under CC BY-NC",
     ),
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related rights",
         "Dedicated to the public domain under CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0",
+        "CC0 1.0 Universal",
     ),
     "reserved": (
         "All rights reserved. No part of this publication may be reproduced or distributed without "
         "prior written permission of the publisher",
+        "All rights reserved",
     ),
 }
 
@@ -162,6 +187,9 @@ def train(unknown: list[str], scan: Scan = SCAN) -> Model:
         for _ in range(scan.cuttings):
             size = int(np.ceil(len(words) * draw.uniform(scan.similar, 1)))
             at = draw.integers(len(words) - size + 1)
+            own = _pairs(words[at : at + size])
+            if any(i != family and _pairs(t) <= own for i, t in templates):
+                at, size = 0, len(words)  # what is left would be another family's template
             around = draw.integers(0, 12, 2) * draw.integers(0, 2, 2)
             before, after = ([filler[i] for i in draw.integers(len(filler), size=n)] for n in around)
             rows.append((family, before + words[at : at + size] + after))

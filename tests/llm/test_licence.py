@@ -58,3 +58,28 @@ def test_calibrated_unknown_class():
     assert model.probabilities(licence._words(TEMPLATES["MIT"][1]))[:-1].max() > 0.8
     assert model.probabilities([])[-1] > 0.5
     assert model.probabilities("the license of this work is free to use".split())[-1] > 0.2
+
+
+def test_short_notices_and_other_versions(documents):
+    lines = {
+        "All rights reserved.": "reserved",
+        "Copyright 2020 Stone River. All rights reserved.": "reserved",
+        "Licensed under the Apache License, Version 2.0.": "Apache",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL",
+        "SPDX-License-Identifier: LGPL-2.1-only": "LGPL",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD",
+        "SPDX-License-Identifier: MPL-1.1": "MPL",
+        "SPDX-License-Identifier: CC-BY-SA-3.0": "CC-BY-SA",
+        "SPDX-License-Identifier: CC0-1.0": "CC0",
+        "Licensed under CC BY 3.0": "CC-BY",
+        "Apache License, Version 1.1": "Apache",
+    }
+    draw = random.Random(6)
+    rows = [(i, f"{_prose(draw, 20)}\n\n{line}\n\n{_prose(draw, 9)}") for i, line in enumerate(lines)]
+    rows += [(100 + i, _prose(draw, 30)) for i in range(60)]
+    docs = documents(*rows)
+    got = licence.scanned(docs, licence.fit(docs)).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(i, 1, f) for i, f in enumerate(lines.values())}
