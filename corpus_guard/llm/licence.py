@@ -1,13 +1,15 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line that is not blank. Its features are the word 1- and 2-grams that occur in
-``TEMPLATES``. Multinomial logistic regression over the licence families and an unknown class is
+A notice is looked for in every line and in every run of lines without a blank line between, as
+far as the longest template reaches, as notices are wrapped; signs of comments are no words. A
+run's features are the word 1- and 2-grams that occur in ``TEMPLATES``. Multinomial logistic regression over the licence families and an unknown class is
 trained on cuttings of the templates, alone and between words of the corpus, and on paragraphs of
 a bounded sample of documents as unknown ones; its probabilities are calibrated on a part that the
-fit did not see. A predicted family counts if one of its templates is found in the paragraph.
+fit did not see. A predicted family counts if one of its templates is found in the run.
 
-The scan itself is one narrow stage of Spark expressions. A paragraph in which no family can reach
-the unknown class, whatever its score, is left after one sum.
+The scan itself is one narrow stage of Spark expressions. A run in which no family can reach the
+unknown class, whatever its score, is left after one sum. Of the few that are found, those of one
+document meet, and a notice keeps the shortest run that has all of it.
 """
 
 from __future__ import annotations
@@ -142,6 +144,43 @@ def paragraphs(text: str | None) -> list[str]:
     return [p for p in re.split(r"[\r\n]+", text or "") if p.strip()]
 
 
+#: Words of the longest template: no template that begins in a line reaches further behind it.
+_REACH = max(len(_words(t)) for own in TEMPLATES.values() for t in own)
+_LINE = r"\r\n?|\n"
+
+
+def runs(text: str | None):
+    """The numbers, among the lines that are not blank, of the first and last line of every run, and
+    its words. A run of several lines begins and ends in what can be a part of a template."""
+    pairs = {p for own in TEMPLATES.values() for t in own for p in _pairs(_words(t))}
+    single = {w for own in TEMPLATES.values() for t in own for w in _words(t)}
+    lines = [(at, _words(line)) for at, line in enumerate(re.split(_LINE, text or "")) if line.strip()]
+    part = [bool(pairs & _pairs(words)) for _, words in lines]
+    for first, (at, words) in enumerate(lines):
+        yield first, first, words
+        if not words or not (part[first] or words[-1] in single):
+            continue
+        behind, own = 0, words
+        for last in range(first + 1, len(lines)):
+            more = lines[last][1]
+            if lines[last][0] != at + last - first or not more or behind >= _REACH - 1:
+                break
+            behind, own = behind + len(more), own + more
+            if part[last] or more[0] in single:
+                yield first, last, own
+
+
+def _unknown(text: str, scan: Scan) -> list[str]:
+    """The lines that are not part of a run with a template."""
+    lines, taken = paragraphs(text), set()
+    templates = [_pairs(_words(t)) for own in TEMPLATES.values() for t in own]
+    for first, last, words in runs(text):
+        own = _pairs(words) if last > first else set()
+        if any(len(t & own) >= scan.similar * len(t) for t in templates):
+            taken.update(range(first, last + 1))
+    return [line for i, line in enumerate(lines) if i not in taken]
+
+
 @dataclass
 class Model:
     """``weights``: per class and gram, the unknown class last; ``grams`` in the same order."""
@@ -220,7 +259,7 @@ def fit(docs: DataFrame, scan: Scan = SCAN) -> Model:
     # bounded by scan.sample ids
     rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     texts = [r.text for r in rows.orderBy("doc_id").collect()]
-    return train([p for text in texts for p in paragraphs(text)], scan)
+    return train([p for text in texts for p in _unknown(text, scan)], scan)
 
 
 def _constant(values, kind: str) -> str:
@@ -234,36 +273,77 @@ def _total(numbers: str, start: float, weights) -> str:
     return f"aggregate({numbers}, CAST({start!r} AS DOUBLE), (s, n) -> s + element_at({values}, n + 1))"
 
 
+def _found_in(words: str, number: str, body: str) -> str:
+    """``body`` with pairs (hashes of the 2-grams) and found (numbers of the known grams)."""
+    found = f"array_distinct(filter(transform(concat(ones, pairs), h -> {number}), n -> n > 0))"
+    pairs = """zip_with(slice(words, 1, greatest(size(words) - 1, 0)),
+        slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> xxhash64(a, b))"""
+    body = tx.let("pairs", pairs, tx.let("found", found, body))
+    return tx.let("words", words, tx.let("ones", "transform(words, w -> xxhash64(w))", body))
+
+
 def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity of every paragraph with a licence.
+    """doc_id, paragraph, family, probability, similarity, lines of every notice.
 
-    paragraph is the number of the line among the text's lines that are not empty, from 0. Null and
-    empty texts have no rows. Repeated rows give repeated results. Of equally probable families the
-    first of ``TEMPLATES`` is taken. Further columns of ``docs`` are ignored.
+    paragraph is the number of the notice's first line among the text's lines that are not blank,
+    from 0, and lines how many it has. Null and empty texts have no rows. Repeated rows give
+    repeated results. Of equally probable families the first of ``TEMPLATES`` is taken. Further
+    columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    slot_of = _slots(spark, model.grams, scan.slots)
-    numbers = np.zeros(scan.slots, int)
-    for number, slot in enumerate(slot_of, 1):
-        numbers[slot] = number
+    hashes, size = _hashes(spark, model.grams), scan.slots
+    while len({h % size for h in hashes}) < len(hashes):
+        size += 1  # a slot holds one gram
+    numbers = np.zeros(size, int)
+    for number, h in enumerate(hashes, 1):
+        numbers[h % size] = number
     # what each gram can add, at most, to the lead of any family over the unknown class
     lead = np.maximum((model.weights[:-1] - model.weights[-1]).max(axis=0), 0)
     lead_bias = float((model.bias[:-1] - model.bias[-1]).max())
-
-    lines = F.filter(F.split("text", r"[\r\n]+"), lambda p: F.trim(p) != "")
-    rows = docs.select("doc_id", F.posexplode(lines).alias("paragraph", "line"))
-    # an array of one paragraph or none, so that all of it is evaluated once
-    number = f"element_at({_constant(numbers, 'int')}, CAST(pmod(h, {scan.slots}) AS INT) + 1)"
-    hit = f"""IF({_total('found', lead_bias, lead)} >= 0, array(named_struct('pairs', pairs, 'found', found)),
-        array())"""
-    hit = tx.let(
-        "found", f"array_distinct(filter(transform(concat(ones, pairs), h -> {number}), n -> n > 0))", hit
+    number = tx.let(
+        "m",
+        f"element_at({_constant(numbers, 'int')}, CAST(pmod(h, {size}) AS INT) + 1)",
+        f"IF(element_at({_constant([0, *hashes], 'bigint')}, m + 1) = h, m, 0)",
     )
-    pairs = """zip_with(slice(words, 1, greatest(size(words) - 1, 0)),
-        slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> xxhash64(a, b))"""
-    hit = tx.let("ones", "transform(words, w -> xxhash64(w))", tx.let("pairs", pairs, hit))
-    hit = tx.let("words", f"filter(split(lower(line), {tx.sql_string(_BETWEEN)}), w -> w <> '')", hit)
-    rows = rows.select("doc_id", "paragraph", F.inline(F.expr(hit)))
+    reaches = f"{_total('found', lead_bias, lead)} >= 0"
+    is_pair = _constant([int(" " in g) for g in model.grams], "int")
+
+    def known(h: str) -> str:
+        return tx.let("h", h, number) + " > 0"
+
+    def words(text: str) -> str:
+        return f"filter(split(lower({text}), {tx.sql_string(_BETWEEN)}), w -> w <> '')"
+
+    # at: the line's number with the blank ones; head and tail: whether a template can begin or end
+    facts = f"""named_struct('at', at, 'line', line, 'n', size(words), 'alone', {reaches},
+        'head', size(words) > 0 AND (part OR {known('element_at(ones, -1)')}),
+        'tail', size(words) > 0 AND (part OR {known('element_at(ones, 1)')}))"""
+    facts = tx.let("part", f"exists(found, n -> element_at({is_pair}, n) = 1)", facts)
+    facts = _found_in(words("line"), number, facts)
+    lines = f"filter(transform(split(text, {tx.sql_string(_LINE)}, -1), (line, at) -> struct(line, at)), p -> trim(p.line) <> '')"
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.expr(lines).alias("lines"))
+    facts = f"transform(lines, p -> {tx.let('line', 'p.line', tx.let('at', 'p.at', facts))})"
+    rows = rows.select("doc_id", "row", F.expr(facts).alias("parts"))
+    # the last lines, from 0, of the runs of several lines that begin in line i
+    ends = f"""aggregate(
+        slice(parts, i + 2, {_REACH}),
+        named_struct('open', true, 'behind', 0, 'last', i, 'ends', CAST(array() AS ARRAY<INT>)),
+        (s, q) -> {tx.let(
+            'ok',
+            f"s.open AND q.n > 0 AND s.behind < {_REACH - 1} AND q.at = parts[i].at + s.last + 1 - i",
+            "named_struct('open', ok, 'behind', s.behind + q.n, 'last', s.last + 1,"
+            " 'ends', IF(ok AND q.tail, concat(s.ends, array(s.last + 1)), s.ends))",
+        )},
+        s -> s.ends)"""
+    places = f"""flatten(transform(parts, (p, i) -> transform(
+        concat(IF(p.alone, array(i), array()), IF(p.head, {ends}, array())),
+        e -> named_struct('paragraph', i, 'last', e,
+            'run', array_join(transform(slice(parts, i + 1, e - i + 1), q -> q.line), '\n')))))"""
+    rows = rows.select("doc_id", "row", F.inline(F.expr(places)))
+    # an array of one run or none, so that all of it is evaluated once
+    hit = f"IF({reaches}, array(named_struct('pairs', pairs, 'found', found)), array())"
+    hit = _found_in(words("run"), number, hit)
+    rows = rows.select("doc_id", "row", "paragraph", "last", F.inline(F.expr(hit)))
 
     def total_of(start: float, weights) -> Column:
         return F.expr(_total("found", start, weights))
@@ -275,26 +355,40 @@ def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
     rows = rows.withColumn("probability", 1 / total).withColumn("class", F.array_position("scores", F.col("best")))
     rows = rows.where((F.col("class") <= len(model.families)) & (F.col("probability") >= scan.least))
     family = F.element_at(F.array(*[F.lit(f) for f in model.families]), F.col("class").cast("int"))
-    similar = F.lit(0.0)
+    shares = F.lit(None)
     for c, name in enumerate(model.families, 1):
-        shares = [_share(words) for words in map(_words, TEMPLATES[name])]
-        similar = F.when(F.col("class") == c, F.greatest(*shares, F.lit(0.0))).otherwise(similar)
-    rows = rows.withColumn("similarity", similar).where(F.col("similarity") >= scan.similar)
-    return rows.select("doc_id", "paragraph", family.alias("family"), "probability", "similarity")
+        own = F.array(*[_share(words) for words in map(_words, TEMPLATES[name])])
+        shares = F.when(F.col("class") == c, own).otherwise(shares)
+    rows = rows.withColumn("shares", F.filter(shares, lambda x: x.similarity >= scan.similar)).where("size(shares) > 0")
+    # common: 2-grams of the template of which the run has most
+    rows = rows.withColumns(
+        {x: F.array_max(F.transform("shares", lambda s: s[x])) for x in ("similarity", "common")}
+    )
+    found = ["paragraph", "last", family.alias("family"), "probability", "similarity", "common"]
+    rows = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct(*found))).alias("hits"))
+    # other runs of the family around a run, in a list sorted by first line: a run has at most _REACH lines
+    near = f"slice(hits, greatest(1, i + 1 - {_REACH**2}), {2 * _REACH**2 + 1})"
+    inside = "o.family = h.family AND o.paragraph >= h.paragraph AND o.last <= h.last AND o.last - o.paragraph < h.last - h.paragraph"
+    around = "o.family = h.family AND o.paragraph <= h.paragraph AND o.last >= h.last AND o.last - o.paragraph > h.last - h.paragraph"
+    for other in (f"{inside} AND o.common >= h.common", f"{around} AND o.common > h.common"):
+        rows = rows.withColumn("hits", F.expr(f"filter(hits, (h, i) -> NOT exists({near}, o -> {other}))"))
+    lines = (F.col("last") - F.col("paragraph") + 1).alias("lines")
+    return rows.select("doc_id", F.inline("hits")).select("doc_id", "paragraph", "family", "probability", "similarity", lines)
 
 
 def _share(words: list[str]) -> Column:
-    """The share of the template's 2-grams that the paragraph has."""
+    """The share and number of the template's 2-grams that the run has."""
     template = F.array_distinct(F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in zip(words, words[1:])]))
-    return F.size(F.array_intersect(template, "pairs")) / F.size(template)
+    common = F.size(F.array_intersect(template, "pairs"))
+    return F.struct((common / F.size(template)).alias("similarity"), common.alias("common"))
 
 
-def _slots(spark: SparkSession, grams: list[str], slots: int) -> list[int]:
+def _hashes(spark: SparkSession, grams: list[str]) -> list[int]:
     rows = spark.createDataFrame([(i, g.split(" ")) for i, g in enumerate(grams)], "i int, words array<string>")
     hashed = F.when(F.size("words") == 1, F.xxhash64(F.get("words", F.lit(0)))).otherwise(
         F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1)))
     )
-    return [r.slot for r in rows.select("i", F.pmod(hashed, F.lit(slots)).alias("slot")).orderBy("i").collect()]
+    return [r.hash for r in rows.select("i", hashed.alias("hash")).orderBy("i").collect()]
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -83,3 +83,39 @@ def test_short_notices_and_other_versions(documents):
     docs = documents(*rows)
     got = licence.scanned(docs, licence.fit(docs)).collect()
     assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(i, 1, f) for i, f in enumerate(lines.values())}
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_notices(documents):
+    draw = random.Random(8)
+    around = lambda text, mark="": f"{_prose(draw, 9)}\n{mark}{text}\n{_prose(draw, 12)}"
+    commented = lambda text, sign: "\n".join(sign + line for line in text.split("\n"))
+    narrow = TEMPLATES["MIT"][2].replace(" ", "\n")
+    rows = [
+        (0, around(BSD), {("BSD", 1)}),
+        (1, around(commented(GPL, " * ")), {("GPL", 1)}),
+        (2, f"#!/bin/sh\n#\n{commented(MIT, '# ')}\n#\nriver()", {("MIT", 2)}),
+        (3, f"{BSD}\r\n\r\n{GPL}".replace("\n", "\r\n").replace("\r\r", "\r"), {("BSD", 0), ("GPL", 3)}),
+        (4, f"{GPL}\n{MIT}", {("GPL", 0), ("MIT", 4)}),
+        (5, f"{narrow}\nriver", {("MIT", 0)}),
+        (6, "All rights\nreserved.", {("reserved", 0)}),
+        (7, "All rights\n\nreserved.", set()),
+        (8, "Released under the MIT License.\nAll rights reserved.\nReleased under the MIT License.", {("MIT", 0), ("reserved", 1), ("MIT", 2)}),
+    ]
+    rows += [(100 + i, "\n".join(_prose(draw, 11) for _ in range(6)), set()) for i in range(40)]
+    docs = documents(*[row[:2] for row in rows])
+    got = licence.scanned(docs, licence.fit(docs)).collect()
+    for doc_id, _, want in rows:
+        assert (doc_id, {(r.family, r.paragraph) for r in got if r.doc_id == doc_id}) == (doc_id, want)
+    assert {r.lines for r in got if r.doc_id in (0, 2)} == {3} and [r.similarity for r in got if r.doc_id == 0] == [1.0]
