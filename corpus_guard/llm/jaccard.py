@@ -6,7 +6,10 @@ enough share at least l of the first (size - least overlap + l) shingles of each
 document picks the l whose estimated cost is least. Two documents are candidates when their
 prefixes share as many shingles as the smaller l asks for, and candidates are verified exactly.
 
-Only components are asked for, so pairs inside a dense group need not be listed: first the nodes of
+``linked`` finds every link: all candidates are listed, those of a frequent shingle by pairs of
+blocks of its nodes, and verified where blocks of nodes meet.
+
+Where only components are asked for, pairs inside a dense group need not be listed: first the nodes of
 shingles with many nodes are verified against one pivot each, which joins most of a group with a
 number of pairs that grows with the nodes. Candidates are then listed only between nodes that are
 still in different components.
@@ -14,10 +17,12 @@ still in different components.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +41,8 @@ class Join:
     estimate. ``marks``: size of the table that picks the texts to verify, in bits.
     ``pivot_rounds``: how often nodes are tried against pivots before candidates are listed, in
     round i against ``pivots`` ** i of them;
-    ``dense``: nodes of a shingle that are few enough to list their pairs at once.
+    ``dense``: nodes of a shingle that are few enough to list their pairs at once. ``block``: nodes
+    of a shingle, and root of the number of pairs, that one group takes when every link is asked for.
     """
 
     words: int = 5
@@ -50,6 +56,7 @@ class Join:
     pivot_rounds: int = 4
     pivots: int = 4
     dense: int = 6
+    block: int = 256
 
 
 JOIN = Join()
@@ -221,8 +228,8 @@ def _sets(marks, join: Join):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; ``pairs`` is read more than once.
+def _sets_of(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """node and shingles of the nodes in ``pairs``, which is read more than once.
 
     Only sets of nodes in a pair are made again from their texts, which a table of fixed size picks;
     what it lets through besides is dropped by the join with the nodes.
@@ -237,7 +244,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -
     marks = rows.sparkSession.sparkContext.broadcast(marks)
     sets = rows.select("row", "text").mapInArrow(_sets(marks, join), "node long, shingles array<long>")
     sets = sets.join(wanted.select("node"), "node", "left_semi")
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; ``pairs`` is read more than once."""
+    sets = _sets_of(pairs, rows, facts, join)
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(first, "a").join(second, "b")
@@ -246,6 +258,34 @@ def _verified(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -
     return both.where(common * 100 >= union * join.percent).select("a", "b")
 
 
+def _similar(percent: int):
+    """For the pairs and the sets of two blocks: the pairs whose sets are similar enough."""
+
+    def run(pairs, sets):
+        known = {n: np.asarray(x, np.int64) for n, x in zip(sets["node"], sets["shingles"])}
+        kept = [pairs.iloc[:0]]
+        for a, own in pairs.groupby("a"):
+            x, others = np.sort(known[a]), [known[b] for b in own["b"]]
+            sizes = np.array([len(y) for y in others])
+            flat = np.concatenate(others)
+            hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            kept.append(own[common * 100 >= (len(x) + sizes - common) * percent])
+        return pd.concat(kept)[["a", "b"]]
+
+    return run
+
+
+def _verified_in_blocks(pairs: DataFrame, rows: DataFrame, facts: DataFrame, join: Join) -> DataFrame:
+    """As ``_verified``, for many pairs of few nodes: a set is sent to the blocks it has partners in."""
+    sets = written(_sets_of(pairs, rows, facts, join))
+    blocks = math.ceil(max(math.sqrt(pairs.count()) / join.block, sets.count() / join.block / 16, 1))
+    placed = pairs.withColumns({x: F.pmod(F.xxhash64(n), F.lit(blocks)) for x, n in (("x", "a"), ("y", "b"))})
+    wanted = placed.select("x", "y", F.col("a").alias("node")).unionAll(placed.select("x", "y", "b")).distinct()
+    sent = written(wanted.join(sets, "node"))
+    return placed.groupBy("x", "y").cogroup(sent.groupBy("x", "y")).applyInPandas(_similar(join.percent), "a long, b long")
+
+
 def _fits(size: str, other: str, percent: int):
     """Sizes that allow the similarity."""
     return (F.col(size) * 100 >= F.col(other) * percent) & (F.col(other) * 100 >= F.col(size) * percent)
@@ -274,21 +314,33 @@ def _pivot_pairs(entries: DataFrame, now: DataFrame, join: Join, turn: int) -> D
     return pairs.select(F.col("node").alias("a"), "b")
 
 
-def _candidates(entries: DataFrame, percent: int) -> DataFrame:
+def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> DataFrame:
     """Pairs of nodes in different components whose prefixes share as many shingles as they must.
 
     ``entries``: token, node, place (of the token in the node's order, from 0), root, size, need.
     Of a similar pair the k-th common token leaves room behind it for the rest of the overlap, so
-    the first tokens that are asked for all do; others are not paired.
+    the first tokens that are asked for all do; others are not paired. With ``block``, all such
+    pairs, whatever their components; root is not read, and a token's nodes are paired by blocks of
+    about so many.
     """
-    roots = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    entries = entries.join(roots.where("low <> high").select("token"), "token", "left_semi")
-    other = entries.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "place", "root", "size", "need")])
+    if block:
+        blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
+        entries = entries.join(entries.groupBy("token").agg(blocks), "token")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        first = entries.withColumn("x", own).withColumn("y", every)
+        second = entries.withColumn("y", own).withColumn("x", every)
+        on, names = ["token", "x", "y"], ("node", "place", "size", "need")
+    else:
+        roots = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        first = second = entries.join(roots.where("low <> high").select("token"), "token", "left_semi")
+        on, names = ["token"], ("node", "place", "root", "size", "need")
+    other = second.select(*on, *[F.col(c).alias(f"other_{c}") for c in names])
     rest = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
     room = (rest + F.least("need", "other_need") - 1) * (100 + percent)
-    met = entries.join(other, "token").where(
+    met = first.join(other, on).where(
         (F.col("node") < F.col("other_node"))
-        & (F.col("root") != F.col("other_root"))
+        & (F.lit(True) if block else F.col("root") != F.col("other_root"))
         & _fits("size", "other_size", percent)
         & (room >= (F.col("size") + F.col("other_size")) * percent)
     )
@@ -338,8 +390,8 @@ def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Joi
     return roots
 
 
-def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | None]:
-    """The documents with their nodes, and (node, root) of the nodes that are linked to others."""
+def _prepared(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents with their nodes; prefix entries and facts of the nodes that may be linked; texts."""
     context = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
 
@@ -372,12 +424,22 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame | N
     facts = written(facts.join(_possible(entries, facts), "node", "left_semi"))
     entries = written(entries.join(facts.select("node"), "node", "left_semi"))
 
-    return members.drop("entries"), _components(entries, facts, rows, join)
+    return members.drop("entries"), entries, facts, rows
+
+
+def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame]:
+    """The documents with their nodes (doc_id, row, n_shingles, node), and every pair (a, b) of
+    different nodes, a < b, whose sets are similar enough."""
+    members, entries, facts, rows = _prepared(docs, join)
+    known = entries.select("token", "node", "place").join(facts.select("node", "size", "need"), "node")
+    pairs = written(_candidates(known, join.percent, join.block).select("a", "b"))
+    return members, written(_verified_in_blocks(pairs, rows, facts, join))
 
 
 def _rooted(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, row, n_shingles and root of every row; root is null where the set is empty."""
-    members, roots = linked(docs, join)
+    members, entries, facts, rows = _prepared(docs, join)
+    roots = _components(entries, facts, rows, join)
     if roots is None:
         return members.withColumn("root", F.col("node"))
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -398,6 +460,25 @@ def classes(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", component)
 
 
+def counted(docs: DataFrame, join: Join = JOIN) -> DataFrame:
+    """As ``classes``, and n_links: how many other rows have a set similar enough, equal ones included."""
+    members, links = linked(docs, join)
+    held = written(members.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("held"), F.min("doc_id").alias("least")))
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(held.select(F.col("node").alias("b"), "held"), "b").groupBy(F.col("a").alias("node"))
+    nodes = held.join(others.agg(F.sum("held").alias("others")), "node", "left").join(components(links), "node", "left")
+    n_links = F.col("held") - 1 + F.coalesce("others", F.lit(0).cast("long"))
+    nodes = written(nodes.select("node", F.coalesce("root", "node").alias("root"), "least", n_links.alias("n_links")))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
+    nodes = nodes.drop("least").join(least, "root").select("node", "component", "n_links")
+    return members.join(nodes, "node", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )
+
+
 def keep(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs)
 
@@ -422,4 +503,4 @@ def one_of_each(docs: DataFrame, join: Join = JOIN) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return counted(table(spark, sf_dir, "documents"))

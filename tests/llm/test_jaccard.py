@@ -125,3 +125,24 @@ def test_components(spark):
             label[max(x, y)] = min(x, y)
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert Counter((r.node, r.root) for r in got) == Counter((x, find(x)) for x in label)
+
+
+def _brute_links(rows):
+    sets = _sets(rows)
+    links = [
+        sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, (_, b) in enumerate(sets))
+        for i, (_, a) in enumerate(sets)
+    ]
+    return Counter((doc_id, n) for (doc_id, _), n in zip(rows, links))
+
+
+@pytest.mark.parametrize("join", [Join(), Join(counters=4096, salt_over=3, block=3)])
+def test_every_link_is_counted(documents, join):
+    """Also those inside a group of many near copies, and those of equal rows."""
+    rows = _corpus(6, groups=6, copies=30)
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(rows[:9])] + [(2000, None), (2001, ""), (2002, "a b")]
+    got = jaccard.counted(documents(*rows), join).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _brute(rows)
+    assert Counter((r.doc_id, r.n_links) for r in got) == _brute_links(rows)
+    assert max(r.n_links for r in got) > 8
+    assert jaccard.counted(documents("a").where("false"), join).collect() == []
