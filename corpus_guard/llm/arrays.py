@@ -116,6 +116,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(np.add.reduceat(values, firsts) ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes data[starts[i]:ends[i]] in a row, and len + 1 offsets into them."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    place = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    return data[place], offsets
+
+
 def grams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``n`` words of one text, and the number of that text."""
     count = len(hashes) - n + 1

@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_guard.llm import chat, decontaminate, jaccard, language, licence, mixing, quality, simhash, toxicity, url_filter
+from corpus_guard.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    language,
+    lattice,
+    licence,
+    mixing,
+    quality,
+    simhash,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity.op8,
     "op9_url_filter": url_filter.op9,
     "op10_quality": quality.op10,
+    "op11_lattice_score": lattice.op11,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op7_chat_format": chat.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
