@@ -75,15 +75,19 @@ def word_spans(
     data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text number of every word; no word reaches over the end of a text."""
-    if not len(data):
+    return spans(~blank[data], offsets)
+
+
+def spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text number of every longest run of true bytes within a text."""
+    if not len(solid):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    solid = ~blank[data]
     before = np.empty_like(solid)
     before[0] = False
     before[1:] = solid[:-1]
     inner = offsets[1:-1]
-    cut = np.unique(inner[inner < len(data)])
+    cut = np.unique(inner[inner < len(solid)])
     before[cut] = False
     starts = np.flatnonzero(solid & ~before)
     after = np.empty_like(solid)

@@ -16,8 +16,10 @@ from corpus_guard.llm import (
     mixing,
     quality,
     simhash,
+    spelling,
     toxicity,
     url_filter,
+    vector_codes,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +36,14 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": url_filter.op9,
     "op10_quality": quality.op10,
     "op11_lattice_score": lattice.op11,
+    "op12_spelling_variants": spelling.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op7_chat_format": chat.OP7_SQL, "op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op7_chat_format": chat.OP7_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
+}

@@ -43,12 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: its lineage ends there, and no executor holds it."""
+def stored(frame: DataFrame) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, and the table's path, for ``removed``."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: its lineage ends there, and no executor holds it."""
+    return stored(frame)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Rows of a few numbers each that a broadcast may hold.
