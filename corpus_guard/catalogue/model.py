@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Code points reserved for internal use that a rewriting of a text puts for others (``Rule.prepare``).
+LIVE_BRACE, DEAD_F, DEAD_QUOTE = "\ufdd4", "\ufdd5\ufdd7", "\ufdd6"  # DEAD_F: f and F
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -17,7 +20,10 @@ class Rule:
     for its word followed by white space and that sign. ``engine_pattern`` and ``probe`` replace the
     pattern by a linear-time form with the same match start where the plain one backtracks over
     the whole unit (see ``operators.matching``). With ``check`` the engine pattern also takes what
-    the pattern does not match, and every hit is checked against the pattern.
+    the pattern does not match, and every hit is checked against the pattern. ``not_after`` are words
+    none of which may follow a hit anywhere in the unit: one number tells that for all hits.
+    ``prepare`` names a rewriting of the text, of the same length, that the engine pattern is for
+    (``functions.text.PREPARED``).
     """
 
     rule_id: str
@@ -46,6 +52,8 @@ class Rule:
     engine_pattern: str | None = None
     probe: str | None = None
     check: bool = False
+    not_after: str | None = None
+    prepare: str | None = None
     # what happens to a match
     context: str = "none"  # see functions.text.CONTEXT_FILTERS
     value_filter: str = "none"  # none, pii or secret

@@ -858,7 +858,13 @@ _RETRIEVAL = [
         "Vector store created without apparent multi-tenancy or access control filters",
         "medium",
         ((".from_documents(", ".from_texts("),),
-        (None, None),
+        # calls that share a missing or unfit closing bracket are passed over together
+        (
+            r"(?:FAISS|Chroma|Pinecone|Weaviate|Qdrant|Milvus)\.(?:from_documents|from_texts)\s*"
+            r"\([^)]*+(?:\)\s*\n|\)|\Z)",
+            None,
+            "filter|where|metadata_filter|user_id|tenant",
+        ),
     ),
 ]
 
@@ -875,6 +881,8 @@ def _rag_security() -> list[Rule]:
             dotall=True,
             engine_pattern=linear[0],
             probe=linear[1],
+            not_after="".join(linear[2:]) or None,
+            check=len(linear) > 2,
             description=what,
             description_pt=f"Problema de segurança no pipeline RAG: {what}",
             recommendation=(
@@ -1057,6 +1065,18 @@ def _by_key(rule_id: str, table: dict[str, str], default: str) -> str:
     return next((value for key, value in table.items() if key in rule_id), default)
 
 
+#: Categories that a detector covers, in discovery order; declarative rules of others are not run.
+CATEGORIES = (
+    "prompt_injection",
+    "data_leak",
+    "insecure_output",
+    "excessive_agency",
+    "rag_security",
+    "secret_exposure",
+    "jailbreak",
+)
+
+
 def package_rules(declarative: list[Rule] | tuple[Rule, ...] = ()) -> list[Rule]:
     """All built-in rules in discovery order, with declarative rules first in their detector.
 
@@ -1074,7 +1094,7 @@ def package_rules(declarative: list[Rule] | tuple[Rule, ...] = ()) -> list[Rule]
         "jailbreak": _jailbreak(),
     }
     rules: list[Rule] = []
-    for category, built_in in detectors.items():
+    for category in CATEGORIES:
         rules += [r for r in declarative if r.category == category]
-        rules += built_in
+        rules += detectors[category]
     return rules

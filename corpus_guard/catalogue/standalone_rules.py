@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from corpus_guard.catalogue.model import Rule
+from corpus_guard.catalogue.model import DEAD_QUOTE, LIVE_BRACE, Rule
 from corpus_guard.catalogue.package_rules import (
     PYTHON,
     SCRIPT,
@@ -473,12 +473,9 @@ def _linear(rule_id: str, pattern: str) -> dict:
         rest = rest_of_line(head)
         return dict(engine_pattern=rf"""{head}(?:f["\']|.*{tail[:-1]}|{rest})""", check=True)
     if rule_id == "LLM02-SQL-001":
-        # a literal without f may go on to later lines: such a head is not passed over
         head, tail = plain.split(r"""(?:f["\']|["\'][^"]*\{).*?""")
-        word = head.partition(r"\s*")[0]
-        passed = rf"""(?:(?!{word}\s*\(\s*["\']|{word}[^\S\n]*\(?[^\S\n]*\n).)*+"""
-        literal = rf"""["\'][^"]*\{{.*?{tail}"""
-        return dict(engine_pattern=rf"""{head}(?:f["\'](?:.*?{tail}|{passed})|{literal})""", check=True)
+        pattern = rf"""{head}(?:f["\'{DEAD_QUOTE}].*?{tail}|["\'][^"]*{LIVE_BRACE}.*?{tail})"""
+        return dict(engine_pattern=pattern, prepare="live_literals")
     return per_line(plain)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from corpus_guard.catalogue.model import DEAD_F, DEAD_QUOTE, LIVE_BRACE
 from corpus_guard.catalogue.names import (
     PII_PLACEHOLDER,
     SECRET_PLACEHOLDER,
@@ -117,3 +118,38 @@ def tool_rank(tool: str) -> str:
         for name, severity in TOOL_SEVERITY.items()
     )
     return f"CASE {tool} {cases} ELSE {SEVERITY_RANK['medium']} END"
+
+
+# Rewritings of a text for rules that look ahead from many places (``Rule.prepare``). What a head must
+# find is marked once, so that each head is decided where it stands.
+
+
+def live_literals(text: str, tail: str) -> str:
+    """SQL for a text in which the braces, f and ' that ``tail`` can follow are told from others.
+
+    A brace with a tail behind it on its line becomes ``LIVE_BRACE``. Behind the last tail of a line, f
+    becomes ``DEAD_F``; behind the last live brace before a double quote, ' becomes ``DEAD_QUOTE``.
+    """
+    before = f"regexp_extract(l, {sql_string('^(.*)' + to_java(f'(?:{tail})'))}, 1)"
+    line = (
+        f"concat(translate(b, '{{', '{LIVE_BRACE}'), "
+        f"translate(substring(l, char_length(b) + 1), 'fF', '{DEAD_F}'))"
+    )
+    line = f"IF(l RLIKE {sql_string(to_java(tail))}, {let('b', before, line)}, translate(l, 'fF', '{DEAD_F}'))"
+    lines = f"array_join(transform(split({text}, '\\n', -1), l -> {line}), '\\n')"
+    quote = sql_string("'")
+    rest = f"substring_index(s, '{LIVE_BRACE}', -1)"
+    dead = f"translate({rest}, {quote}, '{DEAD_QUOTE}')"
+    part = f"IF(contains(s, '{LIVE_BRACE}'), concat(left(s, char_length(s) - char_length({rest})), {dead}), {dead})"
+    return f"array_join(transform(split({lines}, '\"', -1), s -> {part}), '\"')"
+
+
+def as_written(prepared: str) -> str:
+    """SQL for a piece of a rewritten text as it was."""
+    plain = sql_string("{fF'")
+    return f"translate({prepared}, '{LIVE_BRACE}{DEAD_F}{DEAD_QUOTE}', {plain})"
+
+
+PREPARED = {
+    "live_literals": lambda text: live_literals(text, "llm_response|response|output|result|generated|completion"),
+}

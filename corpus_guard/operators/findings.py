@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpus_guard.catalogue.model import Rule
 from corpus_guard.catalogue.names import SEVERITY_RANK, TOOL_SEVERITY
+from corpus_guard.plans.stage import kept
 
 UNIT_KEY = ("unit_id", "path")
 DISCOVERY_ORDER = ("path", "unit_id", "rule_no", "offset")
@@ -114,9 +115,7 @@ def at_or_above(findings: DataFrame, severity: str) -> DataFrame:
 
 
 def first_findings(findings: DataFrame, unit: Sequence[str] = UNIT_KEY) -> DataFrame:
-    """One finding per (unit, line, rule id): the first in discovery order.
-
-    """
+    """One finding per (unit, line, rule id): the first in discovery order."""
     return first_of(findings, [*unit, "line", "rule_id"], ("rule_no", "offset"))
 
 
@@ -165,3 +164,20 @@ def localized(findings: DataFrame, language: str = "en-US") -> DataFrame:
 def non_negative(position: str) -> Column:
     """A line or column read from elsewhere: missing and negative values count as 0."""
     return F.greatest(F.lit(0), F.coalesce(F.col(position).cast("int"), F.lit(0)))
+
+
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """The rows of a sorted frame with their place in it, from 0, in a column of that name.
+
+    A row's place is that in its part of the sort plus the rows of all parts before: one row a part
+    is gathered, and parts may be empty. ``monotonically_increasing_id`` has the part's number above
+    33 bits of the row's. The numbered rows are read twice and kept for that, as sorting them again
+    may cut them elsewhere.
+    """
+    rows = ordered.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    rows = kept(rows)
+    sizes = rows.groupBy("__part").agg((F.max("__at") - F.min("__at") + 1).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    starts = sizes.select("__part", "__first", before.alias("__before"))
+    place = F.col("__at") - F.col("__first") + F.col("__before")
+    return rows.join(F.broadcast(starts), "__part").select(*ordered.columns, place.alias(name))

@@ -33,15 +33,15 @@ def match_rules(units: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = K
 
     Offsets and columns count characters from 0, lines from 1.
     """
-    hit = f"IF(contains(text, '{_EDGE}'), substring(text, m.offset + 1, char_length(m.hit)), m.hit)"
-    located = _over_matches(
-        rules,
-        rules,
-        False,
-        f"flatten(transform(raws, raw -> transform({_located('raw', rules)}, m -> named_struct("
-        "'rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset, "
-        f"'hit', {hit}))))",
+    prepared = ", ".join(str(n) for n, r in enumerate(rules) if r.prepare)
+    hit = f"IF(raw.no IN ({prepared}), {tx.as_written('m.hit')}, m.hit)" if prepared else "m.hit"
+    hit = f"IF(odd, substring(text, m.offset + 1, char_length(m.hit)), {hit})"
+    row = (
+        "named_struct('rule_no', raw.no, 'line', m.line, 'column', m.column, 'offset', m.offset, "
+        f"'hit', {hit})"
     )
+    rows = f"flatten(transform(raws, raw -> transform({_located('raw', rules)}, m -> {row})))"
+    located = _over_matches(rules, rules, False, tx.let("odd", f"contains(text, '{_EDGE}')", rows))
     return units.select(*keep, F.inline(F.expr(located)))
 
 
@@ -74,6 +74,21 @@ def findings_array(
     )
 
 
+def findings_of(live: str, rules: str, min_severity: str = "info") -> str:
+    """SQL for the findings of one unit by rules that are rows, not literals in the plan.
+
+    ``live``: array of (no, pattern in Java's syntax), the rules to run; ``rules``: array with the rank
+    of every rule of one id. A finding's rule_no is the place in that array.
+    """
+    marked = f"regexp_replace(searched, r.pattern, {tx.sql_string(f'{_EDGE}$0{_EDGE}')})"
+    raws = _raws(f"transform({live}, r -> named_struct('no', r.no, 'marked', {marked}))")
+    settings = f"""transform({rules}, (r, i) -> named_struct('no', i, 'grp', 0, 'rank', r.rank, 'tool', false,
+        'context', 'none', 'value', 'none', 'before', 1, 'after', 1, 'col', true))"""
+    found = tx.let("lines", tx.lines_of("text"), _deduplicated(_surviving((), min_severity)))
+    found = tx.let("raws", raws, f"IF(size(raws) > 0, {found}, NULL)")
+    return tx.let("settings", settings, found)
+
+
 def at_least(rules: Sequence[Rule], min_severity: str) -> list[Rule]:
     """Rules whose findings can reach a severity; a tool's severity is only known from the hit."""
     least = SEVERITY_RANK.get(min_severity, 0)
@@ -102,6 +117,20 @@ def _over_matches(
     if not numbered:
         raise ValueError("no rule to match")
     marked = ",\n".join(_marked(n, r) for n, r in numbered)
+    raws = _raws(f"array({marked})")
+    matched = tx.let("raws", raws, f"IF(size(raws) > 0, {body}, NULL)")
+    applies = "array_contains(r.languages, language)"
+    if filtered:
+        applies += f" AND NOT (r.value = 'pii' AND {tx.is_test_path('path')})"
+    live = f"""transform(filter(settings, r -> {applies}
+        AND forall(r.needs, alternatives -> arrays_overlap(alternatives, found))), r -> r.no)"""
+    matched = tx.let("live", live, f"IF(size(live) > 0, {matched}, NULL)")
+    matched = _with_found([r for _, r in numbered], filtered, matched)
+    return tx.let("settings", _settings(rules, wanted, filtered), matched)
+
+
+def _raws(marked: str) -> str:
+    """SQL for (no, hits, gaps) of the rules that hit; ``marked`` sees ``searched``, the unit's text."""
     hits = "filter(pieces, (p, i) -> i % 2 = 1)"
     gaps = "filter(pieces, (p, i) -> i % 2 = 0)"
     raw = tx.let(
@@ -110,20 +139,11 @@ def _over_matches(
         f"named_struct('no', r.no, 'hits', {hits}, 'gaps', {gaps})",
     )
     raws = (
-        f"transform(filter(array({marked}), "
+        f"transform(filter({marked}, "
         f"r -> r IS NOT NULL AND contains(r.marked, '{_EDGE}')), r -> {raw})"
     )
     searched = f"IF(contains(text, '{_EDGE}'), replace(text, '{_EDGE}', '{_STAND_IN}'), text)"
-    raws = tx.let("searched", searched, raws)
-    matched = tx.let("raws", raws, f"IF(size(raws) > 0, {body}, NULL)")
-    applies = "array_contains(r.languages, language)"
-    if filtered:
-        applies += f" AND NOT (r.value = 'pii' AND {tx.is_test_path('path')})"
-    live = f"""transform(filter(settings, r -> {applies}
-        AND forall(r.needs, alternatives -> arrays_overlap(alternatives, found))), r -> r.no)"""
-    matched = tx.let("live", live, f"IF(size(live) > 0, {matched}, NULL)")
-    matched = _with_found([r for _, r in numbered], filtered, matched)
-    return tx.let("settings", _settings(rules, wanted, filtered), matched)
+    return tx.let("searched", searched, raws)
 
 
 def _needs(rule: Rule, filtered: bool) -> tuple[tuple[str, ...], ...]:
@@ -204,7 +224,7 @@ def _with_found(rules: Sequence[Rule], filtered: bool, body: str) -> str:
     if digits:
         run = _strings([THREE_DIGITS])
         found.append(f"IF(text RLIKE {tx.sql_string(_DIGITS)}, {run}, {_strings()})")
-    held = tx.let("folded", _folded("text"), f"concat({', '.join(found)})")
+    held = tx.let("folded", folded("text"), f"concat({', '.join(found)})")
     held = tx.let("marks", f"filter({_strings(marks)}, m -> contains(text, m))", held)
     gate = tx.sql_string(_any_string(free, marks, digits))
     held = f"IF(text RLIKE {gate}, {held}, {_strings()})"
@@ -264,7 +284,7 @@ def _either_case(letter: str) -> str:
     return letter if letter.isalnum() else "\\" + letter
 
 
-def _folded(text: str) -> str:
+def folded(text: str) -> str:
     """Lower case, with the letters that match an ASCII letter when case is ignored folded."""
     letters = (("ſ", "s"), ("ı", "i"), ("İ", "i"))
     replaced = text
@@ -290,9 +310,10 @@ def _marked(number: int, rule: Rule) -> str:
     if rule.probe:
         applies += f" AND searched RLIKE {tx.sql_string(to_java(rule.probe, rule.dotall))}"
     replacement = tx.sql_string(f"{_EDGE}$0{_EDGE}")
+    source = tx.PREPARED[rule.prepare]("searched") if rule.prepare else "searched"
     return (
         f"IF({applies}, named_struct('no', {number}, "
-        f"'marked', regexp_replace(searched, {pattern}, {replacement})), NULL)"
+        f"'marked', regexp_replace({source}, {pattern}, {replacement})), NULL)"
     )
 
 
@@ -327,7 +348,19 @@ def _located(raw: str, rules: Sequence[Rule]) -> str:
         f"concat(IF(i = 0, '', get({raw}.hits, i - 1)), get({raw}.gaps, i)))"
     )
     placed = tx.let("segments", segments, body)
-    return f"filter({placed}, m -> CASE {raw}.no {checks} ELSE true END)" if checks else placed
+    if checks:
+        placed = f"filter({placed}, m -> CASE {raw}.no {checks} ELSE true END)"
+    ends = " ".join(f"WHEN {n} THEN {_last_end(r.not_after)}" for n, r in enumerate(rules) if r.not_after)
+    if ends:
+        behind = f"filter({placed}, m -> m.offset + char_length(m.hit) >= last)"
+        placed = tx.let("last", f"CASE {raw}.no {ends} ELSE 0 END", behind)
+    return placed
+
+
+def _last_end(words: str) -> str:
+    """Characters of the text up to the end of the last of some words, 0 without any; one pass."""
+    pattern = tx.sql_string(r"\A" + to_java(f".*(?:{words})", dotall=True))
+    return f"(char_length(text) - char_length(regexp_replace(text, {pattern}, '')))"
 
 
 # ------------------------------------------------------------------ context, snippet, first-wins

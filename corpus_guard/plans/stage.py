@@ -21,3 +21,12 @@ def stored(result: DataFrame, folder: str | None = None) -> DataFrame:
     path = f"{folder}/findings-{uuid.uuid4().hex}"
     result.write.parquet(path)
     return spark.read.schema(result.schema).parquet(path)
+
+
+def kept(result: DataFrame) -> DataFrame:
+    """The result for several readers that must see the same rows in the same parts.
+
+    It is written where a shared folder is known, and persisted otherwise.
+    """
+    table = stored(result)
+    return result.persist() if table is result else table

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_guard.catalogue.model import Rule
 from corpus_guard.catalogue.names import SEVERITY_RANK
 from corpus_guard.functions.dialect import compiles
+from corpus_guard.functions.required import is_required
 
 RULES_DIR = Path(__file__).parent.parent / "catalogue" / "declarative"
 RULE_SCHEMA = (
@@ -51,7 +53,7 @@ def collect_rules(rules: DataFrame) -> list[Rule]:
     Every rule is a literal in the scan's expression: a rules table is configuration, read whole.
     """
     rows = rules.orderBy("file", "at").collect()
-    return [r for row in rows if (r := _rule(row.asDict(recursive=True))) is not None]
+    return [r for row in rows if (r := rule_of(row.asDict(recursive=True))) is not None]
 
 
 def shipped_rules() -> list[Rule]:
@@ -61,10 +63,15 @@ def shipped_rules() -> list[Rule]:
         for file in sorted(RULES_DIR.glob("*.json"))
         for line in file.read_text(encoding="utf-8").splitlines()
     ]
-    return [r for row in rows if (r := _rule(row)) is not None]
+    return [r for row in rows if (r := rule_of(row)) is not None]
 
 
-def _rule(row: dict) -> Rule | None:
+def rule_of(row: dict) -> Rule | None:
+    """The rule of a table's row, or None if its pattern does not run.
+
+    Required strings that the pattern does not imply would silence it: they are left out
+    (``rule_problems`` lists them).
+    """
     pattern = row.get("pattern") or ""
     if (row.get("pattern_type") or "regex") != "regex" or not compiles(pattern):
         return None
@@ -88,13 +95,40 @@ def _rule(row: dict) -> Rule | None:
         references=tuple(row.get("references") or ()),
         languages=(row["language"],) if row.get("language") else (),
         # required strings are searched in folded text
-        needs=tuple(tuple(w.lower() for w in group) for group in row.get("needs") or ()),
+        needs=tuple(
+            tuple(w.lower() for w in group) for group in row.get("needs") or () if is_required(tuple(group), pattern)
+        ),
         before=1,
         after=1,
         column=True,
     )
 
 
+def rule_problems(rules: DataFrame) -> DataFrame:
+    """(id, problem) of what is wrong with the rules of a table; a rule may have several problems.
+
+    A pattern of another type than regex or that does not compile is not run. Required strings that
+    a match need not hold are not used.
+    """
+
+    def problems(frames):
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                pattern = row["pattern"] or ""
+                if (row["pattern_type"] or "regex") != "regex":
+                    rows.append((row["id"], "pattern type is not run"))
+                elif not compiles(pattern):
+                    rows.append((row["id"], "pattern does not compile"))
+                else:
+                    for group in [] if row["needs"] is None else row["needs"]:
+                        if not is_required(tuple(group), pattern):
+                            rows.append((row["id"], "needs is not implied: " + ", ".join(group)))
+            yield pd.DataFrame(rows, columns=["id", "problem"])
+
+    return rules.select("id", "pattern", "pattern_type", "needs").mapInPandas(problems, "id string, problem string")
+
+
 def rules_of_category(rules: DataFrame, category: str) -> DataFrame:
     return rules.where(F.col("category") == category)
 

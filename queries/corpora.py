@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_guard.sources.tables import units_from_table
-from queries.planted import PYTHON_LINES, SCRIPT_LINES, planted
+from queries.planted import CODE_BLOCKS, PYTHON_LINES, SCRIPT_LINES, planted
 
 # Directories and endings that give table rows a file-like path.
 DIRECTORIES = [
@@ -27,6 +27,7 @@ ENDINGS += [".pyc", ".Py"]
 
 PYTHON_TEXT = planted("text", "doc_id", PYTHON_LINES)
 SCRIPT_TEXT = planted("html", "page_id", SCRIPT_LINES)
+BLOCK_TEXT = planted("text", "doc_id", CODE_BLOCKS)
 CHAT_TEXT = planted("text", "(conv_id * 7 + turn)", PYTHON_LINES)
 
 
@@ -63,6 +64,12 @@ def python_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_from_table(rows, "doc_id", "text", "source")
 
 
+def block_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = documents.selectExpr("doc_id", "source", f"{BLOCK_TEXT} AS text")
+    return units_from_table(rows, "doc_id", "text", "source")
+
+
 def script_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rows = pages.selectExpr("page_id", "url", f"{SCRIPT_TEXT} AS text")
@@ -93,6 +100,10 @@ PYTHON_UNITS = (
     f"SELECT doc_id::VARCHAR unit_id, source path, 'python' AS language, {PYTHON_TEXT} AS text "
     "FROM documents"
 )
+BLOCK_UNITS = (
+    f"SELECT doc_id::VARCHAR unit_id, source path, 'python' AS language, {BLOCK_TEXT} AS text "
+    "FROM documents"
+)
 SCRIPT_UNITS = (
     f"SELECT page_id::VARCHAR unit_id, url path, 'typescript' AS language, {SCRIPT_TEXT} AS text "
     "FROM pages"

@@ -188,44 +188,106 @@ findings AS (SELECT rule_no, unit_id, path, line, "offset", rule_id, severity, c
              {qualify})"""
 
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
-_STRING = r"\x22[^\x22]*\x22|\x27[^\x27]*\x27"
+_JOINED, _FORMATTED = "\ufdd2", "\ufdd3"
 
 
 def operands_cte() -> str:
-    """CTE ``operands`` over ``units``: sides of the first "+" of every chain on a line.
+    """CTE ``operands`` over ``units``: sides of the first "+" of every chain, lines put together.
 
-    The line is cut at its plus signs. The last word of a part and the first of the next one are
-    the sides, if what stands before the one and behind the other allows it.
+    Literals and comments are cut out of the text first. Lines are grouped by a running count of
+    brackets; a logical line is cut at its plus signs. The last word of a part and the first of the
+    next one are the sides, if what stands before the one and behind the other allows it.
     """
-    word = r"[A-Za-z_][A-Za-z0-9_.]*|\x22\x22"
-    opens = r"[=(,:\[{]$|(^|[^A-Za-z0-9_])(return|yield|in|and|or|not|if|else)$"
+    number = r"0[xXoObB][0-9A-Fa-f_]+|([0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)([eE][+-]?[0-9_]+)?[jJ]?"
+    constant = rf"b\x22\x22|True|False|None|\.\.\.|{number}"
+    word = rf"\x22\x22|b\x22\x22|\.\.\.|{number}|[A-Za-z_][A-Za-z0-9_.]*"
+    words_before = "return|yield|from|in|is|and|or|not|if|elif|else|while|assert|raise|with"
+    opens = rf"[=(,:\[{{<>&|^;]$|(^|[^A-Za-z0-9_.])({words_before})$"
+    lexeme = (
+        r"(\b[rRbBuUfFtT]{1,2})?(\x22{3}([^\x22]|\x22[^\x22]|\x22\x22[^\x22])*\x22{3}|"
+        r"\x27{3}([^\x27]|\x27[^\x27]|\x27\x27[^\x27])*\x27{3}|\x22[^\x22\n]*\x22|\x27[^\x27\n]*\x27)"
+        rf"|#[^\n{_JOINED}]*"
+    )
+    space = rf"[ \t\f{_JOINED}]"
+    blank = rf"' ' || chr(9) || chr(12) || '{_JOINED}'"
+
+    def joins(value: str) -> str:
+        return rf"regexp_replace({value}, '[^\n{_JOINED}]', '', 'g')"
+
+    def lines_in(value: str) -> str:
+        return f"length({joins(value)})"
+
+    inner = r"regexp_replace(regexp_replace(x, '\x22[^\x22\n]*\x22|\x27[^\x27\n]*\x27', chr(34) || chr(34), 'g'), '\[[^\[\]]*\]', '[]', 'g')"
+    inner = rf"replace(regexp_replace(string_split({inner}, ':')[1], '![rsa] *$', ''), chr(10), '{_JOINED}')"
+    body = r"regexp_replace(regexp_replace(h, '^[A-Za-z]+(\x22{3}|\x27{3}|\x22|\x27)', ''), '(\x22{3}|\x27{3}|\x22|\x27)$', '')"
+    body = rf"regexp_replace(replace(replace({body}, '{{{{', ''), '}}}}', ''), ':[^{{}}]*\{{[^{{}}]*\}}', '', 'g')"
+    embedded = (
+        f"array_to_string(list_transform(string_split_regex({body}, '[{{}}]'), "
+        f"lambda x, k: CASE WHEN k % 2 = 0 THEN {inner} ELSE ',' || repeat('{_JOINED}', {lines_in('x')}) END), '')"
+    )
+    stands = f"""CASE WHEN starts_with(h, '#') THEN ''
+        WHEN regexp_matches(h, '^[A-Za-z]?[fFtT]') THEN '{_FORMATTED}(' || {embedded} || ')'
+        WHEN regexp_matches(h, '^[A-Za-z]?[bB]') THEN 'b""' || repeat('{_JOINED}', {lines_in('h')})
+        ELSE '""' || repeat('{_JOINED}', {lines_in('h')}) END"""
 
-    def side(name: str) -> str:
+    def kind(name: str) -> str:
         return rf"""CASE WHEN {name}_word = '""' THEN 'string'
+                        WHEN regexp_full_match({name}_word, '{constant}') THEN 'constant'
                         WHEN contains({name}_word, '.') THEN 'attribute' ELSE 'name' END AS {name}_kind,
-                   CASE WHEN {name}_word = '""' THEN ''
+                   CASE WHEN {name}_word = '""' OR regexp_full_match({name}_word, '{constant}') THEN ''
                         ELSE list_last(string_split({name}_word, '.')) END AS "{name}" """
 
-    return rf"""numbered AS (SELECT unit_id, path, text, language,
-                     string_split_regex(text, {BREAKS}) AS ls FROM units),
-single AS (SELECT unit_id, path, text, language, unnest(ls) AS l,
-                  unnest(range(1, len(ls) + 1)) AS line FROM numbered),
-code AS (SELECT unit_id, path, text, language, line, string_split(string_split(
-                regexp_replace(l, '\x22[^\x22]*\x22|\x27[^\x27]*\x27', '""', 'g'), '#')[1], '+') AS parts
-         FROM single WHERE contains(l, '+')),
-each_sign AS (SELECT *, unnest(range(1, len(parts))) AS i FROM code),
-words AS (SELECT unit_id, path, text, language, line, i,
-                 rtrim(parts[i], ' ' || chr(9)) AS head, ltrim(parts[i + 1], ' ' || chr(9)) AS tail
+    def bare_head(value: str) -> str:
+        return rf"regexp_replace({value}, '\({space}*({word}){space}*\)$', ' \1')"
+
+    def bare_tail(value: str) -> str:
+        return rf"regexp_replace({value}, '^\({space}*({word}){space}*\)', '\1')"
+
+    def inner_bare(value: str) -> str:
+        return rf"regexp_replace({value}, '\({space}*\(({space}*({word}){space}*)\){space}*\)', '(\1)', 'g')"
+
+    def one_literal(value: str) -> str:
+        for _ in range(3):
+            value = rf"regexp_replace({value}, '(\x22\x22)({space}*)b?\x22\x22', '\1\2', 'g')"
+        return value
+
+    delta = "length(regexp_replace(l, '[^(\\[{]', '', 'g')) - length(regexp_replace(l, '[^)\\]}]', '', 'g'))"
+    return rf"""plain AS MATERIALIZED (SELECT unit_id, path, text, language,
+                     replace(regexp_replace(translate(regexp_replace(text, {BREAKS}, chr(10), 'g'),
+                         '{_FORMATTED}{_JOINED}', ''), '\\[^\n]', '', 'g'), '\' || chr(10), '{_JOINED}') AS src
+              FROM units WHERE contains(text, '+')),
+lexed AS (SELECT unit_id, path, text, language,
+                 regexp_extract_all(src, '{lexeme}') AS hits, string_split_regex(src, '{lexeme}') AS gaps FROM plain),
+coded AS (SELECT unit_id, path, text, language, array_to_string(list_transform(range(1, len(gaps) + 1),
+                 lambda k: gaps[k] || coalesce(list_transform(hits, lambda h: {stands})[k], '')), '') AS code FROM lexed),
+single AS (SELECT unit_id, path, text, language, unnest(string_split(code, chr(10))) AS l,
+                  unnest(range(1, len(string_split(code, chr(10))) + 1)) AS n FROM coded),
+deep AS (SELECT *, sum({delta}) OVER (PARTITION BY unit_id, path ORDER BY n) AS depth,
+                n + coalesce(sum({lines_in('l')}) OVER (PARTITION BY unit_id, path ORDER BY n
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM single),
+told AS (SELECT *, min(depth) OVER w >= 0 AND last_value(depth) OVER w = 0 AS balanced FROM deep
+         WINDOW w AS (PARTITION BY unit_id, path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+headed AS (SELECT *, NOT balanced OR coalesce(lag(depth) OVER (PARTITION BY unit_id, path ORDER BY n), 0) = 0 AS starts
+           FROM told),
+logical AS (SELECT unit_id, path, text, language, min(line) AS line, string_agg(l, '{_JOINED}' ORDER BY n) AS l FROM (
+                SELECT *, sum(starts::INTEGER) OVER (PARTITION BY unit_id, path ORDER BY n) AS part FROM headed)
+            GROUP BY unit_id, path, text, language, part),
+summed AS (SELECT unit_id, path, text, language, line, string_split({inner_bare(one_literal("l"))}, '+') AS parts
+         FROM logical WHERE contains(l, '+')),
+each_sign AS (SELECT *, unnest(range(1, len(parts))) AS i FROM summed),
+words AS (SELECT unit_id, path, text, language, line, i, parts,
+                 {bare_head(f"rtrim(parts[i], {blank})")} AS head, {bare_tail(f"ltrim(parts[i + 1], {blank})")} AS tail
           FROM each_sign),
 sided AS (SELECT *, regexp_extract(head, '({word})$') AS left_word,
                  regexp_extract(tail, '^({word})') AS right_word FROM words),
-around AS (SELECT *, rtrim(left(head, length(head) - length(left_word)), ' ' || chr(9)) AS before,
+around AS (SELECT *, left(head, length(head) - length(left_word)) AS lead,
+                  rtrim(left(head, length(head) - length(left_word)), {blank}) AS before,
                   substr(tail, length(right_word) + 1) AS behind FROM sided),
-operands AS (SELECT unit_id, path, text, language, line, {side('left')}, {side('right')}
+operands AS (SELECT unit_id, path, text, language,
+                    line + {lines_in("array_to_string(parts[1:i - 1], '') || lead")} AS line, {kind('left')}, {kind('right')}
              FROM around WHERE left_word <> '' AND right_word <> ''
                AND (before = '' AND i = 1 OR regexp_matches(before, '{opens}'))
-               AND NOT regexp_matches(behind, '^[\x22\x27(\[]|^[ \t]*[*/%@(\[]'))"""
+               AND NOT regexp_matches(behind, '^[\x22\x27(\[A-Za-z0-9_.]|^{space}*[*/%@(\[\x22{_FORMATTED}]'))"""
 
 
 def _sums_cte(rules: Sequence[Rule], attributes: bool, literals: Sequence[str]) -> str:

@@ -104,6 +104,32 @@ PYTHON_LINES = [
     "",
 ]
 
+# Expressions with "+" over several lines, and operands of other kinds.
+CODE_BLOCKS = [
+    "ask = (\n    prompt\n    + user_input\n)",
+    "ask = prompt + \\\n    user_query",
+    'ask = call(\n    1,\n    "Dear " + message,\n    [user_text + other],\n)',
+    'ask = """first\nsecond""" + user_input',
+    "ask = (prompt) + ((user_input))",
+    "ask = (\n  (\n  template\n  ) + query)",
+    'text = f"{prompt + user_input} and {1 + message!r:>10}"',
+    'text = f"""a\n{instruction + request}\n"""',
+    'ask = ("a"\n       "b" + user_data)',
+    "ask = 2.5 + user_query",
+    "ask = user_input + None",
+    'ask = b"x" + message',
+    "ask = 1 + message",
+    'ask = "it\'s # not a comment" + user_input  # prompt + user_input',
+    "def f():\n    \'\'\'prompt + user_input\n    \'\'\'\n    return prompt + a + user_input",
+    "ask = {'k': [prompt +\n  # why\n  user_message]}",
+    "ask = prompt + user_input.strip()\nask = get(prompt) + user_input",
+    "ask = prompt + user_input[0]\nask = 2 * prompt + user_input",
+    "if x < prompt + user_input: pass",
+    "ask = (prompt + user_input\nother = prompt + message",
+    'ask = "open + user_input\nmore = prompt + request',
+    "total = 1 + 1",
+]
+
 SCRIPT_LINES = [
     "const m = `Answer ${userInput}`;",
     "prompt += req.body",

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpus_guard.catalogue import package_rules, standalone_rules
 from corpus_guard.catalogue import names
 from corpus_guard.functions import remediate
-from corpus_guard.operators import concat, findings as fo, judge, retrieval, summary
+from corpus_guard.operators import concat, findings as fo, judge, retrieval, rule_index, summary
 from corpus_guard.operators.matching import match_findings, match_rules
 from corpus_guard.plans.scan import ScanConfig, candidates, scan, scan_standalone, settle
 from corpus_guard.plans.stage import stored
@@ -161,6 +162,33 @@ def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("rule_id").startswith("USER-")).select("unit_id", "line", "rule_id")
 
 
+_PAIRS = "[a-z]{5,} [a-z]{5,}"
+
+
+def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rules table that grows with the documents: three neighbouring words of each are a rule."""
+    words = F.explode(F.slice(F.regexp_extract_all("text", F.lit(_PAIRS), F.lit(0)), 1, 3)).alias("pattern")
+    pairs = corpora.table(spark, sf_dir, "documents").select(words).distinct()
+    fixed = {"name": "pair", "category": "data_leak", "severity": "low", "file": "pairs"}
+    given = {"id": F.concat(F.lit("PAIR-"), F.col("pattern")), "pattern": F.col("pattern"), "at": F.xxhash64("pattern")}
+    schema = T._parse_datatype_string(rule_source.RULE_SCHEMA)
+    columns = {f.name: F.lit(fixed.get(f.name)).cast(f.dataType) for f in schema} | {"file": F.lit("pairs")} | given
+    return pairs.select(*[c.alias(n) for n, c in columns.items()])
+
+
+@register(
+    "many_rules",
+    f"""WITH pairs AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PAIRS}')[1:3]) AS pattern FROM documents),
+    lines AS (SELECT doc_id::VARCHAR AS unit_id, unnest(string_split(lower(text), chr(10))) AS l,
+                     unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS line FROM documents)
+    SELECT unit_id, line, 'PAIR-' || pattern AS rule_id, 'low' AS severity, (instr(l, pattern) - 1)::INTEGER AS "column"
+    FROM lines JOIN pairs ON contains(l, pattern)""",
+)
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_index.scan_table(corpora.raw_documents(spark, sf_dir), pair_rules(spark, sf_dir))
+    return found.select("unit_id", "line", "rule_id", "severity", "column")
+
+
 _TOOLS = [r for r in PACKAGE if r.kind == "tool"]
 
 
@@ -181,7 +209,7 @@ for _corpus, _units in (
     ("script", corpora.SCRIPT_UNITS),
     ("chat", corpora.CHAT_UNITS),
 ):
-    _cte = findings_cte(STANDALONE, _units, "info", attributes=False)
+    _cte = findings_cte(STANDALONE, _units, "info", attributes=False, literals=("string", "constant"))
 
     @register(f"standalone_{_corpus}", f"{_cte} SELECT {FOUND_SQL} FROM findings")
     def _standalone(spark: SparkSession, sf_dir: str, corpus: str = _corpus) -> DataFrame:
@@ -215,6 +243,23 @@ def tainted_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("unit_id", "line", "code_snippet")
 
 
+def _register_blocks(name: str, rules, options: dict) -> None:
+    number, rule = [(n, r) for n, r in enumerate(rules) if r.kind == "concat"][0]
+    cte = findings_cte(rules, corpora.BLOCK_UNITS, "info", **options)
+
+    @register(name, f"{cte} SELECT unit_id, line, code_snippet FROM findings WHERE rule_no = {number}")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        units = corpora.block_units(spark, sf_dir)
+        found = concat.concat_findings(units, number, rule, **options)
+        return found.select("unit_id", "line", "code_snippet")
+
+
+_register_blocks("concatenation_over_lines", PACKAGE, {})
+_register_blocks(
+    "standalone_concatenation_over_lines", STANDALONE, {"attributes": False, "literals": ("string", "constant")}
+)
+
+
 @register(
     "finding_details",
     f"{PACKAGE_SQL['python']} SELECT unit_id, line, rule_id, title, owasp_id, owasp_name, owasp_url, "
@@ -294,21 +339,7 @@ def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(ordered: DataFrame) -> DataFrame:
-    """Rows with their place in a sorted report: that in the part, plus the rows of the parts before."""
-    columns = ["unit_id", "path", "line", "rule_id", "severity"]
-    return _numbered(ordered.select(*columns, F.monotonically_increasing_id().alias("at")))
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    columns = [c for c in rows.columns if c != "at"]
-    rows = rows.withColumn("part", F.shiftright("at", 33))
-    sizes = rows.groupBy("part").agg((F.max("at") - F.min("at") + 1).alias("n"), F.min("at").alias("first"))
-    # one row for each part of the sort
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    starts = sizes.select("part", "first", before.alias("before"))
-    return rows.join(F.broadcast(starts), "part").select(
-        *columns, (F.col("at") - F.col("first") + F.col("before")).alias("place")
-    )
+    return fo.placed(ordered.select("unit_id", "path", "line", "rule_id", "severity"))
 
 
 @register(
@@ -509,7 +540,6 @@ def findings_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(python_findings(spark, sf_dir, ("rule_id", "severity", "owasp")))
     rows = sinks.report_rows(found.withColumn("label", F.col("tool")))
-    at = F.monotonically_increasing_id()
     rows = rows.select(
         "rule_id",
         "severity",
@@ -518,9 +548,8 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("false_positive_likelihood").cast("double").alias("false_positive_likelihood"),
         F.col("owasp.id").alias("owasp_id"),
         F.col("label").alias("tool"),
-        at.alias("at"),
     )
-    return _numbered(rows)
+    return fo.placed(rows)
 
 
 @register(
@@ -547,7 +576,7 @@ def event_time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "standalone_report_rows",
-    f"{findings_cte(STANDALONE, corpora.PYTHON_UNITS, 'info', attributes=False)} "
+    f"{findings_cte(STANDALONE, corpora.PYTHON_UNITS, 'info', attributes=False, literals=('string', 'constant'))} "
     "SELECT rule_id, title, severity, category, owasp_id, path AS file, line, description, "
     "recommendation, confidence, code_snippet FROM findings",
 )
@@ -826,16 +855,20 @@ def content_free_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.content_free_log(turns, ["conv_id", "turn", "role"])
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = corpora.table(spark, sf_dir, "embeddings")
-    documents = vectors.select(
+def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as documents of two tenants with two roles each."""
+    return corpora.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"),
         F.expr("concat('tenant', label % 2)").alias("tenant_id"),
         F.expr("array(concat('role', vec_id % 3), concat('role', label))").alias("allowed_roles"),
         "embedding",
     )
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = corpora.table(spark, sf_dir, "embeddings")
     query = F.lit([float(x) for x in vectors.where("vec_id = 0").first().embedding])
-    return retrieval.secure_retrieve(documents, query, "tenant0", ["role1", "role4"], k=20)
+    return retrieval.secure_retrieve(_readable(spark, sf_dir), query, "tenant0", ["role1", "role4"], k=20)
 
 
 _RETRIEVED_SQL = """WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
@@ -855,6 +888,44 @@ def secure_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrieved(spark, sf_dir).select("doc_id", similarity)
 
 
+_ASKED = "SELECT vec_id AS query_id, 'tenant' || (label % 2) AS tenant_id, ['role' || (vec_id % 3), 'role4'] AS roles, embedding FROM embeddings WHERE vec_id % 50 = 0"
+_ANSWERED_SQL = f"""WITH asked AS ({_ASKED}),
+pairs AS (SELECT query_id, d.vec_id AS doc_id,
+                 round(list_cosine_similarity(d.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS similarity
+          FROM asked q JOIN embeddings d ON 'tenant' || (d.label % 2) = q.tenant_id
+           AND list_has_any(['role' || (d.vec_id % 3), 'role' || d.label], q.roles)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) - 1 AS place FROM pairs
+        QUALIFY place < 10)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector asks, for its tenant and two roles."""
+    return corpora.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"),
+        F.expr("concat('tenant', label % 2)").alias("tenant_id"),
+        F.expr("array(concat('role', vec_id % 3), 'role4')").alias("roles"),
+        "embedding",
+    )
+
+
+@register(
+    "secure_retrieval_by_query",
+    f"{_ANSWERED_SQL} SELECT query_id, place::INTEGER AS place, doc_id, round(similarity, 6)::DOUBLE AS similarity FROM top",
+)
+def secure_retrieval_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.secure_retrieve_all(_readable(spark, sf_dir), _asked(spark, sf_dir), k=10)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@register(
+    "source_counts",
+    f"{_ANSWERED_SQL} SELECT query_id, count(doc_id) AS source_count FROM asked LEFT JOIN top USING (query_id) GROUP BY query_id",
+)
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir)
+    return retrieval.source_counts(retrieval.secure_retrieve_all(_readable(spark, sf_dir), asked, k=10), asked)
+
+
 @register("source_count", f"{_RETRIEVED_SQL} SELECT count(*) AS source_count FROM top")
 def source_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.source_count(_retrieved(spark, sf_dir))

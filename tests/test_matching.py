@@ -159,6 +159,57 @@ def test_linear_forms_match_as_their_patterns(spark, language):
     assert got == want and len(want) > 100
 
 
+AHEAD = ["FAISS.from_documents(", "chroma.from_texts (x", ")", ")\n", ") \n\n", "(", "\n", " ", "x", "filter", "Tenant"]
+AHEAD += ["db.execute(", "cursor.execute( ", 'db.execute("', "db.execute('", "db.execute(F'", 'f"', "'", '"', "{", "{", "}"]
+AHEAD += ["output", "Response", "llm_response", "sf"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_that_look_ahead_match_as_their_patterns(spark, seed):
+    draw = random.Random(seed)
+    texts = ["".join(draw.choices(AHEAD, k=draw.randint(3, 14))) for _ in range(3000)]
+    rules = [r for r in package_rules() + standalone_rules() if r.prepare or r.not_after]
+    assert {r.rule_id for r in rules} == {"RAG-NOFILTER-001", "LLM02-SQL-001"}
+    rows = [(str(i), "a", "python", t) for i, t in enumerate(texts)]
+    units = spark.createDataFrame(rows, "unit_id string, path string, language string, text string")
+    got = {(int(r.unit_id), r.rule_no, r.offset, r.hit) for r in match_rules(units, rules).collect()}
+    want = {
+        (i, n, m.start(), m.group())
+        for n, r in enumerate(rules)
+        for i, t in enumerate(texts)
+        for m in re.finditer(r.pattern, t, re.I | (re.S if r.dotall else 0))
+    }
+    assert got == want and len(want) > 100
+
+
+def test_a_hundred_thousand_calls_in_one_unit(spark, unit):
+    """Calls that look ahead over the unit take about as long as calls of a rule that does not."""
+    n = 100_000
+    rules = {r.rule_id: r for r in package_rules() if r.category in ("rag_security", "insecure_output")}
+    rules |= {r.rule_id + "/s": r for r in standalone_rules()}
+
+    def seconds(rule_id, text):
+        units = unit(text).cache()
+        units.count()
+        start = time.perf_counter()
+        match_rules(units, [rules[rule_id]]).count()
+        return time.perf_counter() - start
+
+    plain = "pickle.loads(response)\n"
+    seconds("LLM02-PICKLE-001", plain)
+    limit = 2 * seconds("LLM02-PICKLE-001", plain * n) + 5
+    for rule_id, text in [
+        ("RAG-NOFILTER-001", "FAISS.from_documents(x)\n" * n),
+        ("RAG-NOFILTER-001", "FAISS.from_documents(x)\n" * n + "filter"),
+        ("RAG-NOFILTER-001", "FAISS.from_documents(x" * n),
+        ("LLM02-SQL-001/s", "db.execute('x\n" * n),
+        ("LLM02-SQL-001/s", "db.execute('x{ db.execute(f'" * n),
+        ("LLM02-SQL-001/s", "db.execute(f'" * n + "\noutput"),
+        ("LLM02-SQL-001/s", "db.execute('{x}\n" * n + "output"),
+    ]:
+        assert seconds(rule_id, text) < limit, (rule_id, text[:40])
+
+
 def test_time_grows_with_the_length_of_a_line(spark):
     """One line of heads without a tail, for every rule that looks along a line or into a call."""
     heads = ["cursor.execute(", "os.system(f'", "f'{x", "logger.info(", "password context ", "db.query('${"]

@@ -264,7 +264,7 @@ def test_required_strings_of_user_rules(spark, unit):
         {**base, "id": "upper", "pattern": r"Foo\(", "needs": [["Foo("]]},
         {**base, "id": "none", "pattern": r"Foo\("},
     ]
-    loaded = [rules._rule(r) for r in rows]
+    loaded = [rules.rule_of(r) for r in rows]
     found = scan(unit(f"x = {name}(1)\ny = Foo(2)"), declarative=loaded)
     assert sorted(r.rule_id for r in found.collect() if r.category == "jailbreak") == ["long", "none", "upper"]
 
