@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -14,7 +15,8 @@ from corpus_guard.plans.stage import kept
 
 UNIT_KEY = ("unit_id", "path")
 DISCOVERY_ORDER = ("path", "unit_id", "rule_no", "offset")
-BRIEF = ("rule_id", "severity", "category", "confidence", "detected_by")
+#: ``pattern_no``: place of the pattern among those of its rule id, which other rules do not change.
+BRIEF = ("rule_id", "pattern_no", "severity", "category", "confidence", "detected_by")
 DETAIL = (
     *BRIEF,
     "title",
@@ -32,6 +34,7 @@ _RULES_SCHEMA = pa.schema(
     [
         ("rule_no", pa.int32()),
         ("rule_id", pa.string()),
+        ("pattern_no", pa.int32()),
         ("title", pa.string()),
         ("severity", pa.string()),
         ("category", pa.string()),
@@ -66,10 +69,16 @@ def severity_rank(severity: Column | str = "severity") -> Column:
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     """The rules as a table, one row per pattern, numbered in discovery order."""
+    before: Counter[str] = Counter()
+    pattern_nos: list[int] = []
+    for rule in rules:
+        pattern_nos.append(before[rule.rule_id])
+        before[rule.rule_id] += 1
     rows = [
         {
             **{name: getattr(rule, name) for name in _RULES_SCHEMA.names if hasattr(rule, name)},
             "rule_no": number,
+            "pattern_no": pattern_nos[number],
             "owasp": rule.owasp_id
             and {"id": rule.owasp_id, "name": rule.owasp_name or "", "url": rule.owasp_url or ""},
         }

@@ -1,7 +1,7 @@
 """Verdicts on findings as a batch job: requests out, responses in as a table.
 
-A finding is identified by (unit_id, rule_no, line, offset); a concatenation has no offset of its own
-and is one finding per line. Which model answers is not this engine's
+A finding is identified by (unit_id, rule_id, pattern_no, line, offset), so stored verdicts stay right
+when rules are added; a concatenation has no offset of its own and is one finding per line. Which model answers is not this engine's
 business: ``judge_requests`` yields the prompts, ``parse_verdicts`` reads the answers.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpus_guard.catalogue.names import EMPTY_SNIPPET, JUDGE_PROMPT
 from corpus_guard.operators.findings import first_of, severity_rank
 
-FINDING_KEY = ("unit_id", "rule_no", "line", "offset")
+FINDING_KEY = ("unit_id", "rule_id", "pattern_no", "line", "offset")
 MIN_JUDGED_RANK = 2
 DROP_CONFIDENCE = 0.8
 

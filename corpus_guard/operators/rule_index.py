@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_guard.catalogue.names import SEVERITY_RANK, SUPPORTED_LANGUAGES
@@ -103,6 +103,8 @@ def prepared(rules: DataFrame, min_severity: str = "low") -> DataFrame:
     numbered = placed(rules.orderBy("file", "at"), "rule_no").drop("file", "at")
     rows = numbered.withColumnRenamed("rule_no", "at").mapInPandas(_prepare, _PREPARED)
     runs = (F.col("rank") >= SEVERITY_RANK.get(min_severity, 0)) & F.col("category").isin(*CATEGORIES)
+    order = Window.partitionBy("rule_id").orderBy("at")
+    rows = rows.withColumn("pattern_no", F.row_number().over(order) - 1)
     rows = rows.where(runs).withColumnRenamed("at", "rule_no")
     first = rows.groupBy("rule_id").agg(F.min("rule_no").alias("first"))
     first = placed(first.orderBy("first"), "no").select("rule_id", F.col("no").cast("int").alias("no"))

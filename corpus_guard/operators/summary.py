@@ -45,6 +45,24 @@ def path_severity_table(findings: DataFrame) -> DataFrame:
     )
 
 
+def counts_cube(findings: DataFrame) -> DataFrame:
+    """path, severity, category, level and findings: counts by every choice of the three in one pass.
+
+    level is the grouping id: bit 2 is set where path is left out, bit 1 for severity, bit 0 for
+    category, and the column is null then. Where severity is asked for without the path, all
+    severities have a row: within a category that occurs, and over all. The rows with all three
+    are those that hold findings. Values that are null in the findings have rows of their own.
+    """
+    counts = findings.cube("path", "severity", "category").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("findings")
+    )
+    every = F.explode(F.array(*[F.lit(s) for s in SEVERITY_RANK])).alias("severity")
+    # one row for each category; the levels without path and severity are few
+    known = counts.where("level IN (6, 7)").select("category", (F.col("level") - 2).alias("level"), every)
+    known = known.select(F.lit(None).cast("string").alias("path"), "severity", "category", "level", F.lit(0).alias("findings"))
+    return counts.unionAll(known).groupBy("path", "severity", "category", "level").agg(F.max("findings").alias("findings"))
+
+
 def category_histogram(findings: DataFrame) -> DataFrame:
     """Labelled categories, most findings first."""
     label = F.col("category")

@@ -6,6 +6,7 @@ import os
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ from corpus_guard.functions.dialect import SPACE
 
 IGNORE_FILE = ".scanignore"
 
-IGNORE_FILE = ".scanignore"
-
 
 def ignore_regex(pattern: str) -> tuple[bool, str] | None:
     """(ignores, anchored regex) of one pattern; None for blank lines and comments.
@@ -80,12 +79,74 @@ def ignored(path: Column, patterns: Sequence[str] = DEFAULT_IGNORE_PATTERNS) ->
             result = F.when(p.rlike(regex), F.lit(ignores)).otherwise(result)
         return result
 
+    return F.exists(_prefixes(path), decided)
+
+
+def _prefixes(path: Column) -> Column:
+    """The directories on the way to a path, from the root, and the path."""
     parts = F.split(path, "/")
-    prefixes = F.transform(
+    return F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
     )
-    return F.exists(prefixes, decided)
+
+
+def compiled_lines(lines: DataFrame) -> DataFrame:
+    """(directory, number, ignores, regex) of a table of ignore-file lines (directory, number, line).
+
+    Blank lines and comments are left out, null lines too.
+    """
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for directory, number, line in frame[["directory", "number", "line"]].itertuples(index=False):
+                if isinstance(line, str) and (rule := ignore_regex(line.strip())) is not None:
+                    rows.append((directory, number, *rule))
+            yield pd.DataFrame(rows, columns=["directory", "number", "ignores", "regex"])
+
+    kinds = dict(lines.dtypes)
+    schema = f"directory string, number {kinds['number']}, ignores boolean, regex string"
+    return lines.select("directory", "number", "line").mapInPandas(run, schema)
+
+
+def ignored_by_files(
+    paths: DataFrame, lines: DataFrame, path: str = "path", patterns: Sequence[str] = DEFAULT_IGNORE_PATTERNS
+) -> DataFrame:
+    """``paths`` with ignored: by the default patterns and the ignore file nearest to each path.
+
+    ``lines``: directory, number and line of every ignore file; directory "" is the root. A file's
+    patterns hold for paths relative to its directory and come after the default ones, which hold from
+    the root. The last matching pattern decides, and what is below a directory that is left out is left
+    out. The files are data: they are joined with the paths by directory, each path with the patterns
+    of one file, so their number does not matter to the plan. Null paths have a null result.
+    """
+    own = F.sort_array(F.collect_list(F.struct("number", "ignores", "regex"))).alias("__patterns")
+    files = compiled_lines(lines).groupBy("directory").agg(own)
+    found = paths.select(path).where(F.col(path).isNotNull()).distinct()
+    nearest = nearest_ignore_file(found, lines, path).withColumnRenamed("directory", "__directory")
+    nearest = nearest.join(files.withColumnRenamed("directory", "__directory"), "__directory", "left")
+    found = found.join(nearest, path, "left")
+    compiled = [c for c in map(ignore_regex, patterns) if c is not None]
+
+    def decided(p: Column) -> Column:
+        result = F.lit(False)
+        for ignores, regex in compiled:
+            result = F.when(p.rlike(regex), F.lit(ignores)).otherwise(result)
+        # paths at or above the file's directory are not its own
+        start = F.when(F.col("__directory") == "", F.lit(0)).otherwise(F.length("__directory") + 1)
+        inside = F.length(p) > start
+        relative = F.substring(p, start + 1, F.length(p))
+        matched = F.filter("__patterns", lambda r: F.call_function("rlike", relative, r["regex"]))
+        last = F.element_at(matched, -1)["ignores"]
+        own = F.when(inside & (F.size(matched) > 0), last)
+        return F.coalesce(own, result)
+
+    number = dict(lines.dtypes)["number"]
+    known = F.coalesce(F.col("__patterns"), F.array().cast(f"array<struct<number:{number},ignores:boolean,regex:string>>"))
+    found = found.withColumn("__patterns", known).withColumn("__directory", F.coalesce("__directory", F.lit("")))
+    found = found.select(path, F.exists(_prefixes(F.col(path)), decided).alias("ignored"))
+    return paths.drop("ignored").join(found, path, "left")
 
 
 def ignored_by_substring(

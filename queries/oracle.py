@@ -96,6 +96,7 @@ matches AS (SELECT rule_no, unit_id, path, text, hit, length(pre)::INTEGER AS "o
 def rules_values(rules: Sequence[Rule]) -> str:
     rows = []
     for number, r in enumerate(rules):
+        pattern_no = sum(x.rule_id == r.rule_id for x in rules[:number])
         values = [
             text(v)
             for v in (
@@ -120,10 +121,10 @@ def rules_values(rules: Sequence[Rule]) -> str:
             text(v or "") if r.owasp_id else "NULL"
             for v in (r.owasp_id, r.owasp_name, r.owasp_url)
         ]
-        numbers = [str(x) for x in (number, r.before, r.after, f"{r.confidence}::DOUBLE")]
+        numbers = [str(x) for x in (number, pattern_no, r.before, r.after, f"{r.confidence}::DOUBLE")]
         rows.append(f"({', '.join([*numbers, str(r.column).lower(), *owasp, *values])})")
     return (
-        "(VALUES " + ",\n".join(rows) + ") AS r(rule_no, before, after_lines, confidence, "
+        "(VALUES " + ",\n".join(rows) + ") AS r(rule_no, pattern_no, before, after_lines, confidence, "
         "with_column, owasp_id, owasp_name, owasp_url, rule_id, rule_severity, category, kind, "
         "context, value_filter, detected_by, title, description, description_pt, recommendation, "
         "recommendation_pt, fix_example, tags, refs)"
@@ -166,7 +167,7 @@ judged AS (SELECT m.*, r.* EXCLUDE (rule_no), coalesce(lines[line], '') AS line_
                   CASE WHEN kind = 'tool' THEN {tool_severity} ELSE rule_severity END AS severity,
                   CASE WHEN kind = 'tool' THEN {tool} END AS tool
            FROM lined m JOIN rules r USING (rule_no)),
-findings AS (SELECT rule_no, unit_id, path, line, "offset", rule_id, severity, category, confidence,
+findings AS (SELECT rule_no, pattern_no, unit_id, path, line, "offset", rule_id, severity, category, confidence,
                     detected_by, tool, owasp_id, owasp_name, owasp_url, recommendation,
                     recommendation_pt, fix_example, refs,
                     CASE WHEN with_column THEN "column" ELSE 0 END AS "column",

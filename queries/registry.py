@@ -385,6 +385,16 @@ _register_count(
     + ") s(severity) LEFT JOIN findings f USING (severity) GROUP BY s.severity",
     summary.by_severity,
 )
+_register_count(
+    "counts_cube",
+    "SELECT path, severity, category, level, max(findings) AS findings FROM ("
+    "SELECT path, severity, category, grouping(path, severity, category) AS level, count(*) AS findings "
+    "FROM findings GROUP BY CUBE (path, severity, category) UNION ALL "
+    "SELECT NULL, s.severity, c.category, CASE WHEN c.category IS NULL THEN 5 ELSE 4 END, 0 FROM (VALUES "
+    + ", ".join(f"('{s}')" for s in names.SEVERITY_RANK)
+    + ") s(severity), (SELECT DISTINCT category FROM findings UNION ALL SELECT NULL) c) GROUP BY ALL",
+    summary.counts_cube,
+)
 _register_count(
     "by_category",
     "SELECT category, count(*) AS findings FROM findings GROUP BY category",
@@ -477,7 +487,7 @@ _ANSWER = (
 
 @register(
     "judge_requests",
-    f"{PACKAGE_SQL['python']} SELECT unit_id, rule_no, line, \"offset\", "
+    f"{PACKAGE_SQL['python']} SELECT unit_id, rule_id, pattern_no, line, \"offset\", "
     + "replace(replace(replace(replace(replace("
     + text(names.JUDGE_PROMPT)
     + ", '{rule_id}', rule_id), '{title}', title), '{severity}', severity), "
@@ -743,6 +753,31 @@ def nearest_ignore_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore.nearest_ignore_file(listed, directories)
 
 
+_FILE_LINES = ["# own patterns", "*.js", "!f1*.js", " /f2* ", ""]
+
+
+@register(
+    "ignored_by_files",
+    f"{_PATHS}, dirs AS (SELECT DISTINCT {_DIRECTORY} AS directory FROM paths WHERE path LIKE '%.json'), "
+    "placed AS (SELECT doc_id, path, directory, substr(path, length(directory) + 2) AS file "
+    "FROM paths LEFT JOIN dirs ON starts_with(path, directory || '/') "
+    "QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY length(directory) DESC) = 1) "
+    "SELECT doc_id, path, regexp_matches(path, '(^|/)(__pycache__|\\.git|node_modules|venv|build|dist|[^/]*\\.egg-info)/') "
+    "OR CASE WHEN directory IS NULL THEN ({_IGNORED_SQL}) "
+    "WHEN length(directory) % 2 = 0 AND file LIKE '%.min.js' THEN false WHEN file LIKE 'f2%' THEN true "
+    "WHEN regexp_matches(file, '^f1[^/]*\\.js$') THEN false WHEN file LIKE '%.js' THEN true "
+    "ELSE ({_IGNORED_SQL}) END AS ignored FROM placed".replace("{_IGNORED_SQL}", _IGNORED_SQL),
+)
+def ignored_by_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories that hold a .json have an ignore file, of one line more where their name is even."""
+    listed = corpora.file_paths(spark, sf_dir)
+    directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory")
+    own = F.concat(F.lit(_FILE_LINES), F.when(F.length("directory") % 2 == 0, F.array(F.lit("!*.min.js"))).otherwise(F.array()))
+    lines = listed.where(F.col("path").endswith(".json")).select(directory).distinct()
+    lines = lines.select("directory", F.posexplode(own).alias("number", "line"))
+    return ignore.ignored_by_files(listed, lines).select("doc_id", "path", "ignored")
+
+
 _HIDDEN = r"regexp_matches(path, '(^|/)\.')"
 
 

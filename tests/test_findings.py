@@ -11,6 +11,7 @@ from corpus_guard.catalogue import package_rules, standalone_rules
 from corpus_guard.functions import remediate
 from corpus_guard.operators import findings as fo
 from corpus_guard.operators import judge, summary
+from corpus_guard.catalogue.model import Rule
 from corpus_guard.operators.concat import concat_findings
 from corpus_guard.operators.matching import match_findings
 from corpus_guard.operators.retrieval import content_free_log, secure_retrieve, source_count
@@ -130,12 +131,12 @@ def test_dedup_in_row_equals_dedup_by_group(unit):
 
 def finding_rows(spark, rows):
     schema = (
-        "unit_id string, path string, rule_no int, offset int, line int, rule_id string, "
+        "unit_id string, path string, rule_no int, offset int, line int, rule_id string, pattern_no int, "
         "title string, severity string, category string, confidence double, "
         "detected_by string, code_snippet string, description string"
     )
     full = [
-        (str(i), path, 0, i, 1, rule_id, "t", severity, "c", 0.8, "regex", snippet, "d")
+        (str(i), path, 0, i, 1, rule_id, 0, "t", severity, "c", 0.8, "regex", snippet, "d")
         for i, (severity, path, rule_id, snippet) in enumerate(rows)
     ]
     return spark.createDataFrame(full, schema)
@@ -201,10 +202,10 @@ def test_judge(spark):
     }
     table = [(str(i), 0, i, json.dumps(a)) for i, a in answers.items()] + [("5", 0, 5, "{oops")]
     table += [table[0]]
-    lines = {r.unit_id: r.line for r in rows.collect()}
+    lines = {r.unit_id: (r.line, r.rule_id) for r in rows.collect()}
     responses = spark.createDataFrame(
-        [(u, no, lines[u], at, text) for u, no, at, text in table],
-        "unit_id string, rule_no int, line int, offset int, response string",
+        [(u, lines[u][1], no, lines[u][0], at, text) for u, no, at, text in table],
+        "unit_id string, rule_id string, pattern_no int, line int, offset int, response string",
     )
     got = {
         r.rule_id: (round(r.confidence, 6), r.detected_by)
@@ -233,14 +234,17 @@ def test_scan_with_verdicts(spark, unit):
     first = plain[1]
     # the first of two matches on line 2 is judged false, so the second one is reported
     verdicts = spark.createDataFrame(
-        [(first.unit_id, first.rule_no, first.line, first.offset, "false_positive", 0.95)],
-        "unit_id string, rule_no int, line int, offset int, verdict string, verdict_confidence double",
+        [(first.unit_id, first.rule_id, first.pattern_no, first.line, first.offset, "false_positive", 0.95)],
+        "unit_id string, rule_id string, pattern_no int, line int, offset int, verdict string, verdict_confidence double",
     )
-    judged = scan(units, columns=fo.BRIEF, verdicts=verdicts).where("rule_id = 'LLM01-001'")
-    assert [(r.line, r.offset != first.offset) for r in judged.orderBy("line").collect()] == [
-        (1, True),
-        (2, True),
-    ]
+    # rules that are added in front, by a table of the user's, do not move verdicts
+    added = [Rule(f"X-{i}", "t", "low", "prompt_injection", "llm", "d", 0.5) for i in range(3)]
+    for declarative in (None, added):
+        judged = scan(units, declarative=declarative, columns=fo.BRIEF, verdicts=verdicts).where("rule_id = 'LLM01-001'")
+        assert [(r.line, r.offset != first.offset) for r in judged.orderBy("line").collect()] == [
+            (1, True),
+            (2, True),
+        ]
 
 
 def test_masks(spark):

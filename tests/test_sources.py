@@ -1,6 +1,8 @@
 """Files, ignore patterns, rules tables, sinks, and the stored report of the example apps."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -305,3 +307,56 @@ def test_unit_shapes(unit):
         ids = {r.rule_id for r in found if r.unit_id == str(i)}
         assert wanted is None or wanted in ids, text
         assert unwanted is None or not any(r.startswith(unwanted) for r in ids), text
+
+
+def by_nearest_file(path, files, patterns=ignore.DEFAULT_IGNORE_PATTERNS):
+    """Whether a path is ignored, by one path and one pattern after the other."""
+    parts = path.split("/")
+    above = ["/".join(parts[:n]) for n in range(len(parts))]
+    nearest = max((d for d in above if d in files), key=len, default=None)
+    default = [c for c in map(ignore.ignore_regex, patterns) if c]
+    own = [c for c in (ignore.ignore_regex(x.strip()) for x in files.get(nearest, ()) if x) if c]
+    for n in range(1, len(parts) + 1):
+        prefix, result = "/".join(parts[:n]), False
+        for ignores, regex in default:
+            result = ignores if re.search(regex, prefix) else result
+        start = len(nearest) + 1 if nearest else 0
+        if nearest is not None and len(prefix) > start:
+            for ignores, regex in own:
+                result = ignores if re.search(regex, prefix[start:]) else result
+        if result:
+            return True
+    return False
+
+
+def test_ignored_by_files(spark):
+    draw = random.Random(3)
+    names = ["a", "b", "gen", "src", "x.js", "y.py", "f1.js", ".git", "build", "n.lock"]
+    lines = ["*.js", "!f1*.js", "/gen/", "src/**/y.py", "b", "!b/y.py", "# note", "", "*", "!*.py", "!n.lock", None]
+    paths = sorted({"/".join(draw.choice(names) for _ in range(draw.randint(1, 5))) for _ in range(400)})
+    directories = sorted({"/".join(p.split("/")[: draw.randint(0, 3)]) for p in paths})[::3] + ["", "elsewhere"]
+    files = {d: [draw.choice(lines) for _ in range(draw.randint(0, 5))] for d in directories}
+    rows = [(d, n, x) for d, own in files.items() for n, x in enumerate(own)]
+    files = {d: own for d, own in files.items() if own}
+    table = spark.createDataFrame(rows, "directory string, number int, line string")
+    units = spark.createDataFrame([(i, p) for i, p in enumerate([*paths, *paths[:3], None])], "id long, path string")
+    got = ignore.ignored_by_files(units, table).collect()
+    assert len(got) == len(paths) + 4
+    assert [(r.path, r.ignored) for r in got if r.ignored != (r.path and by_nearest_file(r.path, files))] == []
+    assert len({r.ignored for r in got}) == 3
+    none = ignore.ignored_by_files(units, table.where("false")).collect()
+    assert {r.path: r.ignored for r in none} == {p: by_nearest_file(p, {}) for p in paths} | {None: None}
+    assert ignore.ignored_by_files(units.where("false"), table).collect() == []
+
+
+def test_a_hundred_thousand_ignore_files(spark):
+    directories = spark.range(100_000).selectExpr("concat('d', id % 100, '/e', id) AS directory")
+    lines = directories.selectExpr("directory", "0 AS number", "'*.py' AS line").unionAll(
+        directories.selectExpr("directory", "1", "concat('!k', length(directory), '*')")
+    )
+    paths = directories.where("hash(directory) % 7 = 0").selectExpr(
+        "explode(array(concat(directory, '/k6.py'), concat(directory, '/k8.py'), concat(directory, '/z.txt'))) AS path", "length(directory) AS n"
+    )
+    got = ignore.ignored_by_files(paths, lines)
+    wrong = got.where("ignored <> (endswith(path, '.py') AND NOT contains(path, concat('/k', n)))")
+    assert got.count() == paths.count() > 30_000 and wrong.count() == 0
