@@ -41,7 +41,7 @@ SMOOTHING = 0.1
 #: Pieces that a word is first taken to have behind its first one.
 FIRST_PIECES = 3
 #: A word is frequent if it is more than one in so many words of the corpus; so there are fewer.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Bytes of text in which words are made distinct, and bytes of distinct words in one lattice.
 TEXT_BYTES = 1 << 22
 LATTICE_BYTES = 1 << 20
