@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -112,3 +113,30 @@ def test_empty_table_and_no_language(documents):
     assert language.identify(empty, language.fit(empty)).collect() == []
     unnamed = documents((1, "word", None))
     assert [r.lang_pred for r in language.identify(unnamed, language.fit(unnamed)).collect()] == ["und"]
+
+
+def test_many_languages_and_all_grams_are_learnt(documents):
+    """More languages than any bound, and code lengths of the whole sample, grams seen once included."""
+    names = [f"l{i:03}" for i in range(230)]
+    rows = [(i * 10 + k, f"{chr(0x4E00 + i)}{chr(0x4E01 + i)} w{i}", name) for i, name in enumerate(names) for k in range(6)]
+    docs = documents(*rows)
+    model = language.fit(docs)
+    assert model.languages == names
+    probes = ["w17", chr(0x4E00 + 40), "zz w"]
+    texts = defaultdict(list)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            texts[lang].append(text)
+    bits = model.bits(pa.array(probes))
+    for lang in names[::23]:
+        want = [_brute_bits(texts[lang], p, language.ORDER) for p in probes]
+        assert np.allclose(bits[:, names.index(lang)], want)
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
+def test_rejected_texts(documents):
+    """Short clean texts stay, though several languages code them alike; what reads like none goes."""
+    docs = documents(*_docs(), (900, "was", None), (901, "ᚠᛇᚻ᛫ᛒᛦᚦ᛫ᚠᚱᚩᚠᚢᚱ", None), (902, "12", None))
+    kept = {r.doc_id for r in language.accepted(docs, language.fit(docs)).collect()}
+    assert kept == {i for i, _, _ in _docs()} | {900}
