@@ -6,13 +6,13 @@ enough share at least l of the first (size - least overlap + l) shingles of each
 document picks the l whose estimated cost is least. Two documents are candidates when their
 prefixes share as many shingles as the smaller l asks for, and candidates are verified exactly.
 
-``linked`` finds every link: all candidates are listed, those of a frequent shingle by pairs of
-blocks of its nodes, and verified where blocks of nodes meet.
+``grouped`` gives components by verified pairs of sets that span them, and the membership of rows in
+sets. Pairs inside a dense group need not be listed for that: first the nodes of shingles with many
+nodes are verified against few pivots, which joins most of a group with a number of pairs that grows
+with the nodes. Candidates are then listed only between nodes that are still in different components.
 
-Where only components are asked for, pairs inside a dense group need not be listed: first the nodes of
-shingles with many nodes are verified against one pivot each, which joins most of a group with a
-number of pairs that grows with the nodes. Candidates are then listed only between nodes that are
-still in different components.
+``linked`` finds every link, whose number grows with the square of a group: all candidates are listed,
+those of a frequent shingle by pairs of blocks of its nodes, and verified where blocks of nodes meet.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ class Join:
     chance: float = 0.25
     salt_over: int = 4096
     marks: int = 1 << 22
-    pivot_rounds: int = 4
-    pivots: int = 4
+    pivot_rounds: int = 3
+    pivots: int = 8
     dense: int = 6
     block: int = 256
 
@@ -368,7 +368,8 @@ def _now(facts: DataFrame, roots: DataFrame | None) -> DataFrame:
     return own.select("node", "size", "need", "root", F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 
-def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Join) -> DataFrame | None:
+def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Join) -> tuple[DataFrame | None, DataFrame | None]:
+    """(node, root) and the verified pairs (a, b) that make the components; None without any."""
     links = roots = None
 
     def add(pairs: DataFrame) -> bool:
@@ -387,7 +388,7 @@ def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Joi
     for turn in range(join.pivot_rounds):
         add(_pivot_pairs(dense, _now(facts, roots), join, turn))
     add(_candidates(entries.join(_now(facts, roots), "node"), join.percent))
-    return roots
+    return roots, links
 
 
 def _prepared(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -436,13 +437,13 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame]:
     return members, written(_verified_in_blocks(pairs, rows, facts, join))
 
 
-def _rooted(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, row, n_shingles and root of every row; root is null where the set is empty."""
+def _rooted(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, row, n_shingles, node and root of every row, null where the set is empty; verified pairs."""
     members, entries, facts, rows = _prepared(docs, join)
-    roots = _components(entries, facts, rows, join)
+    roots, links = _components(entries, facts, rows, join)
     if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return members.withColumn("root", F.col("node")), None
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), links
 
 
 def classes(docs: DataFrame, join: Join = JOIN) -> DataFrame:
@@ -454,12 +455,43 @@ def classes(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     Repeated rows are linked. A null doc_id is larger than all others. Further columns of ``docs``
     are ignored.
     """
-    rows = _rooted(docs, join)
+    rows, _ = _rooted(docs, join)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     component = F.coalesce("least", "doc_id").alias("component_id")
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", component)
 
 
+def grouped(docs: DataFrame, join: Join = JOIN) -> DataFrame:
+    """As ``classes``, and set_id, n_equal, linked_set: membership and verified pairs of sets.
+
+    Equal sets are one: set_id is the smallest doc_id that has the row's set, n_equal the number of
+    rows that have it, the row's own included. linked_set is the smallest set_id of another set that
+    a verified pair joins with the row's set, null where no other set is similar; these pairs
+    span every component. Rows with an empty set are a set of their own: set_id is the doc_id, n_equal 1.
+    """
+    rows, links = _rooted(docs, join)
+    rows = written(rows.select("doc_id", "n_shingles", "node", "root"))
+    some = rows.where("node IS NOT NULL")
+    sets = written(some.groupBy("node", "root").agg(F.count("*").alias("n_equal"), F.min("doc_id").alias("set_id")))
+    component = sets.groupBy("root").agg(F.min("set_id").alias("component"))
+    facts = sets.join(component, "root").drop("root")
+    if links is None:
+        facts = facts.withColumn("linked_set", F.lit(None).cast(dict(docs.dtypes)["doc_id"]))
+    else:
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        other = both.join(sets.select(F.col("node").alias("b"), "set_id"), "b")
+        other = other.groupBy(F.col("a").alias("node")).agg(F.min("set_id").alias("linked_set"))
+        facts = facts.join(other, "node", "left")
+    return rows.join(facts, "node", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("set_id", "doc_id").alias("set_id"),
+        F.coalesce("n_equal", F.lit(1).cast("long")).alias("n_equal"),
+        "linked_set",
+    )
+
+
 def counted(docs: DataFrame, join: Join = JOIN) -> DataFrame:
     """As ``classes``, and n_links: how many other rows have a set similar enough, equal ones included."""
     members, links = linked(docs, join)
@@ -488,7 +520,7 @@ def one_of_each(docs: DataFrame, join: Join = JOIN) -> DataFrame:
 
     Of rows equal in doc_id and text one stays. Rows whose set is empty all stay.
     """
-    rows = _rooted(docs, join).where("root IS NOT NULL").select("root", "doc_id", F.col("row").alias(ROW))
+    rows = _rooted(docs, join)[0].where("root IS NOT NULL").select("root", "doc_id", F.col("row").alias(ROW))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     first = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("members"))
     first = first.where("members > 1").select("root", F.col(f"first.{ROW}").alias("kept"))
@@ -503,4 +535,4 @@ def one_of_each(docs: DataFrame, join: Join = JOIN) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return counted(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents"))

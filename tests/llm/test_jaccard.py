@@ -146,3 +146,27 @@ def test_every_link_is_counted(documents, join):
     assert Counter((r.doc_id, r.n_links) for r in got) == _brute_links(rows)
     assert max(r.n_links for r in got) > 8
     assert jaccard.counted(documents("a").where("false"), join).collect() == []
+
+
+@pytest.mark.parametrize("join", [Join(), Join(pivot_rounds=0), Join(counters=4096, salt_over=3, dense=2)])
+def test_sets_and_verified_pairs_span_the_components(documents, join):
+    rows = _corpus(8, groups=6, copies=30)
+    rows += [(1000 + i, text) for i, (_, text) in enumerate(rows[:9])] + [(2000, None), (2001, ""), (2002, "a b"), (2003, "A b")]
+    got = jaccard.grouped(documents(*rows), join).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == _brute(rows)
+    sets = _sets(rows)
+    equal = {i: [j for j, other in sets if own and other == own] or [i] for i, own in sets}
+    shingles = dict(sets)
+    joined = {}
+    for r in got:
+        assert (r.set_id, r.n_equal) == (min(equal[r.doc_id]), len(equal[r.doc_id]))
+        joined.setdefault(r.set_id, r.set_id)
+        if r.linked_set is not None:
+            a, b = shingles[r.set_id], shingles[r.linked_set]
+            assert a != b and 100 * len(a & b) >= 75 * len(a | b)
+    # every component of several sets is held together by the pairs of the smallest set of each
+    for component in {r.component_id for r in got}:
+        own = [r for r in got if r.component_id == component]
+        linked = {r.set_id for r in own if r.linked_set is not None}
+        assert linked == ({r.set_id for r in own} if len({r.set_id for r in own}) > 1 else set())
+    assert jaccard.grouped(documents("a").where("false"), join).collect() == []
