@@ -6,8 +6,13 @@ from corpus_guard.llm import mixing
 from corpus_guard.llm.mixing import Mix
 
 
-def _times(doc_id, rate, seed="mix"):
-    text = f"{seed}|{'' if doc_id is None else doc_id}"
+def _times(doc_id, rate, text=""):
+    name = "mix|" + ("~" + hashlib.md5((text or "").encode()).hexdigest() if doc_id is None else str(doc_id))
+    parts = max(1, math.ceil(rate / 8))
+    return sum(_inverse(name + (f"|part|{p}" if p > 1 else ""), rate / parts) for p in range(1, parts + 1))
+
+
+def _inverse(text, rate):
     draw = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
     p = below = math.exp(-rate)
     times = 0
@@ -56,14 +61,32 @@ def test_odd_rows(documents):
     rate = {r.source: r.rate for r in mixing.rates(docs).collect()}
     got = Counter(r.doc_id for r in mixing.mixed(docs).collect())
     want = Counter()
-    for doc_id, _, _, source in rows:
-        want[doc_id] += _times(doc_id, rate[source])
+    for doc_id, text, _, source in rows:
+        want[doc_id] += _times(doc_id, rate[source], text)
     assert got == +want
     assert mixing.mixed(docs).columns == ["doc_id", "text", "lang", "source", "copy", "order_key"]
     assert mixing.mixed(docs.where("false")).collect() == []
 
 
-def test_rates_are_limited(documents):
-    docs = documents((1, "x", "en", "tiny"), *[(i, "y" * 50_000, "en", "huge") for i in range(2, 40)])
+def test_small_sources_reach_their_rate(documents):
+    """A mean far beyond one draw's table is the sum of several draws."""
+    docs = documents(*[(i, "y" * 50_000, "en", "huge") for i in range(400)], *[(1000 + i, "x" * 100, "en", f"tiny{i % 3}") for i in range(30)])
     rate = {r.source: r.rate for r in mixing.rates(docs).collect()}
-    assert rate["tiny"] == 8.0 and 0 < rate["huge"] < 1
+    assert rate["tiny0"] > 100 and 0 < rate["huge"] < 1
+    rows = mixing.mixed(docs).groupBy("doc_id", "source").count().collect()
+    for r in rows:
+        if r.source.startswith("tiny"):
+            assert r["count"] == _times(r.doc_id, rate[r.source])
+    got = sum(r["count"] for r in rows if r.source == "tiny0")
+    assert abs(got - 10 * rate["tiny0"]) < 6 * (10 * rate["tiny0"]) ** 0.5
+    plan = {r.source: r for r in mixing.planned(docs).collect()}
+    weights = {"huge": (400 * 50_001) ** 0.5} | {f"tiny{i}": (10 * 101) ** 0.5 for i in range(3)}
+    for source, weight in weights.items():
+        assert abs(plan[source].share - weight / sum(weights.values())) < 1e-9
+
+
+def test_rows_without_id_draw_by_their_text(spark, documents):
+    docs = documents(*[(None, f"text {i}", "en", "s") for i in range(3000)], *[(i, "z", "en", "t") for i in range(50)])
+    rows = mixing.mixed(docs).where("doc_id IS NULL")
+    got = Counter(r.text for r in rows.collect())
+    assert len(set(got.values())) > 2 and rows.select("order_key").distinct().count() == sum(got.values())
