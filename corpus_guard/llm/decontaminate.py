@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII bytes, lower-cased. A document a
 compared if they share a seed, a run of ``least_match`` words. Tiling repeatedly marks the longest
 matches of words that are not marked yet, found by running Karp-Rabin hashing, so a test whose
 sentences were put in another order is still covered. A document is contaminated by an item when
-the tiles cover at least ``percent`` of the item's words.
+the tiles cover at least ``percent`` of the item's words. An item of fewer words than a seed is its own
+seed: it contaminates the documents that consist of its words.
 """
 
 from __future__ import annotations
@@ -117,6 +118,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     )
 
 
+def _whole(words: np.ndarray) -> np.ndarray:
+    """The hash of all words in a row, of another family for each number of words; none for no words."""
+    return arrays.grams(words, np.zeros(len(words), np.int8), len(words))[0] if len(words) else words
+
+
 def _items(tiling: Tiling):
     def run(batches):
         for batch in batches:
@@ -125,7 +131,9 @@ def _items(tiling: Tiling):
                 keys, text = arrays.grams(hashes, owner, tiling.least_match)
                 for i in range(first, last):
                     words.append(hashes[owner == i])
-                    seeds.append(keys[text == i])  # repeats count, as they cover more
+                    short = len(words[-1]) < tiling.least_match
+                    # repeats count, as they cover more
+                    seeds.append(_whole(words[-1]) if short else keys[text == i])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item"), batch.column("item_id"), _lists(words), _lists(seeds)],
                 ["item", "item_id", "words", "seeds"],
@@ -138,16 +146,27 @@ def _suspects(marks, tiling: Tiling):
     """Of every text with a marked seed its runs of marked seeds, as words with gaps between."""
     least = tiling.least_match
 
+    def marked(keys: np.ndarray) -> np.ndarray:
+        at = slots(keys, tiling.marks)
+        return ((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
     def run(batches):
         for batch in batches:
             kept, runs, seeds = [], [], []
             for first, last, hashes, owner in _word_blocks(batch.column("text")):
+                counts = np.bincount(owner - first, minlength=last - first)
+                starts = np.cumsum(counts) - counts
+                for i in np.flatnonzero((counts > 0) & (counts < least)):
+                    own = hashes[starts[i] : starts[i] + counts[i]]
+                    key = _whole(own)
+                    if marked(key)[0]:
+                        kept.append(first + int(i))
+                        runs.append(own)
+                        seeds.append(key)
                 if len(hashes) < least:
                     continue
                 keys, _ = arrays.grams(hashes, np.zeros(len(hashes), np.int8), least)
-                at = slots(keys, tiling.marks)
-                hit = ((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-                hit &= owner[: len(keys)] == owner[least - 1 :]
+                hit = marked(keys) & (owner[: len(keys)] == owner[least - 1 :])
                 place = np.flatnonzero(hit)
                 cuts = np.searchsorted(owner[place], np.arange(first, last + 1))
                 for i in np.flatnonzero(np.diff(cuts)):
@@ -170,7 +189,11 @@ def _tiled(tiling: Tiling):
         for batch in batches:
             covered, counts = [], []
             for test, text in zip(batch.column("words"), batch.column("runs")):
-                found = tiles(*(np.asarray(x.values).view(np.uint64) for x in (test, text)), tiling)
+                test, text = (np.asarray(x.values).view(np.uint64) for x in (test, text))
+                if len(test) < tiling.least_match:
+                    found = [(len(test), 0, 0)] if np.array_equal(test, text) else []
+                else:
+                    found = tiles(test, text, tiling)
                 covered.append(sum(size for size, _, _ in found))
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays(
@@ -185,8 +208,9 @@ def _tiled(tiling: Tiling):
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, tiling: Tiling = TILING) -> DataFrame:
     """ROW, doc_id, item_id, n_words, covered and n_tiles of documents and items they contain.
 
-    Null and empty texts, and items of fewer than ``least_match`` words, match nothing. Rows of
-    equal doc_id and text count once, as do equal items.
+    Null and empty texts and items match nothing. Items of fewer than ``least_match`` words match
+    documents of the same words in the same order and no others. Rows of equal doc_id and text count
+    once, as do equal items.
     """
     context = docs.sparkSession.sparkContext
     kind, doc_kind = dict(benchmark.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]

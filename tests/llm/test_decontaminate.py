@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
@@ -84,9 +85,54 @@ def test_odd_rows(spark, documents):
     schema = "doc_id long, text string, item_id string, words string, covered int"
     docs = documents(*rows, schema=schema, defaults=("i", "w", 0))
     got = [(r.doc_id, r.item_ids, r.coverage) for r in decontaminate.contaminated(docs, bench).collect()]
-    assert sorted(got, key=str) == [(3, [1], 1.0), (6, [], 1.0), (None, [1], 1.0)]
+    assert sorted(got, key=str) == [(3, [1], 1.0), (5, [4], 1.0), (6, [], 1.0), (None, [1], 1.0)]
     kept = decontaminate.without(docs, decontaminate.contaminated_pairs(docs, bench))
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     empty = docs.where("false")
     assert decontaminate.contaminated(empty, bench).collect() == []
     assert decontaminate.contaminated(docs, bench.where("false")).collect() == []
+
+
+def test_short_items_match_whole_documents(spark, documents):
+    items = [(1, "what is the capital"), (2, "Yes"), (3, "a b c d e"), (4, "no, no")]
+    rows = [(1, "What is the CAPITAL?"), (2, "what is the capital of it"), (3, "yes"), (4, "yes yes"), (5, "is the capital"),
+            (6, "a b c d e"), (7, "no no"), (8, "no"), (9, "...")]
+    got = decontaminate.contaminated(documents(*rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_ids, r.coverage) for r in got.collect()) == [
+        (1, [1], 1.0), (3, [2], 1.0), (6, [3], 1.0), (7, [4], 1.0)
+    ]
+
+
+def _covered(item, text, tiling):
+    """Words of an item that greedy tiles cover, by loops over the words themselves."""
+    test, words = (re.findall(r"[a-z0-9]+", x.lower()) for x in (item, text))
+    if len(test) < tiling.least_match:
+        return len(test) if test == words else 0, len(test)
+    names = {w: i + 1 for i, w in enumerate(dict.fromkeys(test + words))}
+    return sum(_greedy([names[w] for w in test], [names[w] for w in words], tiling.least_match)), len(test)
+
+
+def test_coverage_equals_brute_force(spark, documents):
+    """Whole results over documents that hold parts of items in any order."""
+    draw = random.Random(21)
+    items = [(i, _prose(draw, draw.randint(2, 40))) for i in range(14)]
+    rows = []
+    for i in range(90):
+        pieces = [_prose(draw, draw.randint(1, 12)) for _ in range(3)]
+        for _ in range(draw.randint(0, 3)):
+            words = draw.choice(items)[1].split()
+            at = draw.randrange(len(words))
+            pieces.append(" ".join(words[at : at + draw.randint(3, 30)]))
+        draw.shuffle(pieces)
+        rows.append((i, " ".join(pieces)))
+    rows += [(100 + i, text) for i, (_, text) in enumerate(items)]
+    tiling = Tiling()
+    want = {}
+    for i, text in rows:
+        for item, passage in items:
+            covered, size = _covered(passage, text, tiling)
+            if covered and covered * 100 >= size * tiling.percent:
+                want[i, item] = covered
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated_pairs(documents(*rows), bench, tiling).collect()
+    assert {(r.doc_id, r.item_id): r.covered for r in got} == want and len(want) > 30
