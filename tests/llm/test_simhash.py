@@ -9,7 +9,7 @@ from corpus_guard.llm import simhash
 
 def _fingerprint(text):
     words = [w for w in __import__("re").split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
-    terms = [(a + b, (a, b)) for a, b in zip(words, words[1:])] or [(w, (w,)) for w in words]
+    terms = [(w, (w,)) for w in words]
     votes, weight = [0] * 128, 0
     for joined, parts in terms:
         seed = 42
@@ -70,7 +70,7 @@ def test_odd_rows(documents):
 def test_all_neighbours_are_found_once(spark):
     draw = random.Random(9)
     base = [draw.getrandbits(128) for _ in range(6)]
-    marks = {b ^ sum(1 << i for i in draw.sample(range(128), draw.randint(0, 9))) for b in base for _ in range(60)}
+    marks = {b ^ sum(1 << i for i in draw.sample(range(128), draw.randint(0, 18))) for b in base for _ in range(60)}
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     frame = spark.createDataFrame([(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in marks], "high long, low long")
     queries = frame.where(F.col("low") % 3 == 0)
@@ -80,3 +80,37 @@ def test_all_neighbours_are_found_once(spark):
     rows, asked = [tuple(r) for r in frame.collect()], [tuple(r) for r in queries.collect()]
     want = {(*q, *r, d) for q in asked for r in rows if (d := count(q, r)) <= simhash.RADIUS}
     assert set(got) == want and len(want) > len(asked)
+
+
+def test_planted_near_copies_are_found(spark, tmp_path):
+    """Searches of the query against all fingerprints, by brute force, and the recall of planted copies."""
+    draw = random.Random(12)
+    words = ["".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(2, 9))) for _ in range(900)]
+    often = [1 / (rank + 1) for rank in range(len(words))]  # as words of a language are
+    rows, copies = [], {}
+    for i in range(0, 2000, 50):
+        base = draw.choices(words, often, k=draw.randint(120, 400))
+        rows.append((i, " ".join(base)))
+        rows.append((i + 1, " ".join(base)))
+        for k in range(2, 6):
+            text = list(base)
+            for at in draw.sample(range(len(text)), len(text) // 25):
+                text[at] = draw.choices(words, often)[0]
+            rows.append((i + k, " ".join(text)))
+        copies[i] = {i + k for k in range(2, 6)}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in simhash.op6(spark, str(tmp_path)).collect()}
+    marks = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    found = 0
+    for i, r in got.items():
+        equal = [j for j in marks if marks[j] == marks[i]]
+        assert (r.class_id, r.n_equal) == (min(equal), len(equal))
+        if i % 50:
+            assert r.n_near is None and r.near_class is None
+            continue
+        near = [j for j in marks if j != i and bin(marks[i] ^ marks[j]).count("1") <= simhash.RADIUS]
+        other = [got[j].class_id for j in near if marks[j] != marks[i]]
+        assert (r.n_near, r.near_class) == (len(near), min(other, default=None))
+        assert i + 1 in near
+        found += len(copies[i] & set(near))
+    assert found >= 0.9 * sum(map(len, copies.values()))
