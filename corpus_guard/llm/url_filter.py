@@ -4,8 +4,10 @@ A list is a log of dated entries: from ``since`` on, a pattern is listed or not.
 host, which covers its subdomains, or a host and the first segment of a path. Entries become
 validity intervals, and every capture is evaluated against the patterns active when it was fetched.
 
-Intervals are cut at days, so captures meet them by an equality join on pattern and day. A host
-with very many captures is thereby dealt by days, and Spark splits what is still large.
+An interval is covered by aligned blocks of 1, 16, 256, ... days, few of each size, so a long listing is
+some dozens of rows, not one a day. A capture looks up the block of each size that holds its day: the
+as-of join is an equality join on pattern, size and block. A host with very many captures is thereby
+dealt by days, and Spark splits what is still large.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from corpus_guard.llm.shared import ROW, row_key, table, written
 
+#: Days of a block in days of the next smaller one, and sizes beyond one day.
+BLOCK, SIZES = 16, 5
+
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?"
 _HOST = _AUTHORITY + r"([^/?#:@]+)"
 _SEGMENT = _AUTHORITY + r"[^/?#]*(/[^/?#]+)"
@@ -57,6 +62,36 @@ def intervals(entries: DataFrame) -> DataFrame:
     return known.select("pattern", "since", F.coalesce("until", "next_first").alias("until"))
 
 
+def cover(first: str, last: str) -> Column:
+    """An array of (size, block): aligned blocks that hold the days from ``first`` to ``last`` once.
+
+    ``first`` and ``last`` name columns of day numbers. A block of size k has BLOCK ** k days and the
+    number of its first day over that; up to 2 * (BLOCK - 1) blocks of a size are used.
+    """
+    run = "IF({a} < {b}, transform(sequence({a}, {b} - 1), n -> named_struct('size', k, 'block', n)), array())"
+    whole = run.format(a="s.low", b="s.high")
+    left, right = run.format(a="s.low", b=f"{BLOCK} * s.up"), run.format(a=f"{BLOCK} * s.down", b="s.high")
+    done = f"(s.up >= s.down OR k = {SIZES})"
+    step = f"""named_struct(
+        'low', IF({done}, s.high, s.up), 'high', IF({done}, s.high, s.down),
+        'found', concat(s.found, IF({done}, {whole}, concat({left}, {right}))))"""
+    # up and down: the blocks of the next size that lie inside
+    inside = (
+        f"named_struct('low', t.low, 'high', t.high, 'found', t.found, "
+        f"'up', CAST(ceil(t.low / {BLOCK}) AS INT), 'down', CAST(floor(t.high / {BLOCK}) AS INT))"
+    )
+    empty = "CAST(array() AS ARRAY<STRUCT<size: INT, block: INT>>)"
+    step = f"element_at(transform(array({inside}), s -> {step}), 1)"
+    return F.expr(
+        f"aggregate(sequence(0, {SIZES}), named_struct('low', {first}, 'high', {last} + 1, 'found', {empty}), "
+        f"(t, k) -> IF(t.low < t.high, {step}, t), t -> t.found)"
+    )
+
+
+def _day(time: str) -> Column:
+    return F.unix_date(F.to_date(time))
+
+
 def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (url, fetched and any others) with blocked, pattern and listed_since.
 
@@ -70,15 +105,19 @@ def evaluated(captures: DataFrame, entries: DataFrame) -> DataFrame:
     bounds = captures.agg(F.max("fetched").alias("last")).first()
     keys = captures.where("fetched IS NOT NULL").select(ROW, "url", "fetched").dropDuplicates([ROW])
     keys = keys.select(ROW, "fetched", F.explode(F.array_distinct(patterns(F.col("url")))).alias("pattern"))
-    keys = keys.withColumn("day", F.to_date("fetched"))
     listed = intervals(entries)
-    last = F.to_date(F.least(F.coalesce("until", F.lit(bounds.last)), F.lit(bounds.last)))
     if bounds.last is None:
         listed = listed.where("false")
-        last = F.to_date("since")
-    listed = listed.where(F.to_date("since") <= last)
-    listed = listed.withColumn("day", F.explode(F.sequence(F.to_date("since"), last)))
-    met = keys.join(listed, ["pattern", "day"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
+    last = F.least(F.coalesce("until", F.lit(bounds.last)), F.lit(bounds.last))
+    listed = listed.withColumns({"first_day": _day("since"), "last_day": F.unix_date(F.to_date(last))})
+    listed = listed.where("first_day <= last_day").withColumn("part", F.explode(cover("first_day", "last_day")))
+    listed = written(listed.select("pattern", "since", "until", "part.size", "part.block"))
+    # at most one row for each size
+    sizes = [r["size"] for r in listed.select("size").distinct().orderBy("size").collect()]
+    blocks = [F.struct(F.lit(k).alias("size"), F.floor(_day("fetched") / BLOCK**k).cast("int").alias("block")) for k in sizes]
+    parts = F.array(*blocks) if blocks else F.array().cast("array<struct<size:int,block:int>>")
+    keys = keys.withColumn("part", F.explode(parts)).select(ROW, "fetched", "pattern", "part.size", "part.block")
+    met = keys.join(listed, ["pattern", "size", "block"]).where("since <= fetched AND (until IS NULL OR fetched < until)")
     best = F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since"))
     blocked = met.groupBy(ROW).agg(best.alias("best"))
     found = captures.join(blocked, ROW, "left").drop(ROW)

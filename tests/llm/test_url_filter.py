@@ -67,3 +67,31 @@ def test_odd_rows(spark):
     ]
     assert url_filter.evaluated(captures.where("false"), listed).collect() == []
     assert {r.blocked for r in url_filter.evaluated(captures, listed.where("false")).collect()} == {False, None}
+
+
+def test_blocks_cover_an_interval_once(spark):
+    draw = random.Random(6)
+    rows = [(a, a + draw.choice([-3, -1, 0, 1, 15, 16, 31, 200, 256, 1095, 5000, 300_000])) for a in draw.sample(range(-400, 40_000), 60)]
+    frame = spark.createDataFrame(rows, "a int, b int").select("a", "b", url_filter.cover("a", "b").alias("parts"))
+    for r in frame.collect():
+        held = sorted((p["block"] * 16 ** p["size"], (p["block"] + 1) * 16 ** p["size"]) for p in r.parts)
+        if r.b < r.a:
+            assert held == []
+            continue
+        assert held[0][0] == r.a and held[-1][1] == r.b + 1 and all(x[1] == y[0] for x, y in zip(held, held[1:]))
+        assert len(held) <= 30 * 5 + 1
+
+
+def test_long_listings_are_few_rows(spark):
+    """Hosts listed for thirty years, one of them with a third of all captures."""
+    entries = spark.range(3000).selectExpr("concat('h', id, '.org') AS pattern", "timestamp'1990-01-05 10:00:00' AS since", "true AS listed")
+    captures = spark.range(9000).selectExpr(
+        "concat('http://h', IF(id % 3 = 0, 7, id), '.org/x') AS url", "timestamp'1989-12-30 00:00:00' + make_interval(0, 0, 0, CAST(id * 4 % 11000 AS INT)) AS fetched"
+    )
+    rows = url_filter.evaluated(captures, entries).selectExpr("blocked", "fetched >= timestamp'1990-01-05 10:00:00' AS later", "url").collect()
+    listed = {f"http://h{i}.org/x" for i in range(3000)}
+    assert len(rows) == 9000 and all(r.blocked == (r.later and r.url in listed) for r in rows)
+    last = captures.agg({"fetched": "max"}).first()[0]
+    days = (last.date() - __import__("datetime").date(1990, 1, 5)).days
+    parts = spark.range(1).selectExpr("7309 AS a", f"7309 + {days} AS b").select(url_filter.cover("a", "b").alias("parts")).first().parts
+    assert days > 10_000 and len(parts) < 120
