@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,19 +34,33 @@ def cutoff(rows: int, wanted: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this session."""
+    """The folder that spark.checkpoint.dir names; in local mode without it, a folder of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     context = spark.sparkContext
+    if not re.match(r"local($|\[)", context.master):
+        # a folder of one machine would lose what the others write
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-guard-"))
     return context.getCheckpointDir()
 
 
+#: Rows of a batch that Python workers get, instead of Spark's 10,000: rows are whole texts here, and a
+#: batch is held several times over, in the JVM and in each worker.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def stored(frame: DataFrame) -> tuple[DataFrame, str]:
-    """The frame as a table in the shared folder, and the table's path, for ``removed``."""
+    """The frame as a table in the shared folder, and the table's path, for ``removed``.
+
+    From the first table on the session's batches are ``BATCH_ROWS`` long, unless it sets its own length.
+    """
     spark = frame.sparkSession
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path), path
