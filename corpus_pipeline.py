@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpus_guard.llm import decontaminate, jaccard, language, mixing, quality
-from corpus_guard.llm.shared import table, written
+from corpus_guard.llm.shared import removed, stored, table
 
 STAGES = [
     ("quality classifier", quality.keep),
@@ -20,8 +20,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read as the next one's."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written and read as the next one's.
+
+    A stage's table is removed when the next one's is there.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if last:
+            removed(spark, last)
+        last = path
     return docs
