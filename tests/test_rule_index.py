@@ -3,7 +3,9 @@
 import json
 import random
 import re
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +168,25 @@ def test_twenty_thousand_rules_have_the_plan_of_a_few(rules_table, unit):
     assert {r[:3] for r in got} == want and len(got) == len(want) > 2000
 
 
+def test_a_rule_is_a_candidate_only_where_its_string_is(rules_table, monkeypatch):
+    monkeypatch.setattr(rule_index, "CHUNK", 200)
+    monkeypatch.setattr(rule_index, "PART", 3000)
+    long = "a string that is longer than the bytes that are looked up, number "
+    words = [f"common part {i:03d}" for i in range(300)] + [f"{long}{i}" for i in range(3)]
+    table = rules_table(*[{"id": f"R{i}", "pattern": w} for i, w in enumerate(words)])
+    ready = rule_index.prepared(table)
+    ids = {r.no: r.rule_id for r in ready.collect()}
+    index = SimpleNamespace(value=rule_index.indexed(ready))
+    texts = ["Common Part 007 and common part 1234, common part 00", None, "", "common part", " ".join(words[:40]), f"x{long.upper()}2"]
+    found = {}
+    for batch in rule_index._candidates(index)([pa.record_batch({"text": pa.array(texts)})]):
+        for text, rules in zip(*[batch.column(c).to_pylist() for c in ("text", "__rules")]):
+            found.setdefault(texts.index(text), []).extend(ids[r["no"]] for r in rules)
+    # beginnings of long strings are alike
+    want = {0: ["R123", "R7"], 4: sorted(f"R{i}" for i in range(40)), 5: ["R300", "R301", "R302"]}
+    assert {k: sorted(v) for k, v in found.items()} == want
+
+
 def test_no_rules_and_no_units(rules_table, unit):
     table = rules_table({"id": "R1", "pattern": "needle"})
     assert scan_table(unit("needle"), table.where("false")).collect() == []
