@@ -53,14 +53,21 @@ def counts_cube(findings: DataFrame) -> DataFrame:
     severities have a row: within a category that occurs, and over all. The rows with all three
     are those that hold findings. Values that are null in the findings have rows of their own.
     """
-    counts = findings.cube("path", "severity", "category").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("findings")
-    )
-    every = F.explode(F.array(*[F.lit(s) for s in SEVERITY_RANK])).alias("severity")
-    # one row for each category; the levels without path and severity are few
-    known = counts.where("level IN (6, 7)").select("category", (F.col("level") - 2).alias("level"), every)
-    known = known.select(F.lit(None).cast("string").alias("path"), "severity", "category", "level", F.lit(0).alias("findings"))
-    return counts.unionAll(known).groupBy("path", "severity", "category", "level").agg(F.max("findings").alias("findings"))
+    columns = ("path", "severity", "category")
+    # the findings are read once: everything else is told from the counts by all three
+    counts = findings.groupBy(*columns).agg(F.count("*").alias("findings"))
+
+    def row(level: int, severity: str = "severity", n: str = "findings") -> str:
+        own = {"path": "path", "severity": severity, "category": "category"}
+        left_out = {c for bit, c in zip((4, 2, 1), columns) if level & bit}
+        shown = [f"'{c}', {'CAST(NULL AS STRING)' if c in left_out else own[c]}" for c in columns]
+        return f"named_struct({', '.join(shown)}, 'level', {level}L, 'findings', {n})"
+
+    rows = [row(level) for level in range(8)]
+    # known severities, within the category and over all, that may have no finding there
+    rows += [row(level, f"'{s}'", "0L") for level in (4, 5) for s in SEVERITY_RANK]
+    every = counts.select(F.inline(F.expr(f"array({', '.join(rows)})")))
+    return every.groupBy(*columns, "level").agg(F.sum("findings").alias("findings"))
 
 
 def category_histogram(findings: DataFrame) -> DataFrame:
