@@ -318,10 +318,11 @@ def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> D
     """Pairs of nodes in different components whose prefixes share as many shingles as they must.
 
     ``entries``: token, node, place (of the token in the node's order, from 0), root, size, need.
-    Of a similar pair the k-th common token leaves room behind it for the rest of the overlap, so
-    the first tokens that are asked for all do; others are not paired. With ``block``, all such
-    pairs, whatever their components; root is not read, and a token's nodes are paired by blocks of
-    about so many.
+    A similar pair has its first common token in both prefixes, and all others behind it: nodes meet
+    by a token only if what is left from there on, in either node, is as much as the least overlap. Of
+    the pairs that meet, those remain that share enough tokens. With ``block``, all such pairs, whatever
+    their components; root is not read, and a token's nodes are paired by blocks of about so many, by
+    each of the first common tokens that are asked for, the k-th of which may leave k - 1 less.
     """
     if block:
         blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
@@ -337,16 +338,21 @@ def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> D
         on, names = ["token"], ("node", "place", "root", "size", "need")
     other = second.select(*on, *[F.col(c).alias(f"other_{c}") for c in names])
     rest = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
-    room = (rest + F.least("need", "other_need") - 1) * (100 + percent)
+    earlier = F.least("need", "other_need") - 1 if block else F.lit(0)
     met = first.join(other, on).where(
         (F.col("node") < F.col("other_node"))
         & (F.lit(True) if block else F.col("root") != F.col("other_root"))
         & _fits("size", "other_size", percent)
-        & (room >= (F.col("size") + F.col("other_size")) * percent)
+        & ((rest + earlier) * (100 + percent) >= (F.col("size") + F.col("other_size")) * percent)
     )
     pairs = met.groupBy(F.col("node").alias("a"), F.col("other_node").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("need", "other_need")).alias("need")
     )
+    if not block:
+        held = first.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+        pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        pairs = pairs.withColumn("shared", F.size(F.array_intersect("x", "y")))
     return pairs.where("shared >= need")
 
 

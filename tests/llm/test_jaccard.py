@@ -170,3 +170,14 @@ def test_sets_and_verified_pairs_span_the_components(documents, join):
         linked = {r.set_id for r in own if r.linked_set is not None}
         assert linked == ({r.set_id for r in own} if len({r.set_id for r in own}) > 1 else set())
     assert jaccard.grouped(documents("a").where("false"), join).collect() == []
+
+
+def test_nodes_that_leave_too_little_behind_their_first_common_token_are_not_paired(spark):
+    """40 nodes share 30 tokens, after 37 of their own: 109 of 146 are left, and 126 must be common."""
+    rows = [(token, node, 37 + token, node, 146, 20) for node in range(40) for token in range(30)]
+    # with 20 of their own 126 are left
+    rows += [(100 + token, node, 20 + token, node, 146, 20) for node in (100, 101) for token in range(30)]
+    # of the 30 tokens they share 10, fewer than they must
+    rows += [(200 + token + 20 * (node - 200), node, token, node, 146, 20) for node in (200, 201) for token in range(30)]
+    entries = spark.createDataFrame(rows, "token long, node long, place int, root long, size long, need int")
+    assert [(r.a, r.b) for r in jaccard._candidates(entries, 75).collect()] == [(100, 101)]
