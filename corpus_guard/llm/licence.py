@@ -274,12 +274,13 @@ def _total(numbers: str, start: float, weights) -> str:
 
 
 def _found_in(words: str, number: str, body: str) -> str:
-    """``body`` with pairs (hashes of the 2-grams) and found (numbers of the known grams)."""
-    found = f"array_distinct(filter(transform(concat(ones, pairs), h -> {number}), n -> n > 0))"
+    """``body`` with pairs (hashes of the 2-grams), numbers (of the words, then of the 2-grams, 0 for
+    unknown ones) and found (those of the known grams). ``number`` holds large constants, so it stands here once."""
+    numbers = f"transform(concat(transform(words, w -> xxhash64(w)), pairs), h -> {number})"
     pairs = """zip_with(slice(words, 1, greatest(size(words) - 1, 0)),
         slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> xxhash64(a, b))"""
-    body = tx.let("pairs", pairs, tx.let("found", found, body))
-    return tx.let("words", words, tx.let("ones", "transform(words, w -> xxhash64(w))", body))
+    body = tx.let("found", "array_distinct(filter(numbers, n -> n > 0))", body)
+    return tx.let("words", words, tx.let("pairs", pairs, tx.let("numbers", numbers, body)))
 
 
 def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
@@ -308,16 +309,13 @@ def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
     reaches = f"{_total('found', lead_bias, lead)} >= 0"
     is_pair = _constant([int(" " in g) for g in model.grams], "int")
 
-    def known(h: str) -> str:
-        return tx.let("h", h, number) + " > 0"
-
     def words(text: str) -> str:
         return f"filter(split(lower({text}), {tx.sql_string(_BETWEEN)}), w -> w <> '')"
 
     # at: the line's number with the blank ones; head and tail: whether a template can begin or end
     facts = f"""named_struct('at', at, 'line', line, 'n', size(words), 'alone', {reaches},
-        'head', size(words) > 0 AND (part OR {known('element_at(ones, -1)')}),
-        'tail', size(words) > 0 AND (part OR {known('element_at(ones, 1)')}))"""
+        'head', size(words) > 0 AND (part OR get(numbers, size(words) - 1) > 0),
+        'tail', size(words) > 0 AND (part OR get(numbers, 0) > 0))"""
     facts = tx.let("part", f"exists(found, n -> element_at({is_pair}, n) = 1)", facts)
     facts = _found_in(words("line"), number, facts)
     lines = f"filter(transform(split(text, {tx.sql_string(_LINE)}, -1), (line, at) -> struct(line, at)), p -> trim(p.line) <> '')"
@@ -340,16 +338,12 @@ def scanned(docs: DataFrame, model: Model, scan: Scan = SCAN) -> DataFrame:
         e -> named_struct('paragraph', i, 'last', e,
             'run', array_join(transform(slice(parts, i + 1, e - i + 1), q -> q.line), '\n')))))"""
     rows = rows.select("doc_id", "row", F.inline(F.expr(places)))
-    # an array of one run or none, so that all of it is evaluated once
-    hit = f"IF({reaches}, array(named_struct('pairs', pairs, 'found', found)), array())"
+    # an array of one run or none, so that all of it, weights too, is evaluated and stands in the plan once
+    scores = ", ".join(_total("found", float(b), w) for b, w in zip(model.bias, model.weights))
+    hit = f"IF({reaches}, array(named_struct('pairs', pairs, 'scores', array({scores}))), array())"
     hit = _found_in(words("run"), number, hit)
     rows = rows.select("doc_id", "row", "paragraph", "last", F.inline(F.expr(hit)))
 
-    def total_of(start: float, weights) -> Column:
-        return F.expr(_total("found", start, weights))
-
-    scores = [total_of(float(b), w) for b, w in zip(model.bias, model.weights)]
-    rows = rows.withColumn("scores", F.array(*scores))
     rows = rows.withColumn("best", F.array_max("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("best")))
     rows = rows.withColumn("probability", 1 / total).withColumn("class", F.array_position("scores", F.col("best")))
