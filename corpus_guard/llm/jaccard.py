@@ -5,6 +5,7 @@ node. Shingles are ordered by estimated frequency, rare ones first. Two sets tha
 enough share at least l of the first (size - least overlap + l) shingles of each, for any l; a
 document picks the l whose estimated cost is least. Two documents are candidates when their
 prefixes share as many shingles as the smaller l asks for, and candidates are verified exactly.
+Shingles of the same nodes, as those of a group's common text, are one token with their number as weight.
 
 ``grouped`` gives components by verified pairs of sets that span them, and the membership of rows in
 sets. Pairs inside a dense group need not be listed for that: first the nodes of shingles with many
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpus_guard.llm import arrays
 from corpus_guard.llm.components import components
-from corpus_guard.llm.shared import ROW, checked, row_key, table, without, written
+from corpus_guard.llm.shared import ROW, checked, removed, row_key, stored, table, without, written
 
 
 @dataclass(frozen=True)
@@ -291,19 +292,24 @@ def _fits(size: str, other: str, percent: int):
     return (F.col(size) * 100 >= F.col(other) * percent) & (F.col(other) * 100 >= F.col(size) * percent)
 
 
+def _several(entries: DataFrame) -> DataFrame:
+    """The tokens of ``entries`` (token, root) whose nodes are in several components."""
+    roots = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return roots.where("low <> high").select("token")
+
+
 def _pivot_pairs(entries: DataFrame, now: DataFrame, join: Join, turn: int) -> DataFrame:
     """Nodes outside the largest component of their shingles, with pivots inside it.
 
-    ``entries``: token, node; ``now``: as of ``_now``. A node takes the component that most of its
-    shingles offer, and ``join.pivots`` to the power of ``turn`` nodes of it by hash, so that fewer
-    and fewer nodes are tried against more and more pivots.
+    ``entries``: token, node, weight, size, need, root, members; ``now``: as of ``_now``. A node takes the
+    component that most of its shingles offer, and ``join.pivots`` to the power of ``turn`` nodes of
+    it by hash, so that fewer and fewer nodes are tried against more and more pivots.
     """
-    entries = entries.join(now, "node")
     largest = F.max(F.struct("members", F.xxhash64("root", F.lit(turn)), "root")).alias("largest")
     offers = entries.groupBy("token").agg(largest, F.min("root").alias("low"), F.max("root").alias("high"))
     offers = offers.where("low <> high").select("token", F.col("largest.root").alias("other"))
     met = entries.join(offers, "token").where(F.col("root") != F.col("other"))
-    votes = met.groupBy("node", "other").agg(F.count("*").alias("votes"), *[F.min(c).alias(c) for c in ("size", "need")])
+    votes = met.groupBy("node", "other").agg(F.sum("weight").alias("votes"), *[F.min(c).alias(c) for c in ("size", "need")])
     # only some of the shingles a node shares with a component offer that one
     votes = votes.where(F.col("votes") * 2 >= F.col("need"))
     best = votes.groupBy("node", "size").agg(F.max_by("other", F.struct("votes", "other")).alias("root"))
@@ -317,13 +323,16 @@ def _pivot_pairs(entries: DataFrame, now: DataFrame, join: Join, turn: int) -> D
 def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> DataFrame:
     """Pairs of nodes in different components whose prefixes share as many shingles as they must.
 
-    ``entries``: token, node, place (of the token in the node's order, from 0), root, size, need.
+    ``entries``: token, node, place (of the token in the node's order, from 0), root, size, need, and
+    weight, if a token stands for several shingles of the same nodes: their number; place is the first one's.
     A similar pair has its first common token in both prefixes, and all others behind it: nodes meet
     by a token only if what is left from there on, in either node, is as much as the least overlap. Of
     the pairs that meet, those remain that share enough tokens. With ``block``, all such pairs, whatever
     their components; root is not read, and a token's nodes are paired by blocks of about so many, by
     each of the first common tokens that are asked for, the k-th of which may leave k - 1 less.
     """
+    if "weight" not in entries.columns:
+        entries = entries.withColumn("weight", F.lit(1))
     if block:
         blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
         entries = entries.join(entries.groupBy("token").agg(blocks), "token")
@@ -333,8 +342,7 @@ def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> D
         second = entries.withColumn("y", own).withColumn("x", every)
         on, names = ["token", "x", "y"], ("node", "place", "size", "need")
     else:
-        roots = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        first = second = entries.join(roots.where("low <> high").select("token"), "token", "left_semi")
+        first = second = entries.join(_several(entries), "token", "left_semi")
         on, names = ["token"], ("node", "place", "root", "size", "need")
     other = second.select(*on, *[F.col(c).alias(f"other_{c}") for c in names])
     rest = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
@@ -346,21 +354,21 @@ def _candidates(entries: DataFrame, percent: int, block: int | None = None) -> D
         & ((rest + earlier) * (100 + percent) >= (F.col("size") + F.col("other_size")) * percent)
     )
     pairs = met.groupBy(F.col("node").alias("a"), F.col("other_node").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least("need", "other_need")).alias("need")
+        F.sum("weight").alias("shared"), F.min(F.least("need", "other_need")).alias("need")
     )
     if not block:
-        held = first.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        held = first.groupBy("node").agg(F.collect_list(F.struct("token", "weight")).alias("tokens"))
         pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
         pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        pairs = pairs.withColumn("shared", F.size(F.array_intersect("x", "y")))
+        common = F.filter("x", lambda own: F.array_contains(F.col("y.token"), own.token))
+        pairs = pairs.withColumn("shared", F.aggregate(common, F.lit(0).cast("long"), lambda n, own: n + own.weight))
     return pairs.where("shared >= need")
 
 
-def _possible(entries: DataFrame, facts: DataFrame) -> DataFrame:
+def _possible(entries: DataFrame) -> DataFrame:
     """Nodes that hold as many shared shingles as they or one they share one with must share."""
-    known = entries.join(facts.select("node", "need"), "node")
-    least = known.groupBy("token").agg(F.min("need").alias("need"))
-    own = entries.join(least, "token").groupBy("node").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    least = entries.groupBy("token").agg(F.min("need").alias("need"))
+    own = entries.drop("need").join(least, "token").groupBy("node").agg(F.sum("weight").alias("shared"), F.min("need").alias("need"))
     return own.where("shared >= need").select("node")
 
 
@@ -374,6 +382,16 @@ def _now(facts: DataFrame, roots: DataFrame | None) -> DataFrame:
     return own.select("node", "size", "need", "root", F.coalesce("members", F.lit(1).cast("long")).alias("members"))
 
 
+def _rooted_entries(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries with the root of each node and the number of nodes of that root, which they may have had."""
+    entries = entries.drop("root", "members")
+    if roots is None:
+        return entries.withColumns({"root": F.col("node"), "members": F.lit(1).cast("long")})
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    entries = entries.join(roots.join(sizes, "root"), "node", "left")
+    return entries.withColumns({"root": F.coalesce("root", "node"), "members": F.coalesce("members", F.lit(1).cast("long"))})
+
+
 def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Join) -> tuple[DataFrame | None, DataFrame | None]:
     """(node, root) and the verified pairs (a, b) that make the components; None without any."""
     links = roots = None
@@ -391,12 +409,51 @@ def _components(entries: DataFrame, facts: DataFrame, rows: DataFrame, join: Joi
         return True
 
     dense = entries.where(F.col("nodes") > join.dense)
+    last = None
     for turn in range(join.pivot_rounds):
-        add(_pivot_pairs(dense, _now(facts, roots), join, turn))
-    add(_candidates(entries.join(_now(facts, roots), "node"), join.percent))
+        now = _now(facts, roots)
+        if roots is None:
+            dense = _rooted_entries(dense, roots)
+        else:
+            # tokens of one component stay so
+            dense, path = stored(_rooted_entries(dense.join(_several(dense), "token", "left_semi"), roots))
+            if last:
+                removed(rows.sparkSession, last)
+            last = path
+        add(_pivot_pairs(dense, now, join, turn))
+    if join.pivot_rounds:
+        dense = dense.join(_several(dense), "token", "left_semi")
+    entries = entries.where(F.col("nodes") <= join.dense).unionByName(dense.select(entries.columns))
+    entries, path = stored(_rooted_entries(entries, roots))
+    add(_candidates(entries, join.percent))
+    for done in filter(None, (last, path)):
+        removed(rows.sparkSession, done)
     return roots, links
 
 
+def _tokens(entries: DataFrame, join: Join) -> DataFrame:
+    """token, node, place, weight, nodes, size, need of the ``entries`` (node, size, need, place, entry)
+    that several nodes have, or may have.
+
+    Entries of the same nodes are one token: they tell the same of any two nodes, and the nodes meet by
+    the first of them. If hashes of different sets of nodes agree, more nodes meet, and no pair is lost.
+    """
+    group = Window.partitionBy("entry")
+    entries = entries.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)})
+    entries = entries.withColumns({"nodes": F.count("*").over(group), "sum": F.sum(F.xxhash64("node").cast("decimal(20,0)")).over(group)})
+    # a shingle of one node finds nothing; those of many nodes are dealt to several groups
+    frequent = F.col("entry").bitwiseAND(F.lit(_SALTS)) > 0
+    entries = entries.where((F.col("low") != F.col("high")) | frequent)
+    token = F.when(frequent, F.col("entry").bitwiseAND(F.lit(~_SALTS))).otherwise(F.xxhash64("nodes", "low", "high", "sum"))
+    nodes = F.when(frequent, F.lit(join.salt_over).cast("long")).otherwise(F.col("nodes"))
+    return entries.groupBy(token.alias("token"), "node").agg(
+        F.min("place").alias("place"),
+        F.count("*").alias("weight"),
+        F.max(nodes).alias("nodes"),
+        *[F.min(c).alias(c) for c in ("size", "need")],
+    )
+
+
 def _prepared(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents with their nodes; prefix entries and facts of the nodes that may be linked; texts."""
     context = docs.sparkSession.sparkContext
@@ -414,21 +471,13 @@ def _prepared(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFr
         )
     )
     some = members.where("node IS NOT NULL")
-    entries = some.groupBy("node").agg(F.first("entries").alias("entries"))
-    entries = entries.select("node", F.posexplode("entries").alias("place", "entry"))
-    group = Window.partitionBy("entry")
-    entries = entries.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    entries = entries.withColumn("nodes", F.count("*").over(group))
-    # a shingle of one node finds nothing; those of many nodes are dealt to several groups
-    frequent = F.col("entry").bitwiseAND(F.lit(_SALTS)) > 0
-    token = F.col("entry").bitwiseAND(F.lit(~_SALTS))
-    nodes = F.when(frequent, F.lit(join.salt_over)).otherwise(F.col("nodes")).alias("nodes")
-    entries = entries.where((F.col("low") != F.col("high")) | frequent)
-    entries = written(entries.select(token.alias("token"), "node", "place", nodes))
-
-    facts = some.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n_shingles", "need", "row")])
+    facts = some.groupBy("node").agg(
+        F.first("entries").alias("entries"), *[F.min(c).alias(c) for c in ("n_shingles", "need", "row")]
+    )
     facts = facts.withColumnRenamed("n_shingles", "size")
-    facts = written(facts.join(_possible(entries, facts), "node", "left_semi"))
+    entries = _tokens(facts.select("node", "size", "need", F.posexplode("entries").alias("place", "entry")), join)
+    entries = written(entries)
+    facts = written(facts.drop("entries").join(_possible(entries), "node", "left_semi"))
     entries = written(entries.join(facts.select("node"), "node", "left_semi"))
 
     return members.drop("entries"), entries, facts, rows
@@ -438,8 +487,7 @@ def linked(docs: DataFrame, join: Join = JOIN) -> tuple[DataFrame, DataFrame]:
     """The documents with their nodes (doc_id, row, n_shingles, node), and every pair (a, b) of
     different nodes, a < b, whose sets are similar enough."""
     members, entries, facts, rows = _prepared(docs, join)
-    known = entries.select("token", "node", "place").join(facts.select("node", "size", "need"), "node")
-    pairs = written(_candidates(known, join.percent, join.block).select("a", "b"))
+    pairs = written(_candidates(entries, join.percent, join.block).select("a", "b"))
     return members, written(_verified_in_blocks(pairs, rows, facts, join))
 
 

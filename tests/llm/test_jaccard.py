@@ -181,3 +181,18 @@ def test_nodes_that_leave_too_little_behind_their_first_common_token_are_not_pai
     rows += [(200 + token + 20 * (node - 200), node, token, node, 146, 20) for node in (200, 201) for token in range(30)]
     entries = spark.createDataFrame(rows, "token long, node long, place int, root long, size long, need int")
     assert [(r.a, r.b) for r in jaccard._candidates(entries, 75).collect()] == [(100, 101)]
+
+
+def test_shingles_of_the_same_nodes_are_one_token(documents):
+    """Nodes are joined with their tokens in every turn: 12 near copies of 400 words had 12 rows for each shingle."""
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(10_000)}" for _ in range(400)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(12)] + [(100 + i, f"x{i} y{i} z{i} v u t") for i in range(40)]
+    rows += [(200, " ".join(base)), (201, " ".join(base[:390]))]
+    members, entries, facts, _ = jaccard._prepared(documents(*rows), Join())
+    got = entries.collect()
+    # tokens of all 14 copies, and of all but the shortest
+    assert len(got) <= 3 * 14 and max(r.weight for r in got) > 20
+    sizes = {r.node: (r.n_shingles, r.need) for r in members.collect()}
+    assert all(sizes[r.node] == (r.size, r.need) for r in got)
+    assert _got(documents(*rows)) == _brute(rows)
