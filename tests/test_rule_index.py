@@ -187,6 +187,107 @@ def test_a_rule_is_a_candidate_only_where_its_string_is(rules_table, monkeypatch
     assert {k: sorted(v) for k, v in found.items()} == want
 
 
+LITERALS = ["alpha beta", "aaaa", "eval\\(", "K-KEY", "set the", "a, b: \\[c\\]", "x" * 40, "y" * 1100, "istanbul", "beta\\ gamma", "12-34"]
+ODD_TEXTS = [
+    "Alpha Beta\r\nalpha beta alpha beta\x0cé ü alpha BETA\u2028end\n\nalpha beta",
+    "aaaaaaaaa\naaa\naaaa aaaa",
+    "😀 eval(x) é eval(y)\n\x85eval(z)\n",
+    "ſet the K-Key in İstanbul\nıſtanbul",
+    "A, B: [C]" * 3,
+    "x" * 95 + "\n" + "X" * 40,
+    "Y" * 1099 + "\n" + "y" * 1200,
+    None,
+    "",
+    "beta gamma\n" * 30 + "12-34 12-345",
+    "alpha bet",
+    "a alpha beta",
+]
+
+
+def test_literals_equal_the_literal_plan(rules_table, unit, monkeypatch):
+    rows = [{"id": f"R{i}", "pattern": p} for i, p in enumerate(LITERALS)]
+    rows += [
+        {"id": "R20", "pattern": "ALPHA beta", "severity": "high", "tags": ["t"], "confidence": 0.5},
+        {"id": "R21", "pattern": "alpha beta", "language": "typescript"},
+        {"id": "R22", "pattern": "alpha beta", "language": "python"},
+        {"id": "R23", "pattern": "alpha beta"},
+        {"id": "R23", "pattern": "aaaa"},
+        {"id": "R24", "pattern": "aaaa", "category": "of no detector"},
+        {"id": "R24", "pattern": "beta gamma"},
+        {"id": "R25", "pattern": "eval.\\w"},
+        {"id": "R26", "pattern": "aaaa", "pattern_type": "ast"},
+    ]
+    table, units = rules_table(*rows), unit(*ODD_TEXTS)
+    want = literal(units, table)
+    assert {r[2] for r in want} == {r["id"] for r in rows} - {"R21", "R26"}
+    assert rows_of(scan_table(units, table, columns=COLUMNS)) == want
+    for name, value in {"TEXT_BYTES": 7, "PART": 64, "STRINGS": 3, "STRING_BYTES": 500}.items():
+        monkeypatch.setattr(rule_index, name, value)
+    assert rows_of(scan_table(units, table, columns=COLUMNS)) == want
+    high = scan_table(units, table, "high", columns=COLUMNS)
+    assert rows_of(high) == literal(units, table, min_severity="high") != []
+
+
+def test_columns_that_are_kept(rules_table, unit):
+    table = rules_table({"id": "R1", "pattern": "needle"}, {"id": "R2", "pattern": "need.e"})
+    keep = ["unit_id", "path", "language", "text"]
+    found = scan_table(unit("a needle", "\nneedle"), table, columns=("rule_id",), keep=keep)
+    got = sorted(tuple(r) for r in found.select("rule_id", *keep, "line").collect())
+    texts = [("0", "app.py", "python", "a needle", 1), ("1", "app.py", "python", "\nneedle", 2)]
+    assert got == [(rule, *row) for rule in ("R1", "R2") for row in texts]
+
+
+def test_literals_of_any_number_take_one_pass(rules_table, unit, monkeypatch):
+    monkeypatch.setattr(rule_index, "BLOCK", 3)
+    words = [f"word number {i:03d}" for i in range(200)]
+    table = rules_table(*[{"id": f"R{i}", "pattern": w} for i, w in enumerate(words)])
+    found = scan_table(unit(*words, " ".join(words)), table, columns=COLUMNS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(r[:3] for r in rows_of(found)) == sorted([(str(i), 1, f"R{i}") for i in range(200)] + [("200", 1, f"R{i}") for i in range(200)])
+
+
+def test_literal_rules_have_the_columns_of_others(rules_table):
+    given = {"owasp_id": "LLM01", "owasp_name": "n", "confidence": 0.3, "language": "python", "tags": ["a", "b"]}
+    given |= {"references": ["r"], "description": "d", "recommendation_pt": "p", "fix_example": "f", "severity": "critical"}
+    table = rules_table(
+        {"id": "R1", "pattern": "Some \\(Text\\)"},
+        {"id": "R2", "pattern": "two && 'three' # ~", **given},
+        {"id": "R3", "pattern": "with \"quotes\" - <b>", "owasp_id": "LLM02", "pattern_type": "regex"},
+    )
+    numbered = placed(table.withColumn("literal", rule_index._literal(table)).orderBy("file", "at"), "rule_no")
+    made = rule_index._literal_rules(numbered)
+    rows = numbered.drop("file", "at", "literal").withColumnRenamed("rule_no", "at")
+    want = rows.mapInPandas(rule_index._prepare, rule_index._PREPARED)
+    assert made.drop("literal").dtypes == want.dtypes
+    got = sorted(made.drop("literal").collect(), key=lambda r: r.rule_id)
+    assert got == sorted(want.collect(), key=lambda r: r.rule_id) and len(got) == 3
+    assert [r.literal for r in made.orderBy("at").collect()] == ["some (text)", "two && 'three' # ~", 'with "quotes" - <b>']
+
+
+@pytest.mark.parametrize("pattern", ["ab.cd", "abcd+", "ab[c]d", "abc", "^abcd", "abcd$", "ab|cd", "\\babcd", "abéd", "ab\ncd", "ab{2}cd", "(abcd)", "abcd\\"])
+def test_patterns_that_are_no_literals(rules_table, pattern):
+    table = rules_table({"id": "R1", "pattern": pattern})
+    assert [r[0] for r in table.select(rule_index._literal(table)).collect()] == [None]
+
+
+def test_places_of_random_strings():
+    draw = random.Random(8)
+    for longest in (6, 12, 40):
+        words = {"".join(draw.choice("ab ") for _ in range(draw.randint(4, longest))) for _ in range(40)}
+        texts = ["".join(draw.choice("abAB ") for _ in range(draw.randint(0, 60))) for _ in range(40)]
+        texts += [w.upper() + w for w in words]
+        table = rule_index.Literals(pa.array(sorted(words)))
+        table.block = 16
+        data, offsets = rule_index._folded(pa.array(texts))
+        got = {(int(p), int(n)) for places, sizes in table.places(data, offsets) for p, n in zip(places, sizes)}
+        want = set()
+        for text, at in zip(texts, offsets):
+            low = text.lower()
+            want |= {(int(at) + i, len(w)) for w in words for i in range(len(low)) if low.startswith(w, i)}
+        assert want <= got and len(got) < 1.1 * len(want) + 5
+
+
 def test_no_rules_and_no_units(rules_table, unit):
     table = rules_table({"id": "R1", "pattern": "needle"})
     assert scan_table(unit("needle"), table.where("false")).collect() == []
