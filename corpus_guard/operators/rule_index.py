@@ -526,21 +526,20 @@ def _lines_hit(table):
 def _lines_of(units: pa.RecordBatch, table: Literals):
     texts = units.column("text")
     data, offsets = _folded(texts)
-    found = list(table.places(data, offsets))
+    breaks = np.flatnonzero(data == 10)
+    found, weight, most = [], 0, PART // 4
+    for own, size in table.places(data, offsets):
+        found.append((own, size))
+        weight += int(size.sum())
+        if weight > most:
+            found = [_firsts(data, offsets, breaks, found)]
+            weight = int(found[0][1].sum())
+            most = max(most, 2 * weight)
     if not found:
         return
-    place, size = (np.concatenate(x) for x in zip(*found))
+    place, size = _firsts(data, offsets, breaks, found)
     unit = np.searchsorted(offsets, place, "right") - 1
-    breaks = np.flatnonzero(data == 10)
     before = np.searchsorted(breaks, place)
-    strings = pa.array([], pa.string()) if not len(place) else _pieces(data, place, size)
-    string = strings.dictionary_encode().indices.to_numpy()
-    # the first place of a string on a line
-    order = np.lexsort((place, string, before, unit))
-    same = (np.diff(string[order]) == 0) & (np.diff(before[order]) == 0) & (np.diff(unit[order]) == 0)
-    order = np.sort(order[np.concatenate([[True], ~same])[: len(order)]])
-    order = order[np.lexsort((place[order], before[order], unit[order]))]
-    place, unit, before = place[order], unit[order], before[order]
     heads = np.flatnonzero(np.concatenate([[True], (np.diff(before) != 0) | (np.diff(unit) != 0)])[: len(place)])
     # where lines start, and the places in characters
     above = np.searchsorted(breaks, offsets[:-1])[unit]
@@ -553,7 +552,7 @@ def _lines_of(units: pa.RecordBatch, table: Literals):
         return (high - low - np.searchsorted(wide, high) + np.searchsorted(wide, low)).astype(np.int32)
 
     columns = [chars(offsets[unit], place), chars(start, place)]
-    hits = pa.StructArray.from_arrays([*map(pa.array, columns), strings.take(pa.array(order))], fields=list(_HIT))
+    hits = pa.StructArray.from_arrays([*map(pa.array, columns), _pieces(data, place, size)], fields=list(_HIT))
     line = (before - above + 1)[heads].astype(np.int32)
     ends = np.append(heads, len(place))
     snippets, weight = _snippets(texts, unit[heads], line)
@@ -567,6 +566,19 @@ def _lines_of(units: pa.RecordBatch, table: Literals):
         yield pa.RecordBatch.from_arrays([*own.columns, *made], [*kept_columns, "__line", "__snippet", "__hits"])
 
 
+def _firsts(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of places and sizes, those of the first place of each string on a line, by place."""
+    place, size = (np.concatenate(x) for x in zip(*found))
+    # grows with every line and text
+    line = np.searchsorted(breaks, place) + np.searchsorted(offsets, place, "right")
+    string = _pieces(data, place, size).dictionary_encode().indices.to_numpy()
+    order = np.lexsort((place, string, line))
+    again = (np.diff(string[order]) == 0) & (np.diff(line[order]) == 0)
+    order = order[np.concatenate([[True], ~again])[: len(order)]]
+    order = order[np.argsort(place[order], kind="stable")]
+    return place[order], size[order]
+
+
 def _pieces(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> pa.Array:
     """The stretches as strings."""
     ends = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64))

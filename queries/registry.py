@@ -167,8 +167,12 @@ _PAIRS = "[a-z]{5,} [a-z]{5,}"
 
 def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rules table that grows with the documents: three neighbouring words of each are a rule."""
-    words = F.explode(F.slice(F.regexp_extract_all("text", F.lit(_PAIRS), F.lit(0)), 1, 3)).alias("pattern")
-    pairs = corpora.table(spark, sf_dir, "documents").select(words).distinct()
+    rest = corpora.table(spark, sf_dir, "documents").select(F.col("text").alias("rest"))
+    found = ["pair1", "pair2", "pair3"]
+    for pair in found:  # the first match stands where its words first do, the next one is looked for behind it
+        rest = rest.withColumn(pair, F.regexp_substr("rest", F.lit(_PAIRS)))
+        rest = rest.withColumn("rest", F.expr(f"substr(rest, instr(rest, {pair}) + length({pair}))"))
+    pairs = rest.select(F.explode(F.array_compact(F.array(*found))).alias("pattern")).distinct()
     fixed = {"name": "pair", "category": "data_leak", "severity": "low", "file": "pairs"}
     given = {"id": F.concat(F.lit("PAIR-"), F.col("pattern")), "pattern": F.col("pattern"), "at": F.xxhash64("pattern")}
     schema = T._parse_datatype_string(rule_source.RULE_SCHEMA)

@@ -15,6 +15,7 @@ from corpus_guard.operators.findings import placed
 from corpus_guard.operators.rule_index import scan_table
 from corpus_guard.plans.scan import ScanConfig, scan
 from corpus_guard.sources import rules as rule_source
+from queries.registry import pair_rules
 
 COLUMNS = ("rule_id", "severity", "category", "confidence", "title", "tags")
 SHOWN = ["unit_id", "line", "rule_id", "severity", "column", "offset", "code_snippet", "title"]
@@ -288,6 +289,19 @@ def test_places_of_random_strings():
         assert want <= got and len(got) < 1.1 * len(want) + 5
 
 
+def test_pair_rules_are_the_first_three_pairs_of_words(spark, tmp_path):
+    draw = random.Random(5)
+    texts = [None, "", "hello world", "one two", "a hello  world\nagain there xhello worldly Hello there", "über hello world 😀 hello world hello world other words"]
+    texts += ["".join(draw.choice("abcé  \nB") for _ in range(200)) for _ in range(30)]
+    texts += [" ".join("".join(draw.choices("abc", k=draw.randint(2, 8))) for _ in range(30)) for _ in range(30)]
+    texts += [" ".join("ab" * draw.randint(1, 4) for _ in range(30)) for _ in range(10)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {p for t in texts if t for p in re.findall("[a-z]{5,} [a-z]{5,}", t)[:3]}
+    got = [r.pattern for r in pair_rules(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_no_rules_and_no_units(rules_table, unit):
     table = rules_table({"id": "R1", "pattern": "needle"})
     assert scan_table(unit("needle"), table.where("false")).collect() == []
